@@ -84,7 +84,7 @@ def _lines(
     offered = products.where("is_active").select(
         F.col("id").alias("nomenclature_id"), F.col("quantity").alias("stock"), F.col("price").alias("current_price")
     )
-    wanted = items.select("order_id", *{"nomenclature_id": 0, "quantity": 0, "price": 0} | dict.fromkeys(item_key, 0))
+    wanted = items.select("order_id", *dict.fromkeys(["nomenclature_id", "quantity", "price", *item_key]))
     lines = wanted.join(arrivals, "order_id").join(offered, "nomenclature_id", "left")
     lines = lines.withColumn("price_changed", F.col("price") != F.col("current_price")).drop("price", "current_price")
     return sliced(lines, ["nomenclature_id"], [*arrival, *item_key], "intake-lines")
@@ -128,10 +128,8 @@ def _accepted_orders(reviewed: DataFrame, lines: DataFrame, line_order: Sequence
         .where("demand > stock")
         .select("nomenclature_id")
     )
-    contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(
-        "order_id", "nomenclature_id", "quantity", "stock", SLICE, *[c for c in line_order if c != "quantity"]
-    )
-    contested = contested.withColumn("held", F.lit(False))
+    columns = dict.fromkeys(["order_id", "nomenclature_id", "quantity", "stock", SLICE, *line_order])
+    contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(*columns, F.lit(False).alias("held"))
     contested = cut_lineage(contested, "intake-contested")
     waiting = cut_lineage(contested.select("order_id").distinct(), "intake-waiting")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orderlytics.schemas import MONEY
 from orderlytics.sources.tables import Tables
@@ -12,25 +15,42 @@ from orderlytics.sources.tables import Tables
 ITEM_KEY = ("nomenclature_id", "l_suppkey", "l_linenumber", "quantity", "total_price")
 
 
+@cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One table; its schema is taken from a file footer once per session."""
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
+
+
+def scan_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files of one table as a stream."""
+    schema = _schema(spark, f"{folder}/{name}.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def star_tables(spark: SparkSession, folder: str) -> Tables:
+    region, nation, customer, supplier, part, orders_, lineitem = (
+        scan(spark, folder, name)
+        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    )
     return Tables(
-        categories=categories(spark, folder),
-        nomenclature=nomenclature(spark, folder),
-        clients=clients(spark, folder),
-        orders=orders(spark, folder),
-        order_items=order_items(spark, folder),
+        categories=categories(region, nation, supplier),
+        nomenclature=nomenclature(part),
+        clients=clients(customer),
+        orders=orders(orders_),
+        order_items=order_items(lineitem),
         item_key=ITEM_KEY,
     )
 
 
-def clients(spark: SparkSession, folder: str) -> DataFrame:
+def clients(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     address = F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com"))
-    return scan(spark, folder, "customer").select(
+    return customer.select(
         key.alias("id"),
         F.col("c_name").alias("name"),
         F.when(key % 10 != 0, address).alias("email"),
@@ -46,7 +66,7 @@ def order_number(number: F.Column) -> F.Column:
     return F.concat(F.lit("ORD-"), F.when(number < 1_000_000, F.lpad(digits, 6, "0")).otherwise(digits))
 
 
-def orders(spark: SparkSession, folder: str) -> DataFrame:
+def orders(raw: DataFrame) -> DataFrame:
     state, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     status = (
         F.when(state == "F", "completed")
@@ -61,7 +81,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
         .when(priority == "5-LOW", "refunded")
         .otherwise("unpaid")
     )
-    return scan(spark, folder, "orders").select(
+    return raw.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("client_id"),
         order_number(F.col("o_orderkey") + 1).alias("order_number"),
@@ -72,11 +92,11 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, folder: str) -> DataFrame:
+def order_items(lineitem: DataFrame) -> DataFrame:
     # Whole cents per unit, rounded down: the same on every engine, which a
     # rounded double would not be.
     cents = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("decimal(12,0)")
-    return scan(spark, folder, "lineitem").select(
+    return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("nomenclature_id"),
         "l_suppkey",
@@ -88,9 +108,9 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def nomenclature(spark: SparkSession, folder: str) -> DataFrame:
+def nomenclature(part: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
-    return scan(spark, folder, "part").select(
+    return part.select(
         key.alias("id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("description"),
@@ -102,7 +122,7 @@ def nomenclature(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def categories(spark: SparkSession, folder: str) -> DataFrame:
+def categories(region: DataFrame, nation: DataFrame, supplier: DataFrame) -> DataFrame:
     def level(df: DataFrame, key: F.Column, name: str, parent: F.Column, depth: int, active: F.Column) -> DataFrame:
         return df.select(
             key.cast("bigint").alias("id"),
@@ -112,7 +132,6 @@ def categories(spark: SparkSession, folder: str) -> DataFrame:
             active.alias("is_active"),
         )
 
-    region, nation, supplier = (scan(spark, folder, n) for n in ("region", "nation", "supplier"))
     always = F.lit(True)
     roots = level(region, F.col("r_regionkey"), "r_name", F.lit(None), 0, always)
     middle = level(
