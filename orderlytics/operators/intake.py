@@ -30,7 +30,7 @@ from orderlytics.session import cut_lineage, read_back, scratch_path, write_coun
 log = logging.getLogger(__name__)
 
 # After this many rounds the contested lines are rewritten without the orders
-# refused so far.
+# refused and the products settled so far.
 ROUNDS_PER_REWRITE = 4
 
 
@@ -50,7 +50,7 @@ def order_intake(
     lines = _lines(orders, items, products, arrival, item_key)
     line_order = [*arrival, *item_key]
     reviewed = _review_orders(orders, clients, lines)
-    taken_by = _accepted_orders(reviewed, lines, line_order)
+    taken_by = _accepted_orders(reviewed, lines, arrival)
     faults = _line_faults(lines, taken_by, line_order, item_key)
     return (
         reviewed.join(taken_by.withColumn("_accepted", F.lit(True)), "id", "left")
@@ -117,8 +117,8 @@ def _review_orders(orders: DataFrame, clients: DataFrame, lines: DataFrame) -> D
     )
 
 
-def _accepted_orders(reviewed: DataFrame, lines: DataFrame, line_order: Sequence[str]) -> DataFrame:
-    """Ids of the accepted orders."""
+def _accepted_orders(reviewed: DataFrame, lines: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Ids of the accepted orders. A possible order has one line per product."""
     possible = reviewed.where("possible").select("id")
     candidates = lines.join(possible.withColumnRenamed("id", "order_id"), "order_id", "left_semi")
     # A product whose whole demand is in stock refuses nobody.
@@ -128,7 +128,7 @@ def _accepted_orders(reviewed: DataFrame, lines: DataFrame, line_order: Sequence
         .where("demand > stock")
         .select("nomenclature_id")
     )
-    columns = dict.fromkeys(["order_id", "nomenclature_id", "quantity", "stock", SLICE, *line_order])
+    columns = dict.fromkeys(["order_id", "nomenclature_id", "quantity", "stock", SLICE, *arrival])
     contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(*columns, F.lit(False).alias("held"))
     contested = cut_lineage(contested, "intake-contested")
     waiting = cut_lineage(contested.select("order_id").distinct(), "intake-waiting")
@@ -141,13 +141,15 @@ def _accepted_orders(reviewed: DataFrame, lines: DataFrame, line_order: Sequence
     fresh: list[str] = []
     while open_orders:
         if len(fresh) == ROUNDS_PER_REWRITE:
-            contested = cut_lineage(_with_decisions(contested, spark.read.schema(decided_schema).parquet(*fresh)), "intake-contested")
+            known = _with_decisions(contested, spark.read.schema(decided_schema).parquet(*fresh))
+            still_open = known.where("NOT held").select("nomenclature_id").distinct()
+            contested = cut_lineage(known.join(still_open, "nomenclature_id", "left_semi"), "intake-contested")
             fresh = []
         lines_now = contested
         if fresh:
             lines_now = _with_decisions(contested, spark.read.schema(decided_schema).parquet(*fresh))
         path = f"{base}/{len(paths)}"
-        decided = write_counted(_decide(lines_now, line_order), path)
+        decided = write_counted(_decide(lines_now, arrival), path)
         if decided == 0:
             raise RuntimeError("a round decided no order: arrival is not a unique order")
         paths.append(path)
@@ -168,7 +170,7 @@ def _with_decisions(contested: DataFrame, decided: DataFrame) -> DataFrame:
     return joined.withColumn("held", F.col("held") | F.col("fits").isNotNull()).drop("fits")
 
 
-def _decide(lines: DataFrame, line_order: Sequence[str]) -> DataFrame:
+def _decide(lines: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Orders this round settles, with the verdict."""
     amounts = lines.withColumns(
         {
@@ -176,7 +178,7 @@ def _decide(lines: DataFrame, line_order: Sequence[str]) -> DataFrame:
             "_held": F.when(F.col("held"), F.col("quantity")).otherwise(0).cast("bigint"),
         }
     )
-    totals = running(amounts, ["nomenclature_id"], line_order, most=("sum", "_wanted"), least=("sum", "_held"))
+    totals = running(amounts, ["nomenclature_id"], arrival, most=("sum", "_wanted"), least=("sum", "_held"))
     return (
         totals.where(~F.col("held"))
         .groupBy("order_id")

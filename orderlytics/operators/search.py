@@ -13,6 +13,7 @@ from orderlytics.functions.measures import as_double, count_or_zero, or_zero
 from orderlytics.functions.predicates import all_of, contains_text, require_payment_status, require_status
 from orderlytics.operators.reports import client_totals, with_items_count
 from orderlytics.operators.running import PART, in_parts, large_groups, numbered
+from orderlytics.session import cut_lineage
 from orderlytics.sources.tables import Tables
 
 MAX_PAGE_SIZE = 100
@@ -60,6 +61,17 @@ def _paged(df: DataFrame, order: Sequence[str | Column], number: int | None, siz
     return df.orderBy(*order) if number is None else page(df, order, number, size)
 
 
+def _fixed_page(df: DataFrame, order: Sequence[str | Column], number: int, size: int) -> DataFrame:
+    """A page as a small table of its own, to be joined and sorted again.
+
+    Its true size lets the joins with large tables broadcast it, and it is
+    computed once. Sorting a joined top-k again by the same keys inside one
+    adaptive plan must be avoided: Spark may take it for sorted and drop the
+    second sort although a shuffle lies between.
+    """
+    return cut_lineage(page(df, order, number, size), "page")
+
+
 def _flag(is_active: bool | None) -> Column:
     """Comparison with a missing flag is unknown: it keeps no row."""
     return F.col("is_active") == F.lit(is_active).cast("boolean")
@@ -90,7 +102,7 @@ def client_search(
         return _with_spend(found, t).orderBy("name", "id")
     # The order only needs client columns, so the page is cut first and the
     # totals are computed for its rows alone.
-    rows = page(found, ["name", "id"], number, size)
+    rows = _fixed_page(found, ["name", "id"], number, size)
     return client_by_ids(t.with_(clients=rows), rows).orderBy("name", "id")
 
 
@@ -182,7 +194,7 @@ def order_search(
     found = t.orders.where(all_of(conditions))
     if number is None:
         return with_items_count(_with_client_name(found, t), t.order_items).orderBy(*newest)
-    rows = page(_with_client_name(found, t), newest, number, size)
+    rows = _fixed_page(_with_client_name(found, t), newest, number, size)
     # Items are counted for the orders on the page only.
     items = t.order_items.join(rows.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     return with_items_count(rows, items).orderBy(*newest)

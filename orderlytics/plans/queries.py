@@ -41,6 +41,11 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def doubles(df: DataFrame, *columns: str) -> DataFrame:
+    """Integer columns with gaps as doubles: engines disagree on how to hand over NULL integers."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def money_to_double(df: DataFrame) -> DataFrame:
     exact = [f.name for f in df.schema.fields if f.dataType.typeName() == "decimal"]
     return df.withColumns({c: as_double(F.col(c)) for c in exact}) if exact else df
@@ -99,7 +104,7 @@ over_tables("category_children_count", reports.category_children_count)
 over_tables("top_clients", reports.top_clients)
 over_tables("top_clients_any", lambda t: reports.top_clients(t, require_active=False))
 over_tables("category_stats", reports.category_stats)
-over_tables("category_stats_nulls", lambda t: reports.category_stats(t, zero_fill=False))
+over_tables("category_stats_nulls", lambda t: doubles(reports.category_stats(t, zero_fill=False), "total_quantity"))
 over_tables("sales_by_month", reports.sales_by_month)
 over_tables("top_products", reports.top_products)
 over_tables("top_products_any", lambda t: reports.top_products(t, require_active=False))
@@ -120,10 +125,12 @@ over_tables("order_summary", reports.order_summary)
 
 # --- hierarchy ---------------------------------------------------------------
 
-over_tables("category_hierarchy", lambda t: hierarchy.category_hierarchy(t.categories))
+over_tables("category_hierarchy", lambda t: doubles(hierarchy.category_hierarchy(t.categories), "parent_id"))
 over_tables(
     "category_closure",
-    lambda t: hierarchy.category_closure(t.categories).withColumn("path_array", hierarchy.dotted()),
+    lambda t: doubles(
+        hierarchy.category_closure(t.categories).withColumn("path_array", hierarchy.dotted()), "parent_id"
+    ),
 )
 over_tables("category_path", lambda t: hierarchy.category_path(t.categories))
 over_tables("category_display", lambda t: hierarchy.category_display(t.categories))
@@ -134,15 +141,17 @@ over_tables("descendants", lambda t: hierarchy.descendants(t.categories))
 @query
 def category_tree(spark: SparkSession, folder: str) -> DataFrame:
     tree = hierarchy.category_tree(star.star_tables(spark, folder).categories)
-    return tree.select(
+    exploded = tree.select(
         "id", "name", "parent_id", "level", "path", "part", F.posexplode_outer("children").alias("position", "child")
-    ).select("id", "name", "parent_id", "level", "path", "part", "position", F.col("child.id").alias("child_id"))
+    )
+    flat = exploded.select("id", "name", "parent_id", "level", "path", "part", "position", F.col("child.id").alias("child_id"))
+    return doubles(flat, "parent_id", "position", "child_id")
 
 
 @query
 def unreachable_nodes(spark: SparkSession, folder: str) -> DataFrame:
     broken = batches.broken_categories(spark, folder, star.star_tables(spark, folder))
-    return hierarchy.unreachable_nodes(broken).select("id", "name", "parent_id", "level")
+    return doubles(hierarchy.unreachable_nodes(broken).select("id", "name", "parent_id", "level"), "parent_id")
 
 
 # --- search ------------------------------------------------------------------
@@ -172,8 +181,13 @@ over_tables(
 over_tables(
     "order_search_page", lambda t: money_to_double(search.order_search(t, payment_status="unpaid", number=3, size=50))
 )
-over_tables("category_list", lambda t: search.category_list(t, is_active=True, number=None))
-over_tables("category_by_ids", lambda t: search.category_by_ids(t, t.categories.selectExpr("parent_id AS id")))
+over_tables(
+    "category_list", lambda t: doubles(search.category_list(t, is_active=True, number=None), "parent_id")
+)
+over_tables(
+    "category_by_ids",
+    lambda t: doubles(search.category_by_ids(t, t.categories.selectExpr("parent_id AS id")), "parent_id"),
+)
 over_tables("client_by_ids", lambda t: search.client_by_ids(t, t.orders.selectExpr("client_id AS id")))
 over_tables(
     "product_by_ids",
@@ -193,11 +207,11 @@ def order_with_items(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)
     header = ["id", "client_id", "order_number", "status", "client_name", "items_count", "part"]
     flat = search.order_with_items(t).select(*header, F.posexplode_outer("items").alias("position", "item"))
-    return flat.select(
+    return doubles(flat.select("*", "item.nomenclature_id", "item.quantity"), "position", "nomenclature_id", "quantity").select(
         *header,
         "position",
-        "item.nomenclature_id",
-        "item.quantity",
+        "nomenclature_id",
+        "quantity",
         as_double(F.col("item.price")).alias("price"),
         as_double(F.col("item.total_price")).alias("total_price"),
         "item.nomenclature_name",
@@ -251,7 +265,8 @@ over_tables("item_total_mismatch", integrity.item_total_mismatch)
 def order_intake_batch(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)
     stock = t.nomenclature.withColumn("quantity", F.col("quantity") * 10)
-    return order_intake(t.orders, batches.intake_items(t), t.clients, stock, ["order_date", "id"], t.item_key)
+    decided = order_intake(t.orders, batches.intake_items(t), t.clients, stock, ["order_date", "id"], t.item_key)
+    return doubles(decided, "nomenclature_id")
 
 
 @query
@@ -330,7 +345,10 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-over_tables("delete_subtree", lambda t: changes.delete_subtree(t.categories, t.categories.where("NOT is_active")))
+over_tables(
+    "delete_subtree",
+    lambda t: doubles(changes.delete_subtree(t.categories, t.categories.where("NOT is_active")), "parent_id"),
+)
 
 
 def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], link: str) -> Query:
