@@ -47,11 +47,13 @@ def order_intake(
     `arrival` names order columns whose values give the unique order of
     arrival; `item_key` orders the items of one order.
     """
-    lines = _lines(orders, items, products, arrival, item_key)
-    line_order = [*arrival, *item_key]
+    # Own names, since orders and items may both call their key `id`.
+    arrivals = {f"_arrival{n}": F.col(c) for n, c in enumerate(arrival)}
+    places = {f"_place{n}": F.col(c) for n, c in enumerate(item_key)}
+    lines = _lines(orders.withColumns(arrivals), items.withColumns(places), products, [*arrivals], [*places])
     reviewed = _review_orders(orders, clients, lines)
-    taken_by = _accepted_orders(reviewed, lines, arrival)
-    faults = _line_faults(lines, taken_by, line_order, item_key)
+    taken_by = _accepted_orders(reviewed, lines, [*arrivals])
+    faults = _line_faults(lines, taken_by, [*arrivals, *places], [*places])
     return (
         reviewed.join(taken_by.withColumn("_accepted", F.lit(True)), "id", "left")
         .join(faults, "id", "left")
@@ -84,7 +86,7 @@ def _lines(
     offered = products.where("is_active").select(
         F.col("id").alias("nomenclature_id"), F.col("quantity").alias("stock"), F.col("price").alias("current_price")
     )
-    wanted = items.select("order_id", *dict.fromkeys(["nomenclature_id", "quantity", "price", *item_key]))
+    wanted = items.select("order_id", "nomenclature_id", "quantity", "price", *item_key)
     lines = wanted.join(arrivals, "order_id").join(offered, "nomenclature_id", "left")
     lines = lines.withColumn("price_changed", F.col("price") != F.col("current_price")).drop("price", "current_price")
     return sliced(lines, ["nomenclature_id"], [*arrival, *item_key], "intake-lines")
@@ -128,8 +130,9 @@ def _accepted_orders(reviewed: DataFrame, lines: DataFrame, arrival: Sequence[st
         .where("demand > stock")
         .select("nomenclature_id")
     )
-    columns = dict.fromkeys(["order_id", "nomenclature_id", "quantity", "stock", SLICE, *arrival])
-    contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(*columns, F.lit(False).alias("held"))
+    contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(
+        "order_id", "nomenclature_id", "quantity", "stock", SLICE, *arrival, F.lit(False).alias("held")
+    )
     contested = cut_lineage(contested, "intake-contested")
     waiting = cut_lineage(contested.select("order_id").distinct(), "intake-waiting")
 
