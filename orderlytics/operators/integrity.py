@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.functions.measures import as_double
-from orderlytics.operators.reports import item_totals, with_items_count
+from orderlytics.functions.measures import as_double, count_or_zero
+from orderlytics.operators.reports import item_totals
 from orderlytics.schemas import ORDER_STATUSES, PAYMENT_STATUSES, SCHEMAS
 from orderlytics.sources.tables import Tables
 
@@ -131,30 +131,39 @@ def _input_rules(table: str) -> Rules:
 RULE_SETS = {"storage": _storage_rules, "input": _input_rules, "patch": _patch_rules}
 
 
-def record_rules(df: DataFrame, table: str, rule_set: str = "input") -> DataFrame:
-    """Add the array of violated rule codes; rules on absent columns are skipped."""
+def _known_rules(df: DataFrame, table: str, rule_set: str) -> Rules:
+    """The rules of a table whose columns are there."""
     if table not in SCHEMAS:
         raise ValueError(f"unknown table {table!r}")
     rules = RULE_SETS[rule_set](table)
-    known = {code: ok for code, ok in rules.items() if any(code.startswith(f"{c}_") for c in df.columns)}
-    broken = [F.when(~ok, F.lit(code)) for code, ok in known.items()]
+    return {code: ok for code, ok in rules.items() if any(code.startswith(f"{c}_") for c in df.columns)}
+
+
+def record_rules(df: DataFrame, table: str, rule_set: str = "input") -> DataFrame:
+    """Add the array of violated rule codes; rules on absent columns are skipped."""
+    broken = [F.when(~ok, F.lit(code)) for code, ok in _known_rules(df, table, rule_set).items()]
     codes = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
     return df.withColumn(VIOLATIONS, codes)
 
 
 def order_rules(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Field rules of new orders and their items: one bad item rejects its order."""
-    bad_items = (
-        record_rules(items, "order_items")
-        .select("order_id", F.explode(VIOLATIONS).alias("code"))
-        .groupBy(F.col("order_id").alias("id"))
-        .agg(F.array_sort(F.collect_set("code")).alias("item_codes"))
+    """Field rules of new orders and their items: one bad item rejects its order.
+
+    Items are read once and reduced to one row of flags per order.
+    """
+    rules = _known_rules(items, "order_items", "input")
+    flags = {f"_{code}": F.max(F.coalesce(~ok, F.lit(False))) for code, ok in rules.items()}
+    per_order = items.groupBy(F.col("order_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("items_count"), *[flag.alias(name) for name, flag in flags.items()]
+    )
+    checked = record_rules(orders, "orders").join(per_order, "id", "left")
+    empty = F.when(F.col("items_count").isNull(), F.lit("items_missing"))
+    item_codes = F.array_compact(F.array(empty, *[F.when(F.col(f"_{code}"), F.lit(code)) for code in rules]))
+    return checked.select(
+        *orders.columns,
+        count_or_zero(F.col("items_count")).alias("items_count"),
+        F.concat(VIOLATIONS, item_codes).alias(VIOLATIONS),
     )
-    checked = record_rules(with_items_count(orders, items), "orders").join(bad_items, "id", "left")
-    empty = F.when(F.col("items_count") == 0, F.array(F.lit("items_missing")))
-    none = F.array().cast("array<string>")
-    parts = [F.col(VIOLATIONS), F.coalesce(empty, none), F.coalesce(F.col("item_codes"), none)]
-    return checked.select(*orders.columns, "items_count", F.concat(*parts).alias(VIOLATIONS))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

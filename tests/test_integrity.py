@@ -60,7 +60,7 @@ def test_order_rules(make):
         1: [],
         2: ["status_unknown", "payment_status_unknown"],
         3: ["client_id_missing", "items_missing"],
-        4: ["price_not_positive", "quantity_not_positive", "total_price_not_positive"],
+        4: ["quantity_not_positive", "price_not_positive", "total_price_not_positive"],
     }
 
 
