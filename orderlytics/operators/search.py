@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from orderlytics.functions.measures import as_double, count_or_zero, or_zero
 from orderlytics.functions.predicates import all_of, contains_text, require_payment_status, require_status
 from orderlytics.operators.reports import client_totals, with_items_count
-from orderlytics.operators.running import PART, in_parts, large_groups, numbered
+from orderlytics.operators.running import PART, SLICE, in_parts, large_groups, sliced
 from orderlytics.session import cut_lineage
 from orderlytics.sources.tables import Tables
 
 MAX_PAGE_SIZE = 100
 ITEMS_PER_ROW = 10_000
-# A page within this many first rows is a top-k, kept in one task; a deeper
-# page numbers the rows in parallel instead.
-TOP_ROWS = 100_000
+# A page within this many first rows is a top-k: every input partition sends its
+# first rows to one task, so their number must stay small. A deeper page sorts in
+# parallel instead.
+TOP_ROWS = 2_000
 
 
 def page(
@@ -31,8 +32,22 @@ def page(
     skip = (number - 1) * size
     if skip + size <= top_rows:
         return df.orderBy(*order).offset(skip).limit(size)
-    ranked = numbered(df, order, "_position", "page")
-    return ranked.where(F.col("_position").between(skip + 1, skip + size)).orderBy("_position").drop("_position")
+    return _deep_page(df, order, skip, size)
+
+
+def _deep_page(df: DataFrame, order: Sequence[str | Column], skip: int, size: int) -> DataFrame:
+    """Range partition, count the slices, and sort only those the page lies in."""
+    rows = sliced(df, [], order, "page")
+    # One small row per slice comes to the driver.
+    sizes = sorted(tuple(r) for r in rows.groupBy(SLICE).agg(F.count(F.lit(1))).collect())
+    before, first, wanted = 0, 0, []
+    for number, length in sizes:
+        if before < skip + size and before + length > skip:
+            first = first if wanted else before
+            wanted.append(number)
+        before += length
+    found = rows.where(F.col(SLICE).isin(wanted)).orderBy(*order)
+    return found.offset(max(skip - first, 0)).limit(size).drop(SLICE)
 
 
 def page_after(df: DataFrame, key: str, last: object | None, size: int = 20) -> DataFrame:
@@ -72,6 +87,12 @@ def _fixed_page(df: DataFrame, order: Sequence[str | Column], number: int, size:
     return cut_lineage(page(df, order, number, size), "page")
 
 
+def _by_name(collation: str | None) -> list[Column]:
+    """Order by name, byte by byte or by the rules of a language such as `ru`, then by id."""
+    name = F.col("name")
+    return [F.asc("name") if collation is None else F.collate(name, collation).asc(), F.asc("id")]
+
+
 def _flag(is_active: bool | None) -> Column:
     """Comparison with a missing flag is unknown: it keeps no row."""
     return F.col("is_active") == F.lit(is_active).cast("boolean")
@@ -91,19 +112,25 @@ def _with_spend(clients: DataFrame, t: Tables) -> DataFrame:
 
 
 def client_search(
-    t: Tables, query: str | None = None, is_active: bool | None = True, number: int | None = 1, size: int = 20
+    t: Tables,
+    query: str | None = None,
+    is_active: bool | None = True,
+    number: int | None = 1,
+    size: int = 20,
+    collation: str | None = None,
 ) -> DataFrame:
     """Clients by text in name, email or phone, with order count and spend."""
     conditions = [_flag(is_active)]
     if query:
         conditions.append(contains_text(query, "name", "email", "phone"))
     found = t.clients.where(all_of(conditions))
+    by_name = _by_name(collation)
     if number is None:
-        return _with_spend(found, t).orderBy("name", "id")
+        return _with_spend(found, t).orderBy(*by_name)
     # The order only needs client columns, so the page is cut first and the
     # totals are computed for its rows alone.
-    rows = _fixed_page(found, ["name", "id"], number, size)
-    return client_by_ids(t.with_(clients=rows), rows).orderBy("name", "id")
+    rows = _fixed_page(found, by_name, number, size)
+    return client_by_ids(t.with_(clients=rows), rows).orderBy(*by_name)
 
 
 def client_by_ids(t: Tables, ids: DataFrame) -> DataFrame:
@@ -130,6 +157,7 @@ def product_search(
     is_active: bool | None = True,
     number: int | None = 1,
     size: int = 20,
+    collation: str | None = None,
 ) -> DataFrame:
     """Products by text, category, price range and stock, with their category name.
 
@@ -147,7 +175,7 @@ def product_search(
     if in_stock:
         conditions.append(F.col("quantity") > 0)
     found = _with_category_name(t.nomenclature.where(all_of(conditions)), t)
-    return _paged(found, ["name", "id"], number, size)
+    return _paged(found, _by_name(collation), number, size)
 
 
 def product_by_ids(t: Tables, ids: DataFrame) -> DataFrame:
@@ -200,10 +228,16 @@ def order_search(
     return with_items_count(rows, items).orderBy(*newest)
 
 
-def category_list(t: Tables, is_active: bool | None = None, number: int | None = 1, size: int = 20) -> DataFrame:
+def category_list(
+    t: Tables,
+    is_active: bool | None = None,
+    number: int | None = 1,
+    size: int = 20,
+    collation: str | None = None,
+) -> DataFrame:
     """Categories with the number of active direct children; no flag keeps all."""
     found = t.categories if is_active is None else t.categories.where(_flag(is_active))
-    return _paged(_with_children_count(found, t), ["name", "id"], number, size)
+    return _paged(_with_children_count(found, t), _by_name(collation), number, size)
 
 
 def _with_children_count(categories: DataFrame, t: Tables) -> DataFrame:

@@ -141,3 +141,22 @@ def test_page_after_and_totals(spark):
     assert ids(search.page_after(rows, "id", 42, 5)) == [43, 44]
     assert tuples(search.page_totals(rows, 20)) == [(45, 3)]
     assert tuples(search.page_totals(rows.limit(0), 20)) == [(0, 0)]
+
+
+def test_deep_pages_read_few_slices(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 AS rank")
+        for number in (1, 4, 50, 51):
+            found = tuples(search.page(rows, ["rank"], number, 20, top_rows=10), "rank")
+            assert found == [(n,) for n in range((number - 1) * 20, min(number * 20, 1000))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_names_in_language_order(shop, make):
+    names = ["Яблоко", "ёлка", "абрикос", "Банан"]
+    t = shop.with_(clients=make("clients", "name, address", [(n, "x") for n in names]))
+    order = [r.name for r in search.client_search(t, collation="ru").collect()]
+    assert order == ["абрикос", "Банан", "ёлка", "Яблоко"]
+    assert [r.name for r in search.client_search(t).collect()] == sorted(names)
