@@ -16,10 +16,11 @@ FOLDER = "/root/testdata/sf0.01"
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8kb",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4kb",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4kb",
     "spark.sql.shuffle.partitions": "16",
 }
 
