@@ -16,7 +16,7 @@ from orderlytics.operators.hierarchy import descendants
 from orderlytics.operators.integrity import VIOLATIONS, record_rules
 from orderlytics.operators.reports import item_totals
 from orderlytics.operators.running import numbered, running, sliced
-from orderlytics.schemas import LOCKED_STATUSES, SCHEMAS
+from orderlytics.schemas import LOCKED_STATUSES, SCHEMAS, TOTAL
 from orderlytics.session import cut_lineage
 from orderlytics.sources.star import order_number
 from orderlytics.sources.tables import Tables, with_defaults
@@ -131,7 +131,7 @@ def order_totals(orders: DataFrame, order_items: DataFrame, changed: DataFrame |
         touched = changed.select("id").distinct().withColumn("_touched", F.lit(True))
         joined = orders.join(touched, "id", "left").join(totals, "id", "left")
         total = F.when(F.col("_touched"), F.coalesce(F.col("amount"), F.lit(0))).otherwise(F.col("total_amount"))
-    return joined.withColumn("total_amount", total.cast("decimal(22,2)")).select(*orders.columns)
+    return joined.withColumn("total_amount", total.cast(TOTAL)).select(*orders.columns)
 
 
 # --- checks shared by inserts and patches ------------------------------------
@@ -249,7 +249,8 @@ def insert_batch(
     accepted = numbered(reviewed.where("reason IS NULL").drop("reason", VIOLATIONS), ["seq"], "_nth", "inserts")
     filled = with_defaults(accepted.withColumn("id", F.col("_nth") + highest), table, now, actor)
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
-    new = filled.select(*[F.col(c).cast(types.get(c, old.schema[c].dataType)) for c in old.columns])
+    # Kept as a table: generated keys and times must not change from one read to the next.
+    new = cut_lineage(filled.select(*[F.col(c).cast(types.get(c, old.schema[c].dataType)) for c in old.columns]), "inserted")
     return Applied(old.unionByName(new), reviewed.where("reason IS NOT NULL"))
 
 

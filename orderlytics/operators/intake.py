@@ -134,11 +134,12 @@ def _accepted_orders(reviewed: DataFrame, lines: DataFrame, arrival: Sequence[st
         "order_id", "nomenclature_id", "quantity", "stock", SLICE, *arrival, F.lit(False).alias("held")
     )
     contested = cut_lineage(contested, "intake-contested")
-    waiting = cut_lineage(contested.select("order_id").distinct(), "intake-waiting")
-
     spark = reviewed.sparkSession
+    waiting = contested.select("order_id").distinct()
+    waiting_path = scratch_path(spark, "intake-waiting")
+    open_orders = write_counted(waiting, waiting_path)
+    waiting = read_back(waiting, waiting_path)
     base = scratch_path(spark, "intake-decisions")
-    open_orders = waiting.count()
     decided_schema = "order_id bigint, fits boolean"
     paths: list[str] = []
     fresh: list[str] = []

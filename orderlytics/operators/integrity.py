@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double, count_or_zero
 from orderlytics.operators.reports import item_totals
-from orderlytics.schemas import ORDER_STATUSES, PAYMENT_STATUSES, SCHEMAS
+from orderlytics.schemas import ORDER_STATUSES, PAYMENT_STATUSES, SCHEMAS, TOTAL
 from orderlytics.sources.tables import Tables
 
 # A practical e-mail shape: dotted words, one @, a domain with a dot.
@@ -217,7 +217,7 @@ def unique_violations(t: Tables, sibling_nulls_equal: bool = True) -> DataFrame:
 
 def order_total_mismatch(t: Tables) -> DataFrame:
     """Orders whose stored amount is not the sum of their items."""
-    computed = F.coalesce(F.col("amount"), F.lit(0).cast("decimal(22,2)"))
+    computed = F.coalesce(F.col("amount"), F.lit(0).cast(TOTAL))
     return (
         t.orders.join(item_totals(t.order_items), "id", "left")
         .where(~F.col("total_amount").eqNullSafe(computed))

@@ -10,7 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double, count_or_zero, or_zero
-from orderlytics.functions.predicates import all_of, contains_text, require_payment_status, require_status
+from orderlytics.functions.predicates import (
+    all_of,
+    amount,
+    contains_text,
+    moment,
+    require_payment_status,
+    require_status,
+)
 from orderlytics.operators.reports import client_totals, with_items_count
 from orderlytics.operators.running import PART, SLICE, in_parts, large_groups, sliced
 from orderlytics.session import cut_lineage
@@ -169,9 +176,9 @@ def product_search(
     if category_id:
         conditions.append(F.col("category_id") == category_id)
     if min_price is not None:
-        conditions.append(F.col("price") >= min_price)
+        conditions.append(F.col("price") >= amount(min_price))
     if max_price is not None:
-        conditions.append(F.col("price") <= max_price)
+        conditions.append(F.col("price") <= amount(max_price))
     if in_stock:
         conditions.append(F.col("quantity") > 0)
     found = _with_category_name(t.nomenclature.where(all_of(conditions)), t)
@@ -204,6 +211,7 @@ def order_search(
     Bounds are inclusive; a client of 0 filters nothing, an amount of 0 does.
     """
     conditions: list[Column] = []
+    date_type = t.orders.schema["order_date"].dataType
     if client_id:
         conditions.append(F.col("client_id") == client_id)
     if status:
@@ -211,13 +219,13 @@ def order_search(
     if payment_status:
         conditions.append(F.col("payment_status") == require_payment_status(payment_status))
     if date_from:
-        conditions.append(F.col("order_date") >= F.lit(date_from))
+        conditions.append(F.col("order_date") >= moment(date_from, date_type))
     if date_to:
-        conditions.append(F.col("order_date") <= F.lit(date_to))
+        conditions.append(F.col("order_date") <= moment(date_to, date_type))
     if min_amount is not None:
-        conditions.append(F.col("total_amount") >= min_amount)
+        conditions.append(F.col("total_amount") >= amount(min_amount))
     if max_amount is not None:
-        conditions.append(F.col("total_amount") <= max_amount)
+        conditions.append(F.col("total_amount") <= amount(max_amount))
     newest = [F.desc("order_date"), F.asc("id")]
     found = t.orders.where(all_of(conditions))
     if number is None:

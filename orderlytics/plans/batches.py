@@ -100,6 +100,43 @@ def client_patches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def product_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """One patch per part: new articles, categories and prices, some of them not allowed."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return scan(spark, folder, "part").select(
+        key.alias("seq"),
+        key.alias("id"),
+        F.when(size < 20, F.concat(F.lit("SKU-"), F.floor(key / 2).cast("string")))
+        .when(size < 30, F.concat(F.lit("NEW-"), F.floor(key / 4).cast("string")))
+        .alias("sku"),
+        F.when(size > 40, key % 30 + 100).alias("category_id"),
+        F.when(F.col("p_type") == "ECONOMY", (F.col("p_retailprice") - 910).cast(MONEY)).alias("price"),
+    )
+
+
+def category_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """One patch per supplier category: moved, renamed, switched off or left as it is."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    return scan(spark, folder, "supplier").select(
+        key.alias("seq"),
+        (key + 1000).alias("id"),
+        F.when(nation < 10, F.concat(F.lit("Line "), key.cast("string"))).alias("name"),
+        F.when((nation >= 5) & (nation < 20), (nation * 2 + 100).cast("bigint")).alias("parent_id"),
+        F.when(nation == 20, False).alias("is_active"),
+    )
+
+
+def order_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """One status patch per order; some states and some orders do not exist."""
+    key, priority, state = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    return scan(spark, folder, "orders").select(
+        key.alias("seq"),
+        (key + F.when(F.col("o_totalprice") < 10_000, UNKNOWN_ID_OFFSET).otherwise(0)).alias("id"),
+        F.when(priority == "1-URGENT", "completed").when(priority == "2-HIGH", "lost").alias("status"),
+        F.when(state == "P", "paid").when(priority == "3-MEDIUM", "partial").alias("payment_status"),
+    )
+
+
 def new_clients(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers that become clients: shared and taken e-mails, some without address."""
     key = F.col("s_suppkey")

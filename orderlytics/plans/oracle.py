@@ -553,7 +553,7 @@ define(
     ),
 )
 define(
-    "order_total_mismatch",
+    "total_mismatch",
     f"""
 SELECT * FROM (
   SELECT o.id, {money('o.total_amount')} AS stored_amount,
@@ -562,7 +562,7 @@ SELECT * FROM (
 WHERE stored_amount IS DISTINCT FROM items_amount""",
 )
 define(
-    "item_total_mismatch",
+    "total_mismatch_items",
     f"""
 SELECT order_id, nomenclature_id, l_suppkey, l_linenumber, quantity, {money('total_price')} AS total_price,
        {money('quantity * price')} AS expected_price
@@ -572,7 +572,7 @@ FROM order_items WHERE total_price <> quantity * price""",
 # --- changes -----------------------------------------------------------------
 
 define(
-    "order_intake_batch",
+    "order_intake",
     """
 SELECT o.id, NOT o.refused AS accepted,
        CASE WHEN NOT o.refused THEN NULL WHEN o.lines = 0 THEN 'items_missing' WHEN NOT o.client_ok THEN 'client_not_found'
@@ -703,7 +703,7 @@ reviewed AS (
   FROM checked c LEFT JOIN (SELECT email, arg_min(id, seq) AS owner FROM checked
                             WHERE fault IS NULL AND email IS NOT NULL GROUP BY email) f ON f.email = c.email)"""
 define(
-    "patch_clients",
+    "patch_apply_clients",
     """
 SELECT c.id, coalesce(m.name, c.name) AS name, coalesce(m.email, c.email) AS email, c.phone,
        coalesce(m.address, c.address) AS address, c.is_active
@@ -714,7 +714,79 @@ FROM clients c LEFT JOIN (
   FROM reviewed WHERE reason IS NULL GROUP BY id) m ON m.id = c.id""",
     PATCHES,
 )
-define("patch_clients_rejected", "SELECT seq, id, reason FROM reviewed WHERE reason IS NOT NULL", PATCHES)
+define("patch_apply_clients_rejected", "SELECT seq, id, reason FROM reviewed WHERE reason IS NOT NULL", PATCHES)
+
+PRODUCT_PATCHES = """
+patches AS (
+  SELECT p_partkey AS id,
+         CASE WHEN p_size < 20 THEN 'SKU-' || (p_partkey // 2) WHEN p_size < 30 THEN 'NEW-' || (p_partkey // 4) END AS sku,
+         CASE WHEN p_size > 40 THEN p_partkey % 30 + 100 END AS category_id,
+         CASE p_type WHEN 'ECONOMY' THEN CAST(p_retailprice - 910 AS DECIMAL(12,2)) END AS price
+  FROM part),
+checked AS (
+  SELECT *, CASE WHEN price <= 0 THEN 'invalid_fields'
+                 WHEN category_id NOT IN (SELECT id FROM categories WHERE is_active) THEN 'category_not_found'
+                 WHEN sku LIKE 'SKU-%' AND sku <> 'SKU-' || id THEN 'sku_taken'
+                 WHEN sku IS NULL AND category_id IS NULL AND price IS NULL THEN 'nothing_to_change' END AS fault
+  FROM patches),
+reviewed AS (
+  SELECT *, CASE WHEN fault IS NOT NULL THEN fault
+                 WHEN sku IS NOT NULL AND row_number() OVER (PARTITION BY sku, fault ORDER BY id) > 1 THEN 'sku_taken'
+                 END AS reason
+  FROM checked)"""
+define(
+    "patch_apply_nomenclature",
+    f"""
+SELECT p.id, p.name, p.description, coalesce(r.sku, p.sku) AS sku, p.quantity,
+       {money('coalesce(r.price, p.price)')} AS price, coalesce(r.category_id, p.category_id) AS category_id, p.is_active
+FROM nomenclature p LEFT JOIN reviewed r ON r.id = p.id AND r.reason IS NULL""",
+    PRODUCT_PATCHES,
+)
+define(
+    "patch_apply_nomenclature_rejected",
+    "SELECT id AS seq, id, reason FROM reviewed WHERE reason IS NOT NULL",
+    PRODUCT_PATCHES,
+)
+CATEGORY_PATCHES = """
+patches AS (
+  SELECT s_suppkey AS seq, s_suppkey + 1000 AS id, CASE WHEN s_nationkey < 10 THEN 'Line ' || s_suppkey END AS name,
+         CASE WHEN s_nationkey BETWEEN 5 AND 19 THEN s_nationkey * 2 + 100 END AS parent_id,
+         CASE WHEN s_nationkey = 20 THEN FALSE END AS is_active
+  FROM supplier),
+reviewed AS (
+  SELECT *, CASE WHEN parent_id NOT IN (SELECT id FROM categories WHERE is_active) THEN 'parent_not_found'
+                 WHEN name IS NULL AND parent_id IS NULL AND is_active IS NULL THEN 'nothing_to_change' END AS reason
+  FROM patches)"""
+define(
+    "patch_apply_categories",
+    """
+SELECT c.id, coalesce(r.name, c.name) AS name, CAST(coalesce(r.parent_id, c.parent_id) AS DOUBLE) AS parent_id, c.level,
+       coalesce(r.is_active, c.is_active) AS is_active
+FROM categories c LEFT JOIN reviewed r ON r.id = c.id AND r.reason IS NULL""",
+    CATEGORY_PATCHES,
+)
+define(
+    "patch_apply_categories_rejected", "SELECT seq, id, reason FROM reviewed WHERE reason IS NOT NULL", CATEGORY_PATCHES
+)
+ORDER_PATCHES = """
+reviewed AS (
+  SELECT *, CASE WHEN status = 'lost' THEN 'invalid_fields'
+                 WHEN id >= 1000000000 THEN 'unknown_id'
+                 WHEN coalesce(status, payment_status) IS NULL THEN 'nothing_to_change' END AS reason
+  FROM (SELECT o_orderkey AS seq, o_orderkey + CASE WHEN o_totalprice < 10000 THEN 1000000000 ELSE 0 END AS id,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'completed' WHEN '2-HIGH' THEN 'lost' END AS status,
+               CASE WHEN o_orderstatus = 'P' THEN 'paid' WHEN o_orderpriority = '3-MEDIUM' THEN 'partial' END
+                 AS payment_status
+        FROM orders))"""
+define(
+    "patch_apply_orders",
+    f"""
+SELECT o.id, o.client_id, o.order_number, o.order_date, {money('o.total_amount')} AS total_amount,
+       coalesce(r.status, o.status) AS status, coalesce(r.payment_status, o.payment_status) AS payment_status
+FROM app_orders o LEFT JOIN reviewed r ON r.id = o.id AND r.reason IS NULL""",
+    ORDER_PATCHES,
+)
+define("patch_apply_orders_rejected", "SELECT seq, id, reason FROM reviewed WHERE reason IS NOT NULL", ORDER_PATCHES)
 
 
 def _deletion(label: str, rows: str, fault: str) -> str:
@@ -785,7 +857,7 @@ decided AS (
 
 
 define(
-    "insert_clients",
+    "insert_batch_clients",
     _inserted("clients"),
     """
 tested AS (
@@ -796,7 +868,7 @@ tested AS (
     _first_wins("email_taken"),
 )
 define(
-    "insert_products",
+    "insert_batch_products",
     _inserted("nomenclature"),
     """
 tested AS (
@@ -808,7 +880,7 @@ tested AS (
     _first_wins("sku_taken"),
 )
 define(
-    "insert_categories",
+    "insert_batch_categories",
     _inserted("categories"),
     """
 tested AS (

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double
-from orderlytics.operators import changes, hierarchy, integrity, reports, search
-from orderlytics.operators.intake import order_intake
+from orderlytics.operators import changes, hierarchy, intake, integrity, reports, search
 from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
 from orderlytics.sources import star
@@ -255,17 +254,17 @@ def storage_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 over_tables("fk_violations", lambda t: integrity.fk_violations(t, require_active=True))
 over_tables("unique_violations", integrity.unique_violations)
-over_tables("order_total_mismatch", integrity.order_total_mismatch)
-over_tables("item_total_mismatch", integrity.item_total_mismatch)
+over_tables("total_mismatch", integrity.order_total_mismatch)
+over_tables("total_mismatch_items", integrity.item_total_mismatch)
 
 # --- changes -----------------------------------------------------------------
 
 
 @query
-def order_intake_batch(spark: SparkSession, folder: str) -> DataFrame:
+def order_intake(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)
     stock = t.nomenclature.withColumn("quantity", F.col("quantity") * 10)
-    decided = order_intake(t.orders, batches.intake_items(t), t.clients, stock, ["order_date", "id"], t.item_key)
+    decided = intake.order_intake(t.orders, batches.intake_items(t), t.clients, stock, ["order_date", "id"], t.item_key)
     return doubles(decided, "nomenclature_id")
 
 
@@ -302,16 +301,25 @@ over_tables(
 )
 
 
-@query
-def patch_clients(spark: SparkSession, folder: str) -> DataFrame:
-    t = star.star_tables(spark, folder)
-    return changes.patch_apply("clients", t, batches.client_patches(spark, folder)).table
+def _patched(table: str, build: Callable[[SparkSession, str], DataFrame], *links: str) -> None:
+    """Two queries: the patched table and the refused patches."""
 
+    def apply(spark: SparkSession, folder: str) -> changes.Applied:
+        t = star.star_tables(tune(spark), folder)
+        return changes.patch_apply(table, t, build(spark, folder))
 
-@query
-def patch_clients_rejected(spark: SparkSession, folder: str) -> DataFrame:
-    t = star.star_tables(spark, folder)
-    return changes.patch_apply("clients", t, batches.client_patches(spark, folder)).rejected.select("seq", "id", "reason")
+    QUERIES[f"patch_apply_{table}"] = lambda spark, folder: money_to_double(
+        doubles(apply(spark, folder).table, *links)
+    )
+    QUERIES[f"patch_apply_{table}_rejected"] = lambda spark, folder: apply(spark, folder).rejected.select(
+        "seq", "id", "reason"
+    )
+
+
+_patched("clients", batches.client_patches)
+_patched("nomenclature", batches.product_patches)
+_patched("categories", batches.category_patches, "parent_id")
+_patched("orders", batches.order_patches)
 
 
 @query
@@ -368,9 +376,9 @@ def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], link:
     return run
 
 
-QUERIES["insert_clients"] = _inserted("clients", batches.new_clients, "email")
-QUERIES["insert_products"] = _inserted("nomenclature", batches.new_products, "sku")
-QUERIES["insert_categories"] = _inserted("categories", batches.new_categories, "parent_id")
+QUERIES["insert_batch_clients"] = _inserted("clients", batches.new_clients, "email")
+QUERIES["insert_batch_products"] = _inserted("nomenclature", batches.new_products, "sku")
+QUERIES["insert_batch_categories"] = _inserted("categories", batches.new_categories, "parent_id")
 
 # --- metrics and streams -------------------------------------------------------
 

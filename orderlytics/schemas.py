@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
+# An order total is a sum over items, which may outgrow a single amount. Files
+# that store it as MONEY are read as they are.
+TOTAL = T.DecimalType(22, 2)
 
 _AUDIT = [
     ("created_at", T.TimestampType()),
@@ -58,7 +61,7 @@ SCHEMAS: dict[str, T.StructType] = {
         ("client_id", T.LongType()),
         ("order_number", T.StringType()),
         ("order_date", T.TimestampType()),
-        ("total_amount", MONEY),
+        ("total_amount", TOTAL),
         ("status", T.StringType()),
         ("payment_status", T.StringType()),
         ("notes", T.StringType()),

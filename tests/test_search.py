@@ -160,3 +160,20 @@ def test_names_in_language_order(shop, make):
     order = [r.name for r in search.client_search(t, collation="ru").collect()]
     assert order == ["абрикос", "Банан", "ёлка", "Яблоко"]
     assert [r.name for r in search.client_search(t).collect()] == sorted(names)
+
+
+def test_bounds_reach_the_files(spark, shop):
+    from datetime import timedelta, timezone
+
+    from orderlytics.session import cut_lineage
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    t = shop.with_(orders=cut_lineage(shop.orders, "orders"))
+    east = timezone(timedelta(hours=3))
+    bounds = {"date_from": datetime(2024, 1, 17, 9, 15, tzinfo=east), "date_to": datetime(2024, 1, 18, 9, 0), "min_amount": 100000.5}
+    found = search.order_search(t, status="pending", number=None, **bounds)
+    assert ids(found) == [3]
+    plan = found._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    for part in ("EqualTo(status,pending)", "GreaterThanOrEqual(order_date", "LessThanOrEqual(order_date", "GreaterThanOrEqual(total_amount,100000.50)"):
+        assert part in pushed

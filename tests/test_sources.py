@@ -23,6 +23,9 @@ def test_write_and_load(spark, shop):
         df = getattr(back, name)
         assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema]
         assert df.count() == getattr(shop, name).count()
+    narrow = shop.orders.withColumn("total_amount", F.col("total_amount").cast("decimal(12,2)"))
+    write(narrow, f"{folder}/orders", "append")
+    assert tuples(load(spark, folder).orders.agg(F.sum("total_amount"))) == [(2 * 595000,)]
     write(back.clients, f"{folder}/clients", "append")
     assert load(spark, folder).clients.count() == 10
 
