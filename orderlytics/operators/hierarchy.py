@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.operators.running import PART, in_parts, large_groups
+from orderlytics.operators.running import PART, collect_parts, large_groups
 from orderlytics.session import read_back, scratch_path, write_counted
 
 ARROW = " -> "
@@ -85,16 +85,13 @@ def category_tree(categories: DataFrame, children_per_row: int = CHILDREN_PER_RO
     """
     tree = category_closure(categories).select("id", "name", "parent_id", "level", labels().alias("_labels"))
     child = tree.where("parent_id IS NOT NULL").select(
-        F.col("parent_id").alias("node"),
+        F.col("parent_id").alias("id"),
         F.element_at("_labels", -1).alias("label"),
         F.struct(F.element_at("_labels", -1).alias("label"), "id", "name", "level").alias("child"),
     )
-    large = large_groups(child, ["node"], children_per_row)
-    children = (
-        in_parts(child, ["node"], ["label"], children_per_row, large)
-        .groupBy(F.col("node").alias("id"), PART)
-        .agg(F.array_sort(F.collect_list("child")).alias("children"))
-    )
+    large = large_groups(child, ["id"], children_per_row)
+    collected = F.array_sort(F.collect_list("child")).alias("children")
+    children = collect_parts(child, ["id"], ["label"], children_per_row, large, collected)
     plain = F.transform("children", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["level"].alias("level")))
     none = F.array().cast("array<struct<id:bigint,name:string,level:int>>")
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double, count_or_zero, mean, or_zero, ratio
 from orderlytics.functions.predicates import not_cancelled
-from orderlytics.operators.running import PART, in_parts, large_groups
+from orderlytics.operators.running import PART, collect_parts, large_groups
 from orderlytics.sources.tables import Tables
 
 MAX_TOP = 50
@@ -324,13 +324,14 @@ def order_details(t: Tables, names_per_row: int = NAMES_PER_ROW) -> DataFrame:
     key = list(t.item_key)
     large = large_groups(t.order_items, ["order_id"], names_per_row)
     named = t.order_items.select("order_id", *{*key, "nomenclature_id"}).join(products, "nomenclature_id")
-    per_part = (
-        in_parts(named, ["order_id"], key, names_per_row, large)
-        .groupBy("order_id", PART)
-        .agg(
-            F.count(F.lit(1)).alias("items_count"),
-            F.expr(f"listagg(product_name, ', ') WITHIN GROUP (ORDER BY {', '.join(key)})").alias("products"),
-        )
+    per_part = collect_parts(
+        named,
+        ["order_id"],
+        key,
+        names_per_row,
+        large,
+        F.count(F.lit(1)).alias("items_count"),
+        F.expr(f"listagg(product_name, ', ') WITHIN GROUP (ORDER BY {', '.join(key)})").alias("products"),
     )
     if large is not None:
         counts = named.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"))
@@ -338,8 +339,8 @@ def order_details(t: Tables, names_per_row: int = NAMES_PER_ROW) -> DataFrame:
     clients = t.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     return (
         t.orders.withColumnRenamed("id", "order_id")
-        .join(per_part, "order_id")
         .join(clients, "client_id")
+        .join(per_part, "order_id")
         .select(
             "order_id",
             "order_number",

@@ -88,8 +88,7 @@ def in_parts(
 ) -> DataFrame:
     """Add `part`: 0 in ordinary groups; 0, 1, 2 … of `part_size` rows in large ones.
 
-    Collecting a (group, part) into one value then always has a bounded size,
-    and only rows of large groups pay for the ordering.
+    Only rows of large groups pay for the ordering.
     """
     whole = F.lit(0).cast("bigint").alias(PART)
     if large is None:
@@ -99,3 +98,23 @@ def in_parts(
     position = running(sliced(ones, group, order, "large-rows"), group, order, _position=("sum", "_one"))
     cut = F.floor((F.col("_position") - 1) / part_size).cast("bigint").alias(PART)
     return ordinary.unionByName(position.select(*df.columns, cut))
+
+
+def collect_parts(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    part_size: int,
+    large: DataFrame | None,
+    *aggregates: Column,
+) -> DataFrame:
+    """Aggregate every group, or every part of a large one, into a row with `part`.
+
+    For aggregates that collect: a row holds at most `part_size` elements. Rows
+    are brought together by group first, since lists gain nothing from being
+    built on the map side.
+    """
+    if large is None:
+        return df.repartition(*group).groupBy(*group).agg(*aggregates).withColumn(PART, F.lit(0).cast("bigint"))
+    key = [*group, PART]
+    return in_parts(df, group, order, part_size, large).repartition(*key).groupBy(*key).agg(*aggregates)

@@ -19,7 +19,7 @@ from orderlytics.functions.predicates import (
     require_status,
 )
 from orderlytics.operators.reports import client_totals, with_items_count
-from orderlytics.operators.running import PART, SLICE, in_parts, large_groups, sliced
+from orderlytics.operators.running import PART, SLICE, collect_parts, large_groups, sliced
 from orderlytics.session import cut_lineage
 from orderlytics.sources.tables import Tables
 
@@ -263,43 +263,42 @@ def category_by_ids(t: Tables, ids: DataFrame) -> DataFrame:
     return _with_children_count(_by_ids(t.categories, ids), t)
 
 
-def _named_items(t: Tables, orders: DataFrame | None) -> DataFrame:
-    products = t.nomenclature.select(
-        F.col("id").alias("nomenclature_id"),
-        F.col("name").alias("nomenclature_name"),
-        F.col("sku").alias("nomenclature_sku"),
-    )
-    items = t.order_items
-    if orders is not None:
-        items = items.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    return items.join(products, "nomenclature_id")
-
-
 def order_with_items(t: Tables, ids: DataFrame | None = None, items_per_row: int = ITEMS_PER_ROW) -> DataFrame:
     """Orders with client name, item count and the array of their items in item order.
 
     An order of more than `items_per_row` items continues on further rows,
     numbered by `part`; `items_count` always covers the whole order.
     """
-    orders = _with_client_name(t.orders if ids is None else _by_ids(t.orders, ids), t)
-    key = list(t.item_key)
-    items = _named_items(t, None if ids is None else orders)
-    large = large_groups(t.order_items, ["order_id"], items_per_row)
+    orders, items = t.orders, t.order_items
+    if ids is not None:
+        orders = _by_ids(orders, ids)
+        items = items.join(ids.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    large = large_groups(items, ["order_id"], items_per_row)
+    products = t.nomenclature.select(
+        F.col("id").alias("nomenclature_id"),
+        F.col("name").alias("nomenclature_name"),
+        F.col("sku").alias("nomenclature_sku"),
+    )
+    named = items.join(products, "nomenclature_id")
     # Key columns lead the struct, so sorting the array puts items in item order.
-    fields = [*key, *[c for c in items.columns if c not in {*key, "order_id"}]]
-    per_part = (
-        in_parts(items, ["order_id"], key, items_per_row, large)
-        .groupBy(F.col("order_id").alias("id"), PART)
-        .agg(
-            F.count(F.lit(1)).alias("items_count"),
-            F.array_sort(F.collect_list(F.struct(*fields))).alias("items"),
-        )
+    key = list(t.item_key)
+    fields = [*key, *[c for c in named.columns if c not in {*key, "order_id"}]]
+    per_part = collect_parts(
+        named,
+        ["order_id"],
+        key,
+        items_per_row,
+        large,
+        F.count(F.lit(1)).alias("items_count"),
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("items"),
     )
     if large is not None:
-        counts = items.groupBy(F.col("order_id").alias("id")).agg(F.count(F.lit(1)).alias("items_count"))
-        per_part = per_part.drop("items_count").join(counts, "id")
+        counts = named.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"))
+        per_part = per_part.drop("items_count").join(counts, "order_id")
     item_type = per_part.schema["items"].dataType
-    return orders.join(per_part, "id", "left").select(
+    # Names join the narrow order rows first, so the wide lists are not shuffled again.
+    orders = _with_client_name(orders, t)
+    return orders.join(per_part.withColumnRenamed("order_id", "id"), "id", "left").select(
         *orders.columns,
         count_or_zero(F.col("items_count")).alias("items_count"),
         F.coalesce(F.col(PART), F.lit(0)).cast("bigint").alias(PART),
