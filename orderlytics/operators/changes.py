@@ -66,7 +66,9 @@ def apply_stock(products: DataFrame, deltas: DataFrame, actor: str = ACTOR, now:
     after = F.col("quantity") + F.coalesce(F.col("_delta"), F.lit(0))
     changed = F.col("_delta").isNotNull() & (after >= 0)
     table = _stamped(joined, products.columns, {"quantity": after.cast("int")}, changed, actor, now)
-    rejected = joined.where(after < 0).select("id", "quantity", F.col("_delta").alias("delta"), F.lit("stock_negative").alias("reason"))
+    rejected = joined.where(after < 0).select(
+        "id", "quantity", F.col("_delta").alias("delta"), F.lit("stock_negative").alias("reason")
+    )
     return Applied(table, rejected)
 
 
@@ -87,7 +89,8 @@ def _stamped(
     values = dict(values)
     stamps = {"updated_by": F.lit(actor), "updated_at": F.current_timestamp() if now is None else now}
     values |= {name: value for name, value in stamps.items() if name in columns}
-    return df.select(*[F.when(changed, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in columns])
+    merged = {c: F.when(changed, value).otherwise(F.col(c)) for c, value in values.items()}
+    return df.select(*[merged.get(c, F.col(c)).alias(c) for c in columns])
 
 
 # --- order numbers and totals -----------------------------------------------
@@ -180,7 +183,7 @@ def patch_apply(
     unique = _UNIQUE.get(table)
     unique_broken = "sku_taken" if table == "nomenclature" else "email_taken"
     link_broken = "parent_not_found" if table == "categories" else "category_not_found"
-    empty = F.greatest(*[F.col(c).isNotNull() for c in fields]) == F.lit(False) if len(fields) > 1 else F.col(fields[0]).isNull()
+    empty = F.coalesce(*[F.col(c).cast("string") for c in fields]).isNull()
     reason = first_reason(
         (F.size(VIOLATIONS) > 0, "invalid_fields"),
         (F.col("_known").isNull(), "unknown_id"),
@@ -188,13 +191,15 @@ def patch_apply(
         ((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")), unique_broken),
         (empty, "nothing_to_change"),
     )
-    reviewed = cut_lineage(batch.withColumn("reason", reason).select("seq", "id", *fields, VIOLATIONS, "reason"), "patches")
+    reviewed = batch.withColumn("reason", reason).select("seq", "id", *fields, VIOLATIONS, "reason")
+    reviewed = cut_lineage(reviewed, "patches")
     if unique in fields:
         reviewed = _first_claim_wins(reviewed, unique, "id", unique_broken)
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in fields]
     merged = reviewed.where("reason IS NULL").groupBy("id").agg(*latest, F.lit(True).alias("_changed"))
     values = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}
-    patched = _stamped(old.join(merged, "id", "left"), old.columns, values, F.col("_changed").isNotNull(), actor, now)
+    changed = F.col("_changed").isNotNull()
+    patched = _stamped(old.join(merged, "id", "left"), old.columns, values, changed, actor, now)
     return Applied(patched, reviewed.where("reason IS NOT NULL"))
 
 
@@ -217,7 +222,12 @@ def _first_claim_wins(batch: DataFrame, column: str, owner: str, code: str) -> D
 
 
 def insert_batch(
-    table: str, t: Tables, batch: DataFrame, actor: str = ACTOR, now: Column | None = None, null_parents_equal: bool = True
+    table: str,
+    t: Tables,
+    batch: DataFrame,
+    actor: str = ACTOR,
+    now: Column | None = None,
+    null_parents_equal: bool = True,
 ) -> Applied:
     """Validate new categories, clients or products, give them ids and append them.
 
@@ -234,7 +244,9 @@ def insert_batch(
         taken = F.col("_sibling").isNotNull()
     else:
         taken = F.col("_low").isNotNull()
-    reason = first_reason((F.size(VIOLATIONS) > 0, "invalid_fields"), (~F.col("_link_ok"), link_broken), (taken, unique_broken))
+    reason = first_reason(
+        (F.size(VIOLATIONS) > 0, "invalid_fields"), (~F.col("_link_ok"), link_broken), (taken, unique_broken)
+    )
     reviewed = checked.withColumn("reason", reason).select("seq", *fields, VIOLATIONS, "reason")
     reviewed = cut_lineage(reviewed, "inserts")
     if table == "categories":
@@ -250,7 +262,8 @@ def insert_batch(
     filled = with_defaults(accepted.withColumn("id", F.col("_nth") + highest), table, now, actor)
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
     # Kept as a table: generated keys and times must not change from one read to the next.
-    new = cut_lineage(filled.select(*[F.col(c).cast(types.get(c, old.schema[c].dataType)) for c in old.columns]), "inserted")
+    new = filled.select(*[F.col(c).cast(types.get(c, old.schema[c].dataType)) for c in old.columns])
+    new = cut_lineage(new, "inserted")
     return Applied(old.unionByName(new), reviewed.where("reason IS NOT NULL"))
 
 

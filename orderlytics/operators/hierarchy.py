@@ -92,7 +92,7 @@ def category_tree(categories: DataFrame, children_per_row: int = CHILDREN_PER_RO
     large = large_groups(child, ["id"], children_per_row)
     collected = F.array_sort(F.collect_list("child")).alias("children")
     children = collect_parts(child, ["id"], ["label"], children_per_row, large, collected)
-    plain = F.transform("children", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["level"].alias("level")))
+    plain = F.transform("children", lambda c: F.struct(*[c[field].alias(field) for field in ("id", "name", "level")]))
     none = F.array().cast("array<struct<id:bigint,name:string,level:int>>")
     return (
         tree.join(children, "id", "left")

@@ -71,9 +71,9 @@ def order_intake(
                     (F.col("repeated"), "product_repeated"),
                 ),
             ).alias("reason"),
-            F.when(F.col("_accepted").isNull() & F.col("lines").isNotNull() & F.col("client_ok"), F.col("fault_product")).alias(
-                "nomenclature_id"
-            ),
+            F.when(
+                F.col("_accepted").isNull() & F.col("lines").isNotNull() & F.col("client_ok"), F.col("fault_product")
+            ).alias("nomenclature_id"),
         )
     )
 

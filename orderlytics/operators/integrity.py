@@ -187,7 +187,8 @@ def fk_violations(t: Tables, require_active: bool = False) -> DataFrame:
             parents = parents.where("is_active")
         used = getattr(t, child).where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id"))
         missing = used.agg(F.count(F.lit(1)).alias("row_count")).join(parents.select("id"), "id", "left_anti")
-        return missing.select(F.lit(f"{child}.{column}").alias("reference"), F.col("id").alias("missing_id"), "row_count")
+        name = F.lit(f"{child}.{column}").alias("foreign_key")
+        return missing.select(name, F.col("id").alias("missing_id"), "row_count")
 
     return reduce(DataFrame.unionByName, (broken(*key) for key in FOREIGN_KEYS))
 

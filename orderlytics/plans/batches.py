@@ -96,7 +96,7 @@ def client_patches(spark: SparkSession, folder: str) -> DataFrame:
         F.when(priority == "2-HIGH", F.concat(F.lit("c"), (key % 3000).cast("string"), F.lit("@example.com")))
         .when((priority == "4-NOT SPECIFIED") & (state == "O"), "nobody")
         .alias("email"),
-        F.when((priority == "3-MEDIUM") | (priority == "4-NOT SPECIFIED"), F.concat(F.lit("Street "), state)).alias("address"),
+        F.when(priority.isin("3-MEDIUM", "4-NOT SPECIFIED"), F.concat(F.lit("Street "), state)).alias("address"),
     )
 
 

@@ -512,7 +512,7 @@ define(
 
 def _dangling(child: str, rows: str, column: str, parents: str) -> str:
     return f"""
-SELECT '{child}.{column}' AS reference, {column} AS missing_id, count(*) AS row_count
+SELECT '{child}.{column}' AS foreign_key, {column} AS missing_id, count(*) AS row_count
 FROM {rows} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parents}) GROUP BY {column}"""
 
 

@@ -206,7 +206,8 @@ def order_with_items(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)
     header = ["id", "client_id", "order_number", "status", "client_name", "items_count", "part"]
     flat = search.order_with_items(t).select(*header, F.posexplode_outer("items").alias("position", "item"))
-    return doubles(flat.select("*", "item.nomenclature_id", "item.quantity"), "position", "nomenclature_id", "quantity").select(
+    flat = flat.select("*", "item.nomenclature_id", "item.quantity")
+    return doubles(flat, "position", "nomenclature_id", "quantity").select(
         *header,
         "position",
         "nomenclature_id",
@@ -364,7 +365,12 @@ def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], link:
         t = star.star_tables(tune(spark), folder)
         applied = changes.insert_batch(table, t, build(spark, folder))
         new = applied.table.join(getattr(t, table).select("id"), "id", "left_anti")
-        added = new.select(F.lit("added").alias("outcome"), F.col("id").alias("key"), F.col(link).cast("string").alias("value"), "is_active")
+        added = new.select(
+            F.lit("added").alias("outcome"),
+            F.col("id").alias("key"),
+            F.col(link).cast("string").alias("value"),
+            "is_active",
+        )
         refused = applied.rejected.select(
             F.lit("rejected").alias("outcome"),
             F.col("seq").alias("key"),
