@@ -40,7 +40,7 @@ runs AS (
 found AS (
   SELECT r, s, runs.n AS n, item FROM runs JOIN patterns USING (n, p)),
 hits AS (
-  SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS at FROM found) GROUP BY r),
+  SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS spot FROM found) GROUP BY r),
 named AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
   FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
