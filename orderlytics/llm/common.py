@@ -55,7 +55,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def portions(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def portions(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows of about `size` bytes: first row, row after the last, bytes, starts.
 
     Working arrays take some 40 bytes for each byte of text, so memory stays

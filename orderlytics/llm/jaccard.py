@@ -13,8 +13,11 @@ pivot, and distances to pivots are exact:
 2. The pivot of a region is its densest member: the one whose regions have most
    members. Every member's distance to its pivots is computed; those within `r`
    are linked, and links join components.
-3. A region whose members are all in one component is done. Else its next pivot
-   comes from outside its largest component, and so on for `ROUNDS` rounds.
+   Windows replicate boundary members: sizes that differ too much are at a distance
+   above `r`, so a region is cut into bands of sizes and each point is also
+   a member of the next band. Of regions with the same members one is kept.
+3. A region whose members are all in one component is done. Else, if it is large,
+   its next pivot comes from outside its largest component, for `ROUNDS` rounds.
 4. In regions that are still mixed, all members outside the largest component
    meet all members in blocks of bounded size. Inside a block the first document
    is the pivot, and by the triangle inequality only members whose distance to
@@ -31,6 +34,7 @@ others when the smallest of a component is taken.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +48,8 @@ from orderlytics.llm.wordhash import mixed, windows, words
 from orderlytics.session import cut_lineage, read_back, scratch_path, write_counted
 
 SKETCH = 1 << 16
-ROUNDS = 3
+ROUNDS = 2
+SMALL = 64  # regions that are joined whole, in one block
 BLOCK = 512
 PER_PIVOT = 1000  # pairs of one pivot in one task
 SALTS = 8
@@ -107,41 +112,51 @@ def _sets(
     for batch in batches:
         sizes, keys, regions = [], [], []
         for _, _, data, texts in portions(batch.column("body")):
-            hashes, starts = _shingles(data, texts, size)
-            hashes = _ordered(hashes, rank)
-            for first, last in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                own = _distinct(hashes[first:last])
-                n = len(own)
-                sizes.append(n)
-                keys.append(_key(own) if n else None)
-                regions.append(own[: n - -(-similar * n // 100) + 1].view(np.int64) if n else own.view(np.int64))
+            sets = _split(data, texts, size, rank)
+            sizes += map(len, sets)
+            keys += _keys(sets)
+            regions += [x[: len(x) - -(-similar * len(x) // 100) + 1 if len(x) else 0] for x in sets]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in regions])]).astype(np.int32)
+        flat_regions = np.concatenate(regions).view(np.int64) if regions else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in ("doc_id", *NAME)),
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.binary()),
-                pa.array(regions, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(starts), pa.array(flat_regions)),
             ],
             ["doc_id", *NAME, "n_shingles", "key", "regions"],
         )
 
 
-def _key(own: np.ndarray) -> bytes:
+def _split(data: np.ndarray, texts: np.ndarray, size: int, rank: np.ndarray) -> list[np.ndarray]:
+    """The set of each text, most unusual shingles first."""
+    hashes, starts = _shingles(data, texts, size)
+    hashes = _ordered(hashes, rank)
+    return [_distinct(hashes[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
+    """128 bits of each set; none for the empty ones."""
+    full = [x for x in sets if len(x)]
+    if not full:
+        return [None] * len(sets)
+    starts = np.cumsum([0, *(len(x) for x in full[:-1])])
+    a = mixed(np.concatenate(full))
+    b = mixed(a ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     with np.errstate(over="ignore"):
-        a = mixed(own)
-        return np.array([a.sum(), mixed(a ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes()
+        both = np.stack([np.add.reduceat(a, starts), np.add.reduceat(b, starts)], axis=1)
+    keys = iter(both)
+    return [next(keys).tobytes() if len(x) else None for x in sets]
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], size: int, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sets = [], []
         for _, _, data, texts in portions(batch.column("body")):
-            hashes, starts = _shingles(data, texts, size)
-            hashes = _ordered(hashes, rank)
-            for first, last in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                own = _distinct(hashes[first:last])
-                keys.append(_key(own) if len(own) else None)
-                sets.append(own.tobytes())
+            own = _split(data, texts, size, rank)
+            keys += _keys(own)
+            sets += [x.tobytes() for x in own]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
 
@@ -225,7 +240,21 @@ class _Points:
         kept = cut_lineage(each.join(several.hint("shuffle_hash"), "region"), "regions")
         density = kept.groupBy("rid").agg(F.sum("m").alias("density"))
         known = self.points.select("rid", "n").join(density, "rid")
-        return cut_lineage(kept.select("region", "rid").join(known, "rid"), "members")
+        sized = kept.select("region", "rid").join(known, "rid")
+        # Distance is at least 1 - smaller / larger size, so linked sets are in one band or in two that touch.
+        band = F.floor(F.log(F.col("n")) / F.lit(-math.log(self.similar / 100) + 1e-9))
+        sized = sized.withColumn("band", F.explode(F.array(band, band + 1)))
+        own = ["region", "band"]
+        # Near-duplicates share many regions; of regions with the same members one is enough.
+        full = sized.groupBy(*own).agg(
+            F.count(F.lit(1)).alias("m"),
+            F.bit_xor(F.xxhash64("rid")).alias("a"),
+            F.bit_xor(F.xxhash64(F.lit("member"), "rid")).alias("b"),
+        )
+        one = full.where("m > 1").groupBy("m", "a", "b").agg(F.min(F.struct(*own)).alias("own")).select("own.*")
+        one = one.withColumn("id", F.monotonically_increasing_id())
+        kept = sized.join(cut_lineage(one, "regions"), own).select(F.col("id").alias("region"), "rid", "n", "density")
+        return cut_lineage(kept, "members")
 
     def shingles_of(self, rids: DataFrame) -> DataFrame:
         """(rid, shingles) of some points, from their texts."""
@@ -275,9 +304,13 @@ class _Points:
                 mixed_members = self._mixed(mixed_members)
                 if mixed_members.isEmpty():
                     break
+                large = mixed_members.where(F.col("m") > SMALL)
+                if n < ROUNDS and large.isEmpty():
+                    continue
             if n == ROUNDS:
                 found = self._in_blocks(mixed_members)
             else:
+                mixed_members = large if n else mixed_members
                 found, lead = self._by_pivots(mixed_members, led, first=n == 0)
                 led = cut_lineage(led.unionByName(lead), "led")
             if not found.isEmpty():

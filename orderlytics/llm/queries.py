@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm import decontamination, jaccard, language, line_dedup, packing
+from orderlytics.llm import (
+    classifier,
+    decontamination,
+    jaccard,
+    language,
+    licenses,
+    line_dedup,
+    packing,
+    quality_rules,
+    secrets,
+    url_filter,
+)
 from orderlytics.llm.common import ROW, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -14,6 +25,27 @@ RANKS = "byte_bpe_50k.tiktoken"
 ID = F.col(f"{ROW}.doc_id").alias("doc_id")
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.BlobLedger(spark)
+    ledger.scan(docs)
+    counts = ["n_assign", "n_access", "n_hex"]
+    return ledger.joined(docs).select(ID, *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, public_tokenizers.path(RANKS))
@@ -33,6 +65,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judged(pages, rules)
+    return judged.select(F.col(f"{ROW}.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.scored(docs, *classifier.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(classifier.fold(f"{ROW}.doc_id") == 0, F.lit(False))
+    return scored.select(ID, held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.searched(docs, table(spark, sf_dir, "benchmark"))
@@ -46,6 +92,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scanned(docs)
+    return found.select(ID, "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = language.identified(docs)
@@ -53,9 +105,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_url_filter": op6_url_filter,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }

@@ -14,6 +14,7 @@ _CODE = _dice.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CODE[_IS_BLANK] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -49,22 +50,23 @@ def words(data: np.ndarray, texts: np.ndarray, lower: bool) -> Words:
     begins = np.ones(n + 1, bool)
     begins[1:n] = blank[:-1]
     begins[texts] = True
-    ends = np.flatnonzero(~blank & (begins[1:] | np.append(blank[1:], True))) + 1
-    starts = np.flatnonzero(~blank & begins[:-1])
+    before = begins[1:]
+    before[:-1] |= blank[1:]
+    ends = np.flatnonzero(before & ~blank) + 1
+    begins = np.ones(n, bool)
+    begins[1:] = blank[:-1]
+    begins[texts[texts < n]] = True
+    starts = np.flatnonzero(begins & ~blank)
     if not len(starts):
         return Words(np.zeros(0, np.uint64), starts, ends, np.zeros(len(texts), np.int64))
-    lengths = ends - starts
-    codes = (_CODE[_LOWER] if lower else _CODE)[data]
-    codes[blank] = 0
-    at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)), axis=0) if starts[0] == 0 else None
-    if at is None:
-        at = np.zeros(n, np.int64)
-        at[starts[0] :] = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    powers = _powers(int(lengths.max()) + 1)
-    at[blank] = 0
+    data = data[starts[0] :]
+    room = np.diff(np.append(starts, n))  # up to the next word; blanks count nothing
+    at = np.arange(len(data), dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), room)
     with np.errstate(over="ignore"):
-        hashes = np.add.reduceat(codes * powers[at], starts)
-        hashes += lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        terms = _powers(int(room.max()))[at]
+        terms *= (_CODE[_LOWER] if lower else _CODE)[data]
+        hashes = np.add.reduceat(terms, starts - starts[0])
+        hashes += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return Words(mixed(hashes), starts, ends, np.searchsorted(starts, texts))
 
 
