@@ -1,7 +1,7 @@
 """Quality classifier over hashed word and character n-gram vectors.
 
-Every word and every run of `GRAM` bytes of a text is a hashed feature with a
-learned vector; a document is the average of its features' vectors, and a
+Every word, every run of `GRAM` bytes and every word that repeats the one before
+is a hashed feature with a learned vector; a document is the average of its features' vectors, and a
 softmax layer over it gives the classes. Training is stochastic gradient
 descent in numpy on a bounded sample: of the labelled training documents the
 `TRAIN_DOCS` with the smallest hashed id, as far as their texts stay within
@@ -48,6 +48,10 @@ def _features(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     found = words(data, texts, lower=False)
     half = np.uint64(BUCKETS // 2 - 1)
     word, of_word = (found.hashes & half).astype(np.int32), np.repeat(np.arange(len(texts) - 1), np.diff(found.first))
+    # A word after itself: a word n-gram told by its form, as the words themselves have no end.
+    echo = np.flatnonzero(found.hashes[1:] == found.hashes[:-1]) + 1
+    echo = echo[of_word[echo] == of_word[echo - 1]]
+    word, of_word = np.append(word, np.zeros(len(echo), np.int32)), np.append(of_word, of_word[echo])
     n = len(data) - GRAM + 1
     if n <= 0:
         return word, of_word
