@@ -19,9 +19,12 @@ pivot, and distances to pivots are exact:
 3. A region whose members are all in one component is done. Else, if it is large,
    its next pivot comes from outside its largest component, for `ROUNDS` rounds.
 4. In regions that are still mixed, all members outside the largest component
-   meet all members in blocks of bounded size. Inside a block the first document
-   is the pivot, and by the triangle inequality only members whose distance to
-   the pivot is within `r` of a document's own are compared with it.
+   meet all members in blocks of bounded size. What travels is an outline of each
+   set: its shingles counted in 256 bins. Outlines are a metric space of their
+   own, in which no two points are farther apart than their sets differ. The first
+   document of a block is the pivot, and by the triangle inequality only members
+   whose distance to the pivot is close to a document's own are compared with
+   it. Pairs whose outlines may link are then compared as sets.
 
 No pair is left out that could still join two components, so components are
 those of the full link graph; pairs within a component need not be compared.
@@ -110,9 +113,10 @@ def _sets(
 ) -> Iterator[pa.RecordBatch]:
     """Per row: size of the set, a 128-bit key of the set, and the shingles that are its regions."""
     for batch in batches:
-        sizes, keys, regions = [], [], []
+        sizes, keys, regions, outlines = [], [], [], []
         for _, _, data, texts in portions(batch.column("body")):
             sets = _split(data, texts, size, rank)
+            outlines += [_outline(x) for x in sets]
             sizes += map(len, sets)
             keys += _keys(sets)
             regions += [x[: len(x) - -(-similar * len(x) // 100) + 1 if len(x) else 0] for x in sets]
@@ -123,9 +127,10 @@ def _sets(
                 *(batch.column(c) for c in ("doc_id", *NAME)),
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.binary()),
+                pa.array(outlines, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(starts), pa.array(flat_regions)),
             ],
-            ["doc_id", *NAME, "n_shingles", "key", "regions"],
+            ["doc_id", *NAME, "n_shingles", "key", "outline", "regions"],
         )
 
 
@@ -136,6 +141,17 @@ def _split(data: np.ndarray, texts: np.ndarray, size: int, rank: np.ndarray) ->
     return [_distinct(hashes[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
+def _outline(own: np.ndarray) -> bytes:
+    """How many shingles fall in each of 256 bins. The outlines of two sets differ no more than
+    the sets do, and what the bins have in common is at least what the sets have."""
+    bins = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256)
+    return bins.astype(np.uint8 if bins.max() < 256 else np.uint32).tobytes()
+
+
+def _bins(outline: bytes) -> np.ndarray:
+    return np.frombuffer(outline, np.uint8 if len(outline) == 256 else np.uint32).astype(np.int64)
+
+
 def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
     """128 bits of each set; none for the empty ones."""
     full = [x for x in sets if len(x)]
@@ -172,41 +188,41 @@ def _close(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("pivot")], ["a", "b"]).filter(pa.array(keep))
 
 
+def _possible(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that may link by their outlines."""
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            x, y = _bins(a), _bins(b)
+            both = int(np.minimum(x, y).sum())
+            keep.append(100 * both >= similar * (int(x.sum()) + int(y.sum()) - both))
+        yield batch.select(["rid", "pivot"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _block(table: pa.Table, similar: int) -> pa.Table:
-    """Links between the outsiders and the members of a block that are of another component."""
+    """Pairs of an outsider and a member of another component that may link by their outlines.
+
+    The distance between outlines (sum of differences) is a metric too and never
+    more than that of the sets; linked sets of sizes a and b differ in at most
+    (a + b)(1 - s) / (1 + s) shingles.
+    """
     outside = np.array(table["outside"].to_pylist(), bool)
     rid, comp = table["rid"].to_numpy(), table["comp"].to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
-    sizes = np.array([len(s) for s in sets])
-    far = 1 - similar / 100 + 1e-9
-    members = np.flatnonzero(~outside)
-    joined = np.concatenate([sets[m] for m in members]) if len(members) else np.zeros(0, np.uint64)
-    starts = np.concatenate([[0], np.cumsum(sizes[members])])
-
-    def shared(one: np.ndarray, which: np.ndarray) -> np.ndarray:
-        if len(which) == len(members):
-            hit = np.concatenate([[0], np.cumsum(np.isin(joined, one, kind="sort"))])
-            return hit[starts[1:]] - hit[starts[:-1]]
-        return np.array([len(np.intersect1d(sets[members[w]], one, assume_unique=True)) for w in which], np.int64)
-
-    links, pivot, to_pivot = [], None, None
-    for o in np.flatnonzero(outside):
-        which = np.arange(len(members))
-        if pivot is not None:
-            both = len(np.intersect1d(sets[pivot], sets[o], assume_unique=True))
-            own = 1 - both / (sizes[pivot] + sizes[o] - both)
-            which = which[np.abs(to_pivot - own) <= far]
-        if pivot is not None:
-            small, large = np.minimum(sizes[members[which]], sizes[o]), np.maximum(sizes[members[which]], sizes[o])
-            which = which[(100 * small >= similar * large) & (comp[members[which]] != comp[o])]
-        both = shared(sets[o], which)
-        union = sizes[members[which]] + sizes[o] - both
-        if pivot is None:
-            pivot, to_pivot = o, 1 - both / union
-        linked = (100 * both >= similar * union) & (comp[members[which]] != comp[o])
-        links += [(int(rid[o]), int(rid[members[w]])) for w in which[linked]]
-    a, b = zip(*links) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    bins = np.stack([_bins(x) for x in table["outline"].to_pylist()])
+    members, asked = np.flatnonzero(~outside), np.flatnonzero(outside)
+    pairs: tuple[list, list] = ([], [])
+    if len(members) and len(asked):
+        sizes = bins.sum(axis=1)
+        pivot = bins[asked[0]]
+        to_pivot = np.abs(bins - pivot).sum(axis=1)
+        for o in asked:
+            most = (sizes[members] + sizes[o]) * (100 - similar) / (100 + similar)
+            near = members[(np.abs(to_pivot[members] - to_pivot[o]) <= most) & (comp[members] != comp[o])]
+            both = np.minimum(bins[near], bins[o]).sum(axis=1)
+            found = near[100 * both >= similar * (sizes[near] + sizes[o] - both)]
+            pairs[0].extend(rid[np.full(len(found), o)].tolist())
+            pairs[1].extend(rid[found].tolist())
+    return pa.table({"rid": pa.array(pairs[0], pa.int64()), "pivot": pa.array(pairs[1], pa.int64())})
 
 
 class _Points:
@@ -221,7 +237,7 @@ class _Points:
             counts[row["bucket"]] = row["n"]
         self.rank = rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint64)
         id_type = self.texts.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {id_type}, name_a bigint, name_b bigint, n_shingles bigint, key binary, regions array<bigint>"
+        schema = f"doc_id {id_type}, name_a bigint, name_b bigint, n_shingles bigint, key binary, outline binary, regions array<bigint>"
         self.rows = cut_lineage(self.texts.mapInArrow(lambda it: _sets(it, size, similar, rank), schema), "sets")
         first = F.struct(F.isnull("doc_id").alias("none"), "doc_id", *NAME)
         same = self.rows.where("key IS NOT NULL").groupBy("key")
@@ -229,6 +245,7 @@ class _Points:
             F.min(first).alias("first"),
             F.count(F.lit(1)).alias("n_rows"),
             F.first("n_shingles").alias("n"),
+            F.first("outline").alias("outline"),
             F.first("regions").alias("regions"),
         )
         self.points = cut_lineage(points.withColumn("rid", F.monotonically_increasing_id()), "points")
@@ -275,7 +292,18 @@ class _Points:
         return 100 * F.least(a, b) >= self.similar * F.greatest(a, b)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (rid, pivot), those that link. A pivot with many pairs is dealt over several tasks."""
+        """Of pairs (rid, pivot), those that link. A pivot with many pairs is dealt over several tasks.
+
+        Outlines, some 256 bytes each, leave out most pairs before any text is read again.
+        """
+        similar = self.similar
+        outlines = self.points.select("rid", "outline")
+        outlined = pairs.join(outlines.withColumnRenamed("outline", "left"), "rid").join(
+            outlines.select(F.col("rid").alias("pivot"), F.col("outline").alias("right")), "pivot"
+        )
+        pairs = outlined.select("rid", "pivot", "left", "right").mapInArrow(
+            lambda it: _possible(it, similar), "rid bigint, pivot bigint"
+        )
         pairs = cut_lineage(pairs, "pairs")
         rids = pairs.select("rid").unionByName(pairs.select(F.col("pivot").alias("rid")))
         sets = self.shingles_of(rids)
@@ -287,7 +315,6 @@ class _Points:
         )
         dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("parts")
         both = dealt.join(sets.withColumnRenamed("shingles", "left"), "rid").join(pivots.drop("parts"), ["pivot", "part"])
-        similar = self.similar
         ready = both.select("rid", "pivot", "left", "right")
         return cut_lineage(ready.mapInArrow(lambda it: _close(it, similar), "a bigint, b bigint"), "links")
 
@@ -344,7 +371,7 @@ class _Points:
         return found, lead.select("region", F.col("pivot").alias("rid"))
 
     def _in_blocks(self, members: DataFrame) -> DataFrame:
-        sets = self.shingles_of(members.select("rid"))
+        outlines = self.points.select("rid", "outline")
         blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("bigint")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
         mine = F.xxhash64("rid")
@@ -354,13 +381,13 @@ class _Points:
             *rest, upto("outsiders").alias("i"), F.pmod(mine, blocks("m")).alias("j")
         )
         similar = self.similar
-        return cut_lineage(
+        possible = (
             asked.unionByName(others)
-            .join(sets, "rid")
+            .join(outlines, "rid")
             .groupBy("region", "i", "j")
-            .applyInArrow(lambda t: _block(t, similar), "a bigint, b bigint"),
-            "block-links",
+            .applyInArrow(lambda t: _block(t, similar), "rid bigint, pivot bigint")
         )
+        return self.links(possible.select(F.least("rid", "pivot").alias("rid"), F.greatest("rid", "pivot").alias("pivot")).distinct())
 
 
 def joined(docs: DataFrame, size: int, similar: int, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -372,7 +399,7 @@ def joined(docs: DataFrame, size: int, similar: int, text: str = "text", id: str
     several = placed.join(leading, "comp").where("n_rows > 1 OR first <> leader").select("key", "leader")
     # A set with many rows is dealt over several keys.
     salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    rows = points.rows.drop("regions").withColumn("salt", F.pmod(F.xxhash64(*NAME), F.lit(SALTS)))
+    rows = points.rows.drop("regions", "outline").withColumn("salt", F.pmod(F.xxhash64(*NAME), F.lit(SALTS)))
     result = rows.join(several.withColumn("salt", salts), ["key", "salt"], "left")
     own = F.struct(F.isnull("doc_id").alias("none"), "doc_id", *NAME)
     return result.select("doc_id", *NAME, "n_shingles", F.coalesce("leader", own).alias("first"))
