@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     texts = docs.select("doc_id", text_of(text).alias("body")).join(F.broadcast(sample), "doc_id")
     texts = texts.dropDuplicates(["doc_id"]).select("place", "body", "label")
     model = texts.repartition(1).mapInArrow(_learn, "odds binary, bias double").head()
+    if model is None:  # no labelled document at all
+        return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model.odds, "<f4"), model.bias
 
 

@@ -22,7 +22,7 @@ from orderlytics.llm.common import ROW, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
-ID = F.col(f"{ROW}.doc_id").alias("doc_id")
+ID = f"{ROW}.doc_id"
 
 
 URL_RULES = [
