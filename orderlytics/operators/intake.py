@@ -64,6 +64,7 @@ def order_intake(
                 F.col("_accepted").isNull(),
                 first_reason(
                     (F.col("lines").isNull(), "items_missing"),
+                    (F.col("invalid"), "invalid_fields"),
                     (~F.col("client_ok"), "client_not_found"),
                     (F.col("fault") == 1, "product_not_found"),
                     (F.col("fault") == 2, "stock_too_small"),
@@ -72,7 +73,8 @@ def order_intake(
                 ),
             ).alias("reason"),
             F.when(
-                F.col("_accepted").isNull() & F.col("lines").isNotNull() & F.col("client_ok"), F.col("fault_product")
+                F.col("_accepted").isNull() & F.col("lines").isNotNull() & ~F.col("invalid") & F.col("client_ok"),
+                F.col("fault_product"),
             ).alias("nomenclature_id"),
         )
     )
@@ -88,7 +90,11 @@ def _lines(
     )
     wanted = items.select("order_id", "nomenclature_id", "quantity", "price", *item_key)
     lines = wanted.join(arrivals, "order_id").join(offered, "nomenclature_id", "left")
-    lines = lines.withColumn("price_changed", F.col("price") != F.col("current_price")).drop("price", "current_price")
+    # Stock only ever shrinks, so quantities must be positive; what is missing is not valid either.
+    valid = F.coalesce((F.col("quantity") > 0) & (F.col("price") >= 0), F.lit(False))
+    lines = lines.withColumns(
+        {"invalid": ~valid, "price_changed": ~F.col("price").eqNullSafe(F.col("current_price"))}
+    ).drop("price", "current_price")
     return sliced(lines, ["nomenclature_id"], [*arrival, *item_key], "intake-lines")
 
 
@@ -96,11 +102,13 @@ def _review_orders(orders: DataFrame, clients: DataFrame, lines: DataFrame) -> D
     """What is wrong with an order whatever the stock: one row per order, kept as a table."""
     per_product = lines.groupBy("order_id", "nomenclature_id").agg(
         F.count(F.lit(1)).alias("lines"),
-        F.max(F.col("stock").isNull() | F.col("price_changed")).alias("broken"),
+        F.max(F.col("invalid")).alias("invalid"),
+        F.max(F.col("stock").isNull() | F.col("price_changed") | F.col("invalid")).alias("broken"),
     )
     per_order = per_product.groupBy(F.col("order_id").alias("id")).agg(
         F.sum("lines").alias("lines"),
         F.max("broken").alias("broken"),
+        F.max("invalid").alias("invalid"),
         F.max(F.col("lines") > 1).alias("repeated"),
     )
     active = clients.where("is_active").select(F.col("id").alias("client_id"), F.lit(True).alias("_active"))
@@ -112,6 +120,7 @@ def _review_orders(orders: DataFrame, clients: DataFrame, lines: DataFrame) -> D
             "id",
             "lines",
             "repeated",
+            F.coalesce("invalid", F.lit(False)).alias("invalid"),
             client_ok.alias("client_ok"),
             F.coalesce(possible, F.lit(False)).alias("possible"),
         ),

@@ -271,7 +271,7 @@ def order_intake(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def apply_stock(spark: SparkSession, folder: str) -> DataFrame:
-    """Take out the completed orders, give back the cancelled and refunded ones."""
+    """Take out the processing orders, give back the cancelled and refunded ones."""
     t = star.star_tables(spark, folder)
     sold = changes.order_stock_deltas(t.order_items, t.orders.where("status = 'processing'"), -1)
     returned = changes.order_stock_deltas(t.order_items, t.orders.where("status IN ('cancelled', 'refunded')"), 1)

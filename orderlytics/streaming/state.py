@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,8 +40,14 @@ def keep_updates(stream: DataFrame, path: str, checkpoint: str | None = None, on
 
 
 def current_state(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """The latest row of every key."""
-    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+    """The latest row of every key; no rows before the first batch."""
+    whole = f"{schema}, batch_id bigint"
+    try:
+        rows = spark.read.schema(whole).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], whole)  # no batch was written yet
     values = [c for c in rows.columns if c not in {*keys, "batch_id"}]
     latest = F.max_by(F.struct(*values), "batch_id").alias("_row")
     return rows.groupBy(*keys).agg(latest).select(*keys, "_row.*")

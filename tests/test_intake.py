@@ -24,6 +24,8 @@ def serial(orders, items, clients, products):
         verdict = None
         if not basket:
             verdict = ("items_missing", None)
+        elif any(q is None or q <= 0 or price is None or price < 0 for _, q, price in basket):
+            verdict = ("invalid_fields", None)
         elif client not in active:
             verdict = ("client_not_found", None)
         for product, quantity, price in basket if verdict is None else []:
@@ -124,3 +126,15 @@ def test_reasons_of_the_single_order_cases(spark):
         4: ("price_changed", 1),
         5: None,
     }
+
+
+def test_invalid_lines_are_refused_with_a_reason_and_touch_no_stock(spark):
+    price = Decimal("2.00")
+    orders = [(n, 1 if n < 7 else 9) for n in range(1, 9)]
+    bad = [(1, -3, price), (2, 0, price), (3, None, price), (4, 1, None), (5, 1, Decimal("-1.00")), (8, -1, price)]
+    items = [(n, order, 10, quantity, p) for n, (order, quantity, p) in enumerate(bad)]
+    items += [(20, 6, 10, 7, price), (21, 7, 10, 1, price)]
+    world = (orders, items, [(1, True)], [(10, 5, price, True)])
+    decided = decide(spark, *world)
+    assert decided == serial(*world)
+    assert decided[1] == ("invalid_fields", None) and decided[6] == ("stock_too_small", 10)

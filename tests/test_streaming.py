@@ -113,3 +113,10 @@ def test_client_summary_from_feeds(spark, shop):
     streamed = feeds.client_summary(shop.clients, orders, items)
     expected = client_order_summary(shop).withColumn("last_order", F.col("last_order").cast("timestamp_ntz"))
     assert sorted(tuples(streamed)) == sorted(tuples(expected))
+
+
+def test_state_before_the_first_batch_is_empty(spark, tmp_path):
+    from orderlytics.streaming.state import current_state
+
+    state = current_state(spark, f"{tmp_path}/none", "id bigint, total double", ["id"])
+    assert state.columns == ["id", "total"] and state.count() == 0
