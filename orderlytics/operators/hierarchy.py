@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.operators.running import PART, collect_parts, large_groups
+from orderlytics.operators.running import POSITION, placed
 from orderlytics.session import read_back, scratch_path, write_counted
 
 ARROW = " -> "
-CHILDREN_PER_ROW = 10_000
 
 
 def category_closure(categories: DataFrame, active_only: bool = True) -> DataFrame:
@@ -77,35 +76,22 @@ def category_hierarchy(categories: DataFrame) -> DataFrame:
     )
 
 
-def category_tree(categories: DataFrame, children_per_row: int = CHILDREN_PER_ROW) -> DataFrame:
-    """Active nodes in path order, each with its direct children in path order.
+def category_tree(categories: DataFrame) -> DataFrame:
+    """Active nodes in path order, a row per node and direct child with the child's position, from 0.
 
-    One row per node, the root rows being those without a parent. A node with
-    more than `children_per_row` children continues on further rows (`part`).
+    Nodes without a parent are the roots; a node without children is one row
+    whose `position` and `child` are NULL.
     """
     tree = category_closure(categories).select("id", "name", "parent_id", "level", labels().alias("_labels"))
     child = tree.where("parent_id IS NOT NULL").select(
         F.col("parent_id").alias("id"),
         F.element_at("_labels", -1).alias("label"),
-        F.struct(F.element_at("_labels", -1).alias("label"), "id", "name", "level").alias("child"),
+        F.struct("id", "name", "level").alias("child"),
     )
-    large = large_groups(child, ["id"], children_per_row)
-    collected = F.array_sort(F.collect_list("child")).alias("children")
-    children = collect_parts(child, ["id"], ["label"], children_per_row, large, collected)
-    plain = F.transform("children", lambda c: F.struct(*[c[field].alias(field) for field in ("id", "name", "level")]))
-    none = F.array().cast("array<struct<id:bigint,name:string,level:int>>")
     return (
-        tree.join(children, "id", "left")
-        .orderBy("_labels", PART)
-        .select(
-            "id",
-            "name",
-            "parent_id",
-            "level",
-            F.array_join("_labels", ".").alias("path"),
-            F.coalesce(F.col(PART), F.lit(0)).cast("bigint").alias(PART),
-            F.coalesce(plain, none).alias("children"),
-        )
+        tree.join(placed(child, ["id"], ["label"], "children"), "id", "left")
+        .orderBy("_labels", POSITION)
+        .select("id", "name", "parent_id", "level", F.array_join("_labels", ".").alias("path"), POSITION, "child")
     )
 
 

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double, count_or_zero, mean, or_zero, ratio
 from orderlytics.functions.predicates import not_cancelled
-from orderlytics.operators.running import PART, collect_parts, large_groups
+from orderlytics.operators.running import POSITION, placed
 from orderlytics.sources.tables import Tables
 
 MAX_TOP = 50
-NAMES_PER_ROW = 10_000
 
 
 def item_totals(order_items: DataFrame) -> DataFrame:
@@ -313,34 +312,26 @@ def category_effectiveness(
     )
 
 
-def order_details(t: Tables, names_per_row: int = NAMES_PER_ROW) -> DataFrame:
+def _named_items(t: Tables) -> DataFrame:
+    products = t.nomenclature.select(F.col("id").alias("nomenclature_id"), F.col("name").alias("product_name"))
+    return t.order_items.select("order_id", *{*t.item_key, "nomenclature_id"}).join(products, "nomenclature_id")
+
+
+def order_details(t: Tables) -> DataFrame:
     """Orders that have items, newest first, with their product names in item order.
 
-    `products` is one comma list per order. An order of more than
-    `names_per_row` items continues on further rows, numbered by `part`, so no
-    list grows without bound; `items_count` always covers the whole order.
+    One row per order; `products` is one comma list, so a row is as large as its
+    order. `order_lines` has the same names one to a row.
     """
-    products = t.nomenclature.select(F.col("id").alias("nomenclature_id"), F.col("name").alias("product_name"))
-    key = list(t.item_key)
-    large = large_groups(t.order_items, ["order_id"], names_per_row)
-    named = t.order_items.select("order_id", *{*key, "nomenclature_id"}).join(products, "nomenclature_id")
-    per_part = collect_parts(
-        named,
-        ["order_id"],
-        key,
-        names_per_row,
-        large,
-        F.count(F.lit(1)).alias("items_count"),
-        F.expr(f"listagg(product_name, ', ') WITHIN GROUP (ORDER BY {', '.join(key)})").alias("products"),
-    )
-    if large is not None:
-        counts = named.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"))
-        per_part = per_part.drop("items_count").join(counts, "order_id")
+    names = F.expr(f"listagg(product_name, ', ') WITHIN GROUP (ORDER BY {', '.join(t.item_key)})")
+    # Rows are brought together first, since lists gain nothing from being built on the map side.
+    named = _named_items(t).repartition("order_id").groupBy("order_id")
+    lists = named.agg(F.count(F.lit(1)).alias("items_count"), names.alias("products"))
     clients = t.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     return (
         t.orders.withColumnRenamed("id", "order_id")
         .join(clients, "client_id")
-        .join(per_part, "order_id")
+        .join(lists, "order_id")
         .select(
             "order_id",
             "order_number",
@@ -350,10 +341,21 @@ def order_details(t: Tables, names_per_row: int = NAMES_PER_ROW) -> DataFrame:
             "status",
             "payment_status",
             "items_count",
-            PART,
             "products",
         )
-        .orderBy(F.desc("order_date"), "order_id", PART)
+        .orderBy(F.desc("order_date"), "order_id")
+    )
+
+
+def order_lines(t: Tables) -> DataFrame:
+    """The lines of orders of any size: a row per item with its position in the order, from 0."""
+    lines = placed(_named_items(t), ["order_id"], list(t.item_key), "order-lines")
+    clients = t.clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
+    return (
+        t.orders.select(F.col("id").alias("order_id"), "order_number", "client_id")
+        .join(clients, "client_id")
+        .join(lines, "order_id")
+        .select("order_id", "order_number", "client_name", POSITION, "nomenclature_id", "product_name")
     )
 
 

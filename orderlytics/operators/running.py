@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from orderlytics.session import cut_lineage, read_back, scratch_path, write_counted
 
 SLICE = "_slice"
-PART = "part"
+POSITION = "position"
 
 
 def sliced(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], label: str = "sliced") -> DataFrame:
@@ -71,50 +71,8 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, label: str
     return running(rows, [], order, **{name: ("sum", one)}).drop(SLICE, one)
 
 
-def large_groups(df: DataFrame, group: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys of the groups with more than `limit` rows; None when there are none.
-
-    One aggregate over the key columns, combined on the map side. The keys are
-    kept as a table because callers use them more than once.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    keys = sizes.where(F.col("_rows") > limit).select(*group)
-    path = scratch_path(df.sparkSession, "large-groups")
-    return read_back(keys, path) if write_counted(keys, path) else None
-
-
-def in_parts(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], part_size: int, large: DataFrame | None
-) -> DataFrame:
-    """Add `part`: 0 in ordinary groups; 0, 1, 2 … of `part_size` rows in large ones.
-
-    Only rows of large groups pay for the ordering.
-    """
-    whole = F.lit(0).cast("bigint").alias(PART)
-    if large is None:
-        return df.select("*", whole)
-    ordinary = df.join(large, list(group), "left_anti").select("*", whole)
-    ones = df.join(large, list(group), "left_semi").withColumn("_one", F.lit(1).cast("bigint"))
-    position = running(sliced(ones, group, order, "large-rows"), group, order, _position=("sum", "_one"))
-    cut = F.floor((F.col("_position") - 1) / part_size).cast("bigint").alias(PART)
-    return ordinary.unionByName(position.select(*df.columns, cut))
-
-
-def collect_parts(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    part_size: int,
-    large: DataFrame | None,
-    *aggregates: Column,
-) -> DataFrame:
-    """Aggregate every group, or every part of a large one, into a row with `part`.
-
-    For aggregates that collect: a row holds at most `part_size` elements. Rows
-    are brought together by group first, since lists gain nothing from being
-    built on the map side.
-    """
-    if large is None:
-        return df.repartition(*group).groupBy(*group).agg(*aggregates).withColumn(PART, F.lit(0).cast("bigint"))
-    key = [*group, PART]
-    return in_parts(df, group, order, part_size, large).repartition(*key).groupBy(*key).agg(*aggregates)
+def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], label: str = "placed") -> DataFrame:
+    """Add `position`, from 0 within each group, at the same cost for groups of any size."""
+    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
+    rows = running(sliced(ones, group, order, label), group, order, _upto=("sum", "_one"))
+    return rows.withColumn(POSITION, F.col("_upto") - 1).drop(SLICE, "_one", "_upto")

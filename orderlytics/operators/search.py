@@ -19,12 +19,11 @@ from orderlytics.functions.predicates import (
     require_status,
 )
 from orderlytics.operators.reports import client_totals, with_items_count
-from orderlytics.operators.running import PART, SLICE, collect_parts, large_groups, sliced
+from orderlytics.operators.running import POSITION, SLICE, placed, sliced
 from orderlytics.session import cut_lineage
 from orderlytics.sources.tables import Tables
 
 MAX_PAGE_SIZE = 100
-ITEMS_PER_ROW = 10_000
 # A page within this many first rows is a top-k: every input partition sends its
 # first rows to one task, so their number must stay small. A deeper page sorts in
 # parallel instead.
@@ -263,46 +262,31 @@ def category_by_ids(t: Tables, ids: DataFrame) -> DataFrame:
     return _with_children_count(_by_ids(t.categories, ids), t)
 
 
-def order_with_items(t: Tables, ids: DataFrame | None = None, items_per_row: int = ITEMS_PER_ROW) -> DataFrame:
-    """Orders with client name, item count and the array of their items in item order.
+def order_with_items(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+    """Orders with client name and item count, a row per item with its position in the order, from 0.
 
-    An order of more than `items_per_row` items continues on further rows,
-    numbered by `part`; `items_count` always covers the whole order.
+    An order without items is one row whose `position` and `item` are NULL.
     """
     orders, items = t.orders, t.order_items
     if ids is not None:
         orders = _by_ids(orders, ids)
         items = items.join(ids.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    large = large_groups(items, ["order_id"], items_per_row)
     products = t.nomenclature.select(
         F.col("id").alias("nomenclature_id"),
         F.col("name").alias("nomenclature_name"),
         F.col("sku").alias("nomenclature_sku"),
     )
     named = items.join(products, "nomenclature_id")
-    # Key columns lead the struct, so sorting the array puts items in item order.
     key = list(t.item_key)
-    fields = [*key, *[c for c in named.columns if c not in {*key, "order_id"}]]
-    per_part = collect_parts(
-        named,
-        ["order_id"],
-        key,
-        items_per_row,
-        large,
-        F.count(F.lit(1)).alias("items_count"),
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("items"),
-    )
-    if large is not None:
-        counts = named.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"))
-        per_part = per_part.drop("items_count").join(counts, "order_id")
-    item_type = per_part.schema["items"].dataType
-    # Names join the narrow order rows first, so the wide lists are not shuffled again.
+    item = F.struct(*[c for c in named.columns if c != "order_id"]).alias("item")
+    lines = placed(named, ["order_id"], key, "order-items").select(F.col("order_id").alias("id"), POSITION, item)
+    # A position is the number of items before it, so the last one tells the count.
+    counts = lines.groupBy("id").agg((F.max(POSITION) + 1).alias("items_count"))
     orders = _with_client_name(orders, t)
-    return orders.join(per_part.withColumnRenamed("order_id", "id"), "id", "left").select(
-        *orders.columns,
-        count_or_zero(F.col("items_count")).alias("items_count"),
-        F.coalesce(F.col(PART), F.lit(0)).cast("bigint").alias(PART),
-        F.coalesce(F.col("items"), F.array().cast(item_type)).alias("items"),
+    return (
+        orders.join(counts, "id", "left")
+        .join(lines, "id", "left")
+        .select(*orders.columns, count_or_zero(F.col("items_count")).alias("items_count"), POSITION, "item")
     )
 
 

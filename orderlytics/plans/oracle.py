@@ -230,12 +230,21 @@ define(
     "order_details",
     f"""
 SELECT o.id AS order_id, o.order_number, c.name AS client_name, o.order_date, {money('o.total_amount')} AS total_amount,
-       o.status, o.payment_status, count(*) AS items_count, CAST(0 AS BIGINT) AS part,
+       o.status, o.payment_status, count(*) AS items_count,
        string_agg(p.name, ', ' ORDER BY {', '.join(f'i.{k}' for k in ITEM_KEY.split(', '))}) AS products
 FROM order_items i, app_orders o, clients c, nomenclature p
 WHERE o.id = i.order_id AND c.id = o.client_id AND p.id = i.nomenclature_id
 GROUP BY o.id, o.order_number, c.name, o.order_date, o.total_amount, o.status, o.payment_status""",
 )
+define(
+    "order_lines",
+    f"""
+SELECT o.id AS order_id, o.order_number, c.name AS client_name,
+       row_number() OVER (PARTITION BY o.id ORDER BY {', '.join(f'i.{k}' for k in ITEM_KEY.split(', '))}) - 1 AS position,
+       i.nomenclature_id, p.name AS product_name
+FROM order_items i, app_orders o, clients c, nomenclature p
+WHERE o.id = i.order_id AND c.id = o.client_id AND p.id = i.nomenclature_id""",
+)
 define(
     "status_stats",
     f"""
@@ -302,7 +311,6 @@ define(
     "category_tree",
     f"""
 SELECT n.id, n.name, CAST(n.parent_id AS DOUBLE) AS parent_id, n.level, array_to_string(n.ids, '.') AS path,
-       CAST(0 AS BIGINT) AS part,
        CASE WHEN k.id IS NOT NULL
             THEN CAST(row_number() OVER (PARTITION BY n.id ORDER BY CAST(k.id AS VARCHAR)) - 1 AS DOUBLE) END AS position,
        CAST(k.id AS DOUBLE) AS child_id
@@ -396,7 +404,6 @@ define(
     "order_with_items",
     f"""
 SELECT o.id, o.client_id, o.order_number, o.status, c.name AS client_name, count(i.order_id) OVER same AS items_count,
-       CAST(0 AS BIGINT) AS part,
        CASE WHEN i.order_id IS NOT NULL
             THEN CAST(row_number() OVER (same ORDER BY {', '.join(f'i.{k}' for k in ITEM_KEY.split(', '))}) - 1 AS DOUBLE)
             END AS position,

@@ -113,6 +113,7 @@ over_tables(
     lambda t: reports.category_effectiveness(t, exclude_cancelled_items=True, distinct_products=True),
 )
 over_tables("order_details", reports.order_details)
+over_tables("order_lines", reports.order_lines)
 over_tables("status_stats", reports.status_stats)
 over_tables("seasonality", reports.seasonality)
 over_tables("order_stats", reports.order_stats)
@@ -140,10 +141,7 @@ over_tables("descendants", lambda t: hierarchy.descendants(t.categories))
 @query
 def category_tree(spark: SparkSession, folder: str) -> DataFrame:
     tree = hierarchy.category_tree(star.star_tables(spark, folder).categories)
-    exploded = tree.select(
-        "id", "name", "parent_id", "level", "path", "part", F.posexplode_outer("children").alias("position", "child")
-    )
-    flat = exploded.select("id", "name", "parent_id", "level", "path", "part", "position", F.col("child.id").alias("child_id"))
+    flat = tree.select("id", "name", "parent_id", "level", "path", "position", F.col("child.id").alias("child_id"))
     return doubles(flat, "parent_id", "position", "child_id")
 
 
@@ -204,9 +202,8 @@ over_tables("page_totals", lambda t: search.page_totals(t.orders, 20))
 @query
 def order_with_items(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)
-    header = ["id", "client_id", "order_number", "status", "client_name", "items_count", "part"]
-    flat = search.order_with_items(t).select(*header, F.posexplode_outer("items").alias("position", "item"))
-    flat = flat.select("*", "item.nomenclature_id", "item.quantity")
+    header = ["id", "client_id", "order_number", "status", "client_name", "items_count"]
+    flat = search.order_with_items(t).select(*header, "position", "item", "item.nomenclature_id", "item.quantity")
     return doubles(flat, "position", "nomenclature_id", "quantity").select(
         *header,
         "position",

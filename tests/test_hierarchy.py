@@ -41,17 +41,16 @@ def test_deep_chain(make):
 
 def test_tree_children_in_path_order(shop):
     rows = hierarchy.category_tree(shop.categories).collect()
-    assert [r.id for r in rows] == [1, 3, 4, 8, 9, 5, 2, 6, 10, 11, 7]
-    assert [[c.id for c in r.children] for r in rows if r.id in (1, 2, 4, 8)] == [[3, 4, 5], [8, 9], [], [6, 7]]
+    assert list(dict.fromkeys(r.id for r in rows)) == [1, 3, 4, 8, 9, 5, 2, 6, 10, 11, 7]
+    seen = [(r.id, r.position, r.child and r.child.id) for r in rows if r.id in (1, 2, 4, 8)]
+    assert seen == [(1, 0, 3), (1, 1, 4), (1, 2, 5), (4, 0, 8), (4, 1, 9), (8, None, None), (2, 0, 6), (2, 1, 7)]
 
 
-def test_tree_splits_large_families(make):
-    children = [(n, f"k{n}", 1) for n in range(2, 13)]
+def test_tree_has_one_grain_for_families_of_any_size(make):
+    children = [(n, f"k{n}", 1) for n in range(2, 10_003)]
     nodes = make("categories", "id, name, parent_id", [(1, "root", None), *children])
-    rows = [r for r in hierarchy.category_tree(nodes, children_per_row=4).collect() if r.id == 1]
-    assert [r.part for r in rows] == [0, 1, 2]
-    assert [c.id for r in rows for c in r.children] == sorted(range(2, 13), key=str)
-    assert max(len(r.children) for r in rows) == 4
+    rows = [r for r in hierarchy.category_tree(nodes).collect() if r.id == 1]
+    assert [(r.position, r.child.id) for r in rows] == list(enumerate(sorted(range(2, 10_003), key=str)))
 
 
 def test_descendants(shop, spark):

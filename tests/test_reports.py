@@ -6,7 +6,6 @@ import pytest
 from conftest import tuples
 
 from orderlytics.operators import reports
-from orderlytics.operators.running import PART
 
 TOTALS = {2: 130000, 5: 125000, 3: 120000, 4: 115000, 1: 105000}
 
@@ -135,17 +134,16 @@ def test_category_effectiveness(shop):
 
 
 def test_order_details(shop):
-    rows = tuples(reports.order_details(shop), "order_id", "items_count", PART, "products")
-    assert [r[:3] for r in rows] == [(5, 3, 0), (4, 3, 0), (3, 1, 0), (2, 3, 0), (1, 3, 0)]
+    rows = tuples(reports.order_details(shop), "order_id", "items_count", "products")
+    assert [r[:2] for r in rows] == [(5, 3), (4, 3), (3, 1), (2, 3), (1, 3)]
     names = dict(tuples(shop.nomenclature, "id", "name"))
-    assert rows[-1][3] == ", ".join(names[i] for i in (1, 3, 4))
+    assert rows[-1][2] == ", ".join(names[i] for i in (1, 3, 4))
 
 
-def test_order_details_continue_on_further_rows(shop):
-    rows = tuples(reports.order_details(shop, names_per_row=2), "order_id", "items_count", PART, "products")
-    names = dict(tuples(shop.nomenclature, "id", "name"))
-    assert [r[:3] for r in rows if r[0] in (1, 3)] == [(3, 1, 0), (1, 3, 0), (1, 3, 1)]
-    assert [r[3] for r in rows if r[0] == 1] == [f"{names[1]}, {names[3]}", names[4]]
+def test_order_lines(shop):
+    lines = sorted(tuples(reports.order_lines(shop), "order_id", "position", "nomenclature_id"))
+    assert lines[:3] == [(1, 0, 1), (1, 1, 3), (1, 2, 4)]
+    assert [sum(r[0] == order for r in lines) for order in (1, 2, 3, 4, 5)] == [3, 3, 1, 3, 3]
 
 
 def test_status_stats(shop):

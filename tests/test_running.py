@@ -9,7 +9,7 @@ import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
-from orderlytics.operators.running import PART, SLICE, in_parts, large_groups, numbered, running, sliced
+from orderlytics.operators.running import POSITION, SLICE, numbered, placed, running, sliced
 
 
 @pytest.fixture(scope="module")
@@ -56,23 +56,14 @@ def test_numbering(skewed, many_slices):
     assert sorted(seen) == [(n, *row) for n, row in enumerate(expected, start=1)]
 
 
-def test_parts_bound_every_group(skewed, many_slices):
+def test_positions_in_groups_of_any_size(skewed, many_slices):
     rows, df = skewed
-    large = large_groups(df, ["g"], 50)
-    assert tuples(large) == [(1,)]
-    cut = in_parts(df, ["g"], ["o"], 50, large)
-    sizes = tuples(cut.groupBy("g", PART).count())
-    assert max(n for _, _, n in sizes) <= 50
-    assert sum(n for _, _, n in sizes) == len(rows)
-    hot = sorted(o for g, o, *_ in rows if g == 1)
-    assert sorted(tuples(cut.where("g = 1"), "o", PART)) == [(o, n // 50) for n, o in enumerate(hot)]
-    assert {p for g, p, _ in sizes if g != 1} == {0}
-
-
-def test_no_large_group(skewed):
-    _, df = skewed
-    assert large_groups(df, ["g"], 10_000) is None
-    assert tuples(in_parts(df, ["g"], ["o"], 10_000, None).select(PART).distinct()) == [(0,)]
+    seen = tuples(placed(df, ["g"], ["o"]), "g", "o", POSITION)
+    places, expected = {}, []
+    for g, o, *_ in sorted(rows, key=lambda r: r[:2]):
+        expected.append((g, o, places.get(g, 0)))
+        places[g] = places.get(g, 0) + 1
+    assert sorted(seen) == expected
 
 
 def test_empty_input(spark):

@@ -87,14 +87,15 @@ def test_client_totals_join_single_rows(spark, tables, large_scale, hot):
     assert total == pytest.approx(float(plain.agg(F.sum("total_price")).first()[0]), rel=1e-12)
 
 
-def test_hot_order_details_are_bounded_and_whole(spark, tables, large_scale):
+def test_hot_order_has_the_grain_of_any_other(spark, tables, large_scale):
     t = tables["order"]
-    rows = reports.order_details(t, names_per_row=500).where("order_id = 42").collect()
     items = t.order_items.where("order_id = 42")
     names = dict(tuples(t.nomenclature, "id", "name"))
     ordered = [names[r.nomenclature_id] for r in items.orderBy(*t.item_key).collect()]
     assert len(ordered) > 15_000
-    assert {r.items_count for r in rows} == {len(ordered)}
-    parts = [r.products for r in sorted(rows, key=lambda r: r.part)]
-    assert max(p.count(", ") for p in parts) == 499
-    assert ", ".join(parts) == ", ".join(ordered)
+    [details] = reports.order_details(t).where("order_id = 42").collect()
+    assert (details.items_count, details.products) == (len(ordered), ", ".join(ordered))
+    lines = sorted(tuples(reports.order_lines(t).where("order_id = 42"), "position", "product_name"))
+    assert lines == list(enumerate(ordered))
+    full = search.order_with_items(t).where("id = 42").select("items_count", "position", "item.nomenclature_name")
+    assert sorted(map(tuple, full.collect())) == [(len(ordered), n, name) for n, name in enumerate(ordered)]
