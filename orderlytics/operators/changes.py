@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.operators.hierarchy import descendants
+from orderlytics.operators.hierarchy import below
 from orderlytics.operators.integrity import VIOLATIONS, record_rules
 from orderlytics.operators.reports import item_totals
 from orderlytics.operators.running import numbered, running, sliced
@@ -336,8 +336,20 @@ def cascade_delete(t: Tables, order_ids: DataFrame) -> OrdersDeleted:
     )
 
 
-def delete_subtree(categories: DataFrame, ids: DataFrame) -> DataFrame:
-    """Remove categories together with everything below them."""
+def delete_subtree(t: Tables, ids: DataFrame) -> Applied:
+    """Remove categories together with everything below them.
+
+    A category stays, with its whole subtree, when a product belongs to any node
+    of it. Each id is judged on the tables as they were before the batch.
+    """
     wanted = ids.select("id").distinct()
-    below = descendants(categories, wanted).select(F.col("descendant_id").alias("id"))
-    return categories.join(wanted.unionByName(below), "id", "left_anti")
+    nodes = below(t.categories, wanted)
+    used = t.nomenclature.select(F.col("category_id").alias("descendant_id")).distinct()
+    blocked = nodes.join(used, "descendant_id", "left_semi").select(F.col("ancestor_id").alias("id")).distinct()
+    known = t.categories.select("id", F.lit(True).alias("_known"))
+    found = wanted.join(known, "id", "left").join(blocked.withColumn("_used", F.lit(True)), "id", "left")
+    reason = first_reason((F.col("_known").isNull(), "unknown_id"), (F.col("_used").isNotNull(), "has_products"))
+    outcome = cut_lineage(found.select("id", reason.alias("reason")), "deletes")
+    allowed = outcome.where("reason IS NULL").select(F.col("id").alias("ancestor_id"))
+    gone = nodes.join(allowed, "ancestor_id", "left_semi").select(F.col("descendant_id").alias("id"))
+    return Applied(t.categories.join(gone, "id", "left_anti"), outcome.where("reason IS NOT NULL"))

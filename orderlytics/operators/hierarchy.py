@@ -127,18 +127,49 @@ def three_level_names(categories: DataFrame) -> DataFrame:
     )
 
 
+def below(categories: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs of a given node and each node of its subtree, itself included, with the distance.
+
+    The walk goes down from the given ids only, one level of all subtrees a round.
+    A pair already seen is not followed again, so a cycle ends. Ids that are no
+    category have no subtree.
+    """
+    known = ids.select("id").distinct().join(categories.select("id"), "id", "left_semi")
+    level = known.select(
+        F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("distance")
+    )
+    children = categories.where("parent_id IS NOT NULL").select(
+        F.col("parent_id").alias("descendant_id"), F.col("id").alias("child_id")
+    )
+    base = scratch_path(categories.sparkSession, "below")
+    levels: list[str] = []
+    while True:
+        path = f"{base}/{len(levels)}"
+        found = write_counted(level, path)
+        levels.append(path)
+        if found == 0:
+            return read_back(level, *levels)
+        under = read_back(level, path).join(children, "descendant_id")
+        under = under.select("ancestor_id", F.col("child_id").alias("descendant_id"), (F.col("distance") + 1).alias("distance"))
+        pair = ["ancestor_id", "descendant_id"]
+        level = under.dropDuplicates(pair).join(read_back(level, *levels).select(*pair), pair, "left_anti")
+
+
 def descendants(categories: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Pairs of a node and everything below it, with the distance; the node itself is left out."""
-    below = category_closure(categories, active_only=False).select(
+    """Pairs of a node and everything below it, with the distance; the node itself is left out.
+
+    Without `ids`, of all nodes that a root leads to. With `ids`, of these nodes
+    wherever they are, on a cycle too.
+    """
+    if ids is not None:
+        return below(categories, ids).where("distance > 0")
+    nodes = category_closure(categories, active_only=False).select(
         F.col("id").alias("descendant_id"),
         F.size("path_array").alias("_length"),
         F.posexplode("path_array").alias("_at", "ancestor_id"),
     )
-    pairs = below.select("ancestor_id", "descendant_id", (F.col("_length") - 1 - F.col("_at")).alias("distance"))
-    pairs = pairs.where("distance > 0")
-    if ids is not None:
-        pairs = pairs.join(ids.select(F.col("id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi")
-    return pairs
+    pairs = nodes.select("ancestor_id", "descendant_id", (F.col("_length") - 1 - F.col("_at")).alias("distance"))
+    return pairs.where("distance > 0")
 
 
 def unreachable_nodes(categories: DataFrame) -> DataFrame:

@@ -832,16 +832,46 @@ UNION ALL
 SELECT 'stock', nomenclature_id, CAST(sum(quantity) AS BIGINT) FROM order_items JOIN app_orders o ON o.id = order_id
 WHERE status NOT IN ('completed', 'processing') GROUP BY nomenclature_id""",
 )
+BROKEN = """
+broken AS (
+  SELECT id, name, level, is_active,
+         CASE id WHEN 1 THEN (SELECT min(n_nationkey) + 100 FROM nation WHERE n_regionkey = 1)
+                 WHEN 4 THEN 999 ELSE parent_id END AS parent_id
+  FROM categories)"""
+
+
+def _subtrees(tree: str, wanted: str, spared: str) -> tuple[str, str]:
+    """Remaining categories and refused ids; products of the `spared` categories do not count."""
+    reached = f"""
+reached AS (
+  SELECT id AS top, id FROM {tree} WHERE {wanted}
+  UNION
+  SELECT r.top, c.id FROM {tree} c JOIN reached r ON c.parent_id = r.id),
+refused AS (
+  SELECT DISTINCT top FROM reached
+  WHERE id IN (SELECT category_id FROM nomenclature WHERE category_id NOT IN ({spared})))"""
+    select = f"""
+SELECT id, name, 'remains' AS reason FROM {tree}
+WHERE id NOT IN (SELECT id FROM reached WHERE top NOT IN (SELECT top FROM refused))
+UNION ALL
+SELECT top, '', 'has_products' FROM refused"""
+    return select, reached
+
+
+define("delete_subtree", *_subtrees("categories", "NOT is_active", "107"))
+_select, _reached = _subtrees("broken", "level < 2", "SELECT id FROM categories WHERE parent_id = 1")
+define("delete_subtree_broken", _select, BROKEN, _reached)
 define(
-    "delete_subtree",
+    "descendants_broken",
     """
-SELECT id, name, CAST(parent_id AS DOUBLE) AS parent_id, level, is_active FROM categories
-WHERE id NOT IN (SELECT id FROM doomed)""",
+SELECT top AS ancestor_id, id AS descendant_id, CAST(min(distance) AS INT) AS distance
+FROM steps WHERE id <> top GROUP BY top, id""",
+    BROKEN,
     """
-doomed AS (
-  SELECT id FROM categories WHERE NOT is_active
+steps AS (
+  SELECT id AS top, id, 0 AS distance FROM broken WHERE level < 2
   UNION
-  SELECT c.id FROM categories c JOIN doomed d ON c.parent_id = d.id)""",
+  SELECT s.top, c.id, s.distance + 1 FROM broken c JOIN steps s ON c.parent_id = s.id WHERE s.distance < 4)""",
 )
 
 

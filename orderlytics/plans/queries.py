@@ -138,6 +138,13 @@ over_tables("three_level_names", lambda t: hierarchy.three_level_names(t.categor
 over_tables("descendants", lambda t: hierarchy.descendants(t.categories))
 
 
+@query
+def descendants_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """What lies below the upper two levels of a tree with a cycle and a missing parent."""
+    broken = batches.broken_categories(spark, folder, star.star_tables(spark, folder))
+    return hierarchy.descendants(broken, broken.where("level < 2"))
+
+
 @query
 def category_tree(spark: SparkSession, folder: str) -> DataFrame:
     tree = hierarchy.category_tree(star.star_tables(spark, folder).categories)
@@ -351,10 +358,27 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-over_tables(
-    "delete_subtree",
-    lambda t: doubles(changes.delete_subtree(t.categories, t.categories.where("NOT is_active")), "parent_id"),
-)
+def _subtrees(t: Tables, ids: DataFrame) -> DataFrame:
+    done = changes.delete_subtree(t, ids)
+    kept = done.table.select("id", "name", F.lit("remains").alias("reason"))
+    return kept.unionByName(done.rejected.select("id", F.lit("").alias("name"), "reason"))
+
+
+@query
+def delete_subtree(spark: SparkSession, folder: str) -> DataFrame:
+    """Delete inactive categories; the products of one of them are gone already."""
+    t = star.star_tables(spark, folder)
+    return _subtrees(t.with_(nomenclature=t.nomenclature.where("category_id <> 107")), t.categories.where("NOT is_active"))
+
+
+@query
+def delete_subtree_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Delete the upper two levels of a tree with a cycle and a missing parent; region 1 has no products."""
+    t = star.star_tables(spark, folder)
+    region = t.categories.where("parent_id = 1").select(F.col("id").alias("category_id"))
+    broken = batches.broken_categories(spark, folder, t)
+    t = t.with_(categories=broken, nomenclature=t.nomenclature.join(region, "category_id", "left_anti"))
+    return _subtrees(t, broken.where("level < 2"))
 
 
 def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], link: str) -> Query:
@@ -419,15 +443,20 @@ def event_counters_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _ntz(_run(stream, ["window_start", "event_type"]), "window_start")
 
 
+def _exact(events: DataFrame) -> DataFrame:
+    return events.withColumn("exact", F.col("value").cast("decimal(18,6)"))
+
+
 @query
 def latency_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.latency_histogram(_events(spark, folder), ["event_type"])
+    return metrics.latency_histogram(_exact(_events(spark, folder)), ["event_type"], summed="exact")
 
 
 @query
 def latency_histogram_stream(spark: SparkSession, folder: str) -> DataFrame:
+    events = _exact(_event_stream(spark, folder))
     stream = metrics.latency_histogram(
-        _event_stream(spark, folder), ["event_type"], buckets=(1.0, 10.0, 100.0), width="1 day", lateness="1 hour"
+        events, ["event_type"], buckets=(1.0, 10.0, 100.0), width="1 day", lateness="1 hour", summed="exact"
     )
     return _ntz(_run(stream, ["window_start", "event_type", "le"]), "window_start")
 

@@ -37,17 +37,19 @@ def latency_histogram(
     buckets: Sequence[float] = BUCKETS,
     width: str | None = None,
     lateness: str | None = None,
+    summed: str | None = None,
 ) -> DataFrame:
     """Cumulative bucket counts with sum and count: one row per label set and bound.
 
     One pass counts all buckets at once; only the finished groups are unpivoted.
+    The sum is taken in the type of `summed`, the column of the values unless
+    given: over a decimal one the order of rows cannot change its last digit.
     """
     rows, window = windowed(events, width, lateness)
     measured = F.col(value)
     per_bucket = [F.count_if(measured <= bound).alias(f"_le{n}") for n, bound in enumerate(buckets)]
-    # Exact sum, so that the order of rows cannot change the last digit.
-    exact = F.sum(measured.cast("decimal(18,6)"))
-    grouped = rows.groupBy(*window, *labels).agg(*per_bucket, F.count(value).alias("count"), exact.alias("sum"))
+    amount = F.sum(summed or value).alias("sum")
+    grouped = rows.groupBy(*window, *labels).agg(*per_bucket, F.count(value).alias("count"), amount)
     bounds = [
         F.struct(F.lit(float(bound)).alias("le"), F.col(f"_le{n}").alias("bucket_count"))
         for n, bound in enumerate(buckets)

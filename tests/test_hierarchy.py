@@ -4,6 +4,8 @@ from collections import Counter
 
 from conftest import tuples
 
+from pyspark.sql import functions as F
+
 from orderlytics.operators import hierarchy
 from orderlytics.operators.changes import delete_subtree
 
@@ -62,8 +64,25 @@ def test_descendants(shop, spark):
 
 
 def test_delete_subtree(shop, spark):
-    left = delete_subtree(shop.categories, spark.createDataFrame([(4,), (2,)], "id bigint"))
-    assert sorted(tuples(left, "id")) == [(1,), (3,), (5,)]
+    ids = spark.createDataFrame([(4,), (2,), (99,)], "id bigint")
+    bare = shop.with_(nomenclature=shop.nomenclature.limit(0))
+    done = delete_subtree(bare, ids)
+    assert sorted(tuples(done.table, "id")) == [(1,), (3,), (5,)]
+    assert tuples(done.rejected, "id", "reason") == [(99, "unknown_id")]
+    stocked = shop.with_(nomenclature=shop.nomenclature.limit(1).withColumn("category_id", F.lit(8).cast("bigint")))
+    done = delete_subtree(stocked, ids)
+    assert sorted(tuples(done.table, "id")) == [(1,), (3,), (4,), (5,), (8,), (9,)]
+    assert sorted(tuples(done.rejected, "id", "reason")) == [(4, "has_products"), (99, "unknown_id")]
+
+
+def test_subtree_on_a_cycle(shop, make):
+    nodes = make("categories", "id, name, parent_id", [(1, "a", None), (10, "b", 11), (11, "c", 10), (12, "d", 11)])
+    wanted = nodes.where("id = 10")
+    pairs = sorted(tuples(hierarchy.descendants(nodes, wanted), "descendant_id", "distance"))
+    assert pairs == [(11, 1), (12, 2)]
+    done = delete_subtree(shop.with_(categories=nodes, nomenclature=shop.nomenclature.limit(0)), wanted)
+    assert tuples(done.table, "id") == [(1,)]
+    assert done.rejected.isEmpty()
 
 
 def test_three_levels(shop):

@@ -55,12 +55,20 @@ def test_histogram(spark, events):
     values = [r.value for r in events.where("event_type = 'view'").collect()]
     assert view == {le: sum(v <= le for v in values) for le in (*metrics.BUCKETS, float("inf"))}
     row = table.where("event_type = 'view'").first()
-    assert (row["count"], row["sum"]) == (len(values), sum(values))
-    stream = metrics.latency_histogram(as_stream(spark, events, "ts"), ["event_type"])
+    assert (row["count"], row["sum"]) == (len(values), pytest.approx(sum(values)))
+    events = events.withColumn("exact", F.col("value").cast("decimal(18,6)"))
+    table = metrics.latency_histogram(events, ["event_type"], summed="exact")
+    stream = metrics.latency_histogram(as_stream(spark, events, "ts"), ["event_type"], summed="exact")
     state, _ = work_off(spark, stream, ["event_type", "le"])
     assert sorted(tuples(state, *table.columns)) == sorted(tuples(table))
 
 
+@pytest.mark.parametrize("values", [[2e12, 3e12], [4e-7, 4e-7, 4e-7]])
+def test_histogram_sums_of_any_size(spark, values):
+    rows = metrics.latency_histogram(spark.createDataFrame([("a", v) for v in values], "kind string, value double"), ["kind"])
+    assert rows.first()["sum"] == pytest.approx(sum(values), rel=1e-12)
+
+
 def test_rates(spark, events):
     row = metrics.error_and_request_rate(events).first()
     seconds = 199 * 7 * 60
