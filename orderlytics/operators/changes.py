@@ -163,6 +163,19 @@ def _with_holders(batch: DataFrame, table: str, t: Tables) -> DataFrame:
     ).drop("_wanted")
 
 
+def _with_place(rows: DataFrame, categories: DataFrame, parent: str) -> DataFrame:
+    """Add `_path` and `_level`, as far as categories store them, from the parent before the batch."""
+    stored = [c for c in ("path", "level") if c in categories.columns]
+    above = categories.select(F.col("id").alias("_above"), *[F.col(c).alias(f"_above_{c}") for c in stored])
+    root, own = F.col(parent).isNull(), F.col("id").cast("string")
+    place = {
+        "path": F.when(root, own).otherwise(F.concat("_above_path", F.lit("."), own)),
+        "level": F.when(root, 0).otherwise(F.col("_above_level") + 1),
+    }
+    joined = rows.join(above, F.col(parent) == F.col("_above"), "left")
+    return joined.select(*rows.columns, *[place[c].alias(f"_{c}") for c in stored])
+
+
 # --- patches -----------------------------------------------------------------
 
 
@@ -173,7 +186,8 @@ def patch_apply(
 
     `patches` has `seq`, `id` and any of the table's patch fields. Several
     patches of one row merge, the later value of a field winning. A field
-    cannot be set to NULL.
+    cannot be set to NULL. A changed category takes path and level from its
+    parent as that was before the batch; nodes below it keep theirs.
     """
     old = getattr(t, table)
     fields = [c for c in PATCH_FIELDS[table] if c in patches.columns and c in old.columns]
@@ -198,6 +212,12 @@ def patch_apply(
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in fields]
     merged = reviewed.where("reason IS NULL").groupBy("id").agg(*latest, F.lit(True).alias("_changed"))
     values = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}
+    if table == "categories":
+        sent = [F.col("_parent_id")] if "parent_id" in fields else []
+        parents = old.select("id", F.col("parent_id").alias("_old_parent"))
+        at = merged.join(parents, "id").withColumn("_at", F.coalesce(*sent, "_old_parent"))
+        merged = _with_place(at, old, "_at").drop("_at", "_old_parent")
+        values |= {c: F.col(f"_{c}") for c in ("path", "level") if c in old.columns}
     changed = F.col("_changed").isNotNull()
     patched = _stamped(old.join(merged, "id", "left"), old.columns, values, changed, actor, now)
     return Applied(patched, reviewed.where("reason IS NOT NULL"))
@@ -260,6 +280,9 @@ def insert_batch(
     highest = old.agg(F.max("id")).first()[0] or 0
     accepted = numbered(reviewed.where("reason IS NULL").drop("reason", VIOLATIONS), ["seq"], "_nth", "inserts")
     filled = with_defaults(accepted.withColumn("id", F.col("_nth") + highest), table, now, actor)
+    if table == "categories":
+        filled = _with_place(filled, old, "parent_id")
+        filled = filled.withColumns({c: F.col(f"_{c}") for c in ("path", "level") if c in old.columns})
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
     # Kept as a table: generated keys and times must not change from one read to the next.
     new = filled.select(*[F.col(c).cast(types.get(c, old.schema[c].dataType)) for c in old.columns])

@@ -121,7 +121,9 @@ def category_patches(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("seq"),
         (key + 1000).alias("id"),
         F.when(nation < 10, F.concat(F.lit("Line "), key.cast("string"))).alias("name"),
-        F.when((nation >= 5) & (nation < 20), (nation * 2 + 100).cast("bigint")).alias("parent_id"),
+        F.when((nation >= 5) & (nation < 20), (nation * 2 + 100).cast("bigint"))
+        .when(nation == 21, F.lit(3).cast("bigint"))
+        .alias("parent_id"),
         F.when(nation == 20, False).alias("is_active"),
     )
 

@@ -754,10 +754,14 @@ define(
     "SELECT id AS seq, id, reason FROM reviewed WHERE reason IS NOT NULL",
     PRODUCT_PATCHES,
 )
+STORED_PATHS = """
+stored AS (
+  SELECT c.*, concat_ws('.', p.parent_id, c.parent_id, c.id) AS path
+  FROM categories c LEFT JOIN categories p ON p.id = c.parent_id)"""
 CATEGORY_PATCHES = """
 patches AS (
   SELECT s_suppkey AS seq, s_suppkey + 1000 AS id, CASE WHEN s_nationkey < 10 THEN 'Line ' || s_suppkey END AS name,
-         CASE WHEN s_nationkey BETWEEN 5 AND 19 THEN s_nationkey * 2 + 100 END AS parent_id,
+         CASE WHEN s_nationkey BETWEEN 5 AND 19 THEN s_nationkey * 2 + 100 WHEN s_nationkey = 21 THEN 3 END AS parent_id,
          CASE WHEN s_nationkey = 20 THEN FALSE END AS is_active
   FROM supplier),
 reviewed AS (
@@ -767,9 +771,13 @@ reviewed AS (
 define(
     "patch_apply_categories",
     """
-SELECT c.id, coalesce(r.name, c.name) AS name, CAST(coalesce(r.parent_id, c.parent_id) AS DOUBLE) AS parent_id, c.level,
-       coalesce(r.is_active, c.is_active) AS is_active
-FROM categories c LEFT JOIN reviewed r ON r.id = c.id AND r.reason IS NULL""",
+SELECT c.id, coalesce(r.name, c.name) AS name, CAST(coalesce(r.parent_id, c.parent_id) AS DOUBLE) AS parent_id,
+       CASE WHEN r.id IS NULL THEN c.level ELSE p.level + 1 END AS level,
+       coalesce(r.is_active, c.is_active) AS is_active,
+       CASE WHEN r.id IS NULL THEN c.path ELSE p.path || '.' || c.id END AS path
+FROM stored c LEFT JOIN reviewed r ON r.id = c.id AND r.reason IS NULL
+     LEFT JOIN stored p ON p.id = coalesce(r.parent_id, c.parent_id)""",
+    STORED_PATHS,
     CATEGORY_PATCHES,
 )
 define(
@@ -875,12 +883,12 @@ steps AS (
 )
 
 
-def _inserted(existing: str) -> str:
+def _inserted(existing: str, value: str = "shown") -> str:
     """Added rows with ids in order of arrival, and the refused ones."""
     return f"""
-SELECT 'added' AS outcome, (SELECT max(id) FROM {existing}) + row_number() OVER (ORDER BY seq) AS key,
-       shown AS value, TRUE AS is_active
-FROM decided WHERE reason IS NULL
+SELECT 'added' AS outcome, key, {value} AS value, TRUE AS is_active
+FROM (SELECT *, (SELECT max(id) FROM {existing}) + row_number() OVER (ORDER BY seq) AS key
+      FROM decided WHERE reason IS NULL)
 UNION ALL
 SELECT 'rejected', seq, reason, FALSE FROM decided WHERE reason IS NOT NULL"""
 
@@ -918,7 +926,11 @@ tested AS (
 )
 define(
     "insert_batch_categories",
-    _inserted("categories"),
+    _inserted(
+        "categories",
+        "coalesce((SELECT c.parent_id || '.' || c.id || '.' || key || ' ' || (c.level + 1) FROM categories c"
+        " WHERE CAST(c.id AS VARCHAR) = shown), key || ' 0')",
+    ),
     """
 tested AS (
   SELECT s_suppkey AS seq, coalesce(parent, -1) || '/' || name AS claim, CAST(parent AS VARCHAR) AS shown,

@@ -275,7 +275,7 @@ def order_intake(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def apply_stock(spark: SparkSession, folder: str) -> DataFrame:
-    """Take out the processing orders, give back the cancelled and refunded ones."""
+    """Take out the orders in processing, give back the cancelled and refunded ones."""
     t = star.star_tables(spark, folder)
     sold = changes.order_stock_deltas(t.order_items, t.orders.where("status = 'processing'"), -1)
     returned = changes.order_stock_deltas(t.order_items, t.orders.where("status IN ('cancelled', 'refunded')"), 1)
@@ -306,12 +306,17 @@ over_tables(
 )
 
 
+def _with_paths(t: Tables) -> Tables:
+    paths = hierarchy.category_path(t.categories).select("id", "path")
+    return t.with_(categories=t.categories.join(paths, "id"))
+
+
 def _patched(table: str, build: Callable[[SparkSession, str], DataFrame], *links: str) -> None:
     """Two queries: the patched table and the refused patches."""
 
     def apply(spark: SparkSession, folder: str) -> changes.Applied:
         t = star.star_tables(tune(spark), folder)
-        return changes.patch_apply(table, t, build(spark, folder))
+        return changes.patch_apply(table, _with_paths(t) if table == "categories" else t, build(spark, folder))
 
     QUERIES[f"patch_apply_{table}"] = lambda spark, folder: money_to_double(
         doubles(apply(spark, folder).table, *links)
@@ -381,15 +386,16 @@ def delete_subtree_broken(spark: SparkSession, folder: str) -> DataFrame:
     return _subtrees(t, broken.where("level < 2"))
 
 
-def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], link: str) -> Query:
+def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], shown: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         t = star.star_tables(tune(spark), folder)
+        t = _with_paths(t) if table == "categories" else t
         applied = changes.insert_batch(table, t, build(spark, folder))
         new = applied.table.join(getattr(t, table).select("id"), "id", "left_anti")
         added = new.select(
             F.lit("added").alias("outcome"),
             F.col("id").alias("key"),
-            F.col(link).cast("string").alias("value"),
+            F.expr(shown).cast("string").alias("value"),
             "is_active",
         )
         refused = applied.rejected.select(
@@ -405,7 +411,9 @@ def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], link:
 
 QUERIES["insert_batch_clients"] = _inserted("clients", batches.new_clients, "email")
 QUERIES["insert_batch_products"] = _inserted("nomenclature", batches.new_products, "sku")
-QUERIES["insert_batch_categories"] = _inserted("categories", batches.new_categories, "parent_id")
+QUERIES["insert_batch_categories"] = _inserted(
+    "categories", batches.new_categories, "path || ' ' || level"
+)
 
 # --- metrics and streams -------------------------------------------------------
 

@@ -7,6 +7,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from orderlytics.operators import changes
+from orderlytics.operators.hierarchy import category_path
 
 
 def now():
@@ -225,3 +226,13 @@ def test_cascade_returns_stock(shop, spark):
     assert dict(tuples(done.stock_deltas, "nomenclature_id", "delta")) == {8: 1, 1: 2, 3: 2, 4: 1, 5: 1}
     stock = changes.apply_stock(shop.nomenclature, done.stock_deltas).table
     assert dict(tuples(stock, "id", "quantity"))[8] == 2
+
+
+def test_categories_take_their_place_from_the_parent(shop, spark):
+    stored = shop.with_(categories=shop.categories.drop("path", "level").join(category_path(shop.categories), "id"))
+    new = frame(spark, "seq bigint, name string, parent_id bigint", (1, "deep", 4), (2, "top", None))
+    added = changes.insert_batch("categories", stored, new).table.where("name IN ('deep', 'top')")
+    assert sorted(tuples(added, "id", "path", "level")) == [(12, "1.4.12", 2), (13, "13", 0)]
+    moves = frame(spark, "seq bigint, id bigint, parent_id bigint", (1, 8, 2))
+    moved = {r.id: (r.path, r.level) for r in changes.patch_apply("categories", stored, moves).table.collect()}
+    assert (moved[8], moved[9]) == (("2.8", 1), ("1.4.9", 2))
