@@ -578,8 +578,7 @@ FROM order_items WHERE total_price <> quantity * price""",
 
 # --- changes -----------------------------------------------------------------
 
-define(
-    "order_intake",
+INTAKE = (
     """
 SELECT o.id, NOT o.refused AS accepted,
        CASE WHEN NOT o.refused THEN NULL WHEN o.lines = 0 THEN 'items_missing' WHEN NOT o.client_ok THEN 'client_not_found'
@@ -639,6 +638,33 @@ first_faults AS (
         FROM offers f LEFT JOIN accepted_orders a ON a.order_id = f.order_id)
   WHERE fault IS NOT NULL AND NOT taken GROUP BY order_id)""",
 )
+define("order_intake", *INTAKE)
+define(
+    "create_orders",
+    f"""
+SELECT 'order' AS kind, id + 1000000000 AS id, {money("total_amount")} AS value, order_number AS label FROM app_orders
+UNION ALL
+SELECT 'order', o.id, t.total, 'ORD-' || lpad(CAST(highest + row_number() OVER (ORDER BY o.order_date, o.id) AS VARCHAR), 6, '0')
+FROM app_orders o JOIN order_sums t ON t.order_id = o.id,
+     (SELECT max(CAST(substr(order_number, 5) AS BIGINT)) AS highest FROM app_orders)
+UNION ALL
+SELECT 'items', order_id, total, NULL FROM order_sums
+UNION ALL
+SELECT 'stock', n.id, {money("n.quantity * 10 - coalesce(s.sold, 0)")}, NULL
+FROM nomenclature n LEFT JOIN (
+  SELECT nomenclature_id, sum(quantity) AS sold FROM offers
+  WHERE order_id IN (SELECT order_id FROM accepted_orders) GROUP BY nomenclature_id) s ON s.nomenclature_id = n.id
+UNION ALL
+SELECT 'refused', id, NULL, reason FROM decided WHERE NOT accepted""",
+    *INTAKE[1:],
+    f"""
+decided AS ({INTAKE[0]})""",
+    f"""
+order_sums AS (
+  SELECT f.order_id, {money("sum(f.quantity * n.price)")} AS total
+  FROM offers f JOIN nomenclature n ON n.id = f.nomenclature_id
+  WHERE f.order_id IN (SELECT order_id FROM accepted_orders) GROUP BY f.order_id)""",
+)
 define(
     "apply_stock",
     """
@@ -840,6 +866,25 @@ UNION ALL
 SELECT 'stock', nomenclature_id, CAST(sum(quantity) AS BIGINT) FROM order_items JOIN app_orders o ON o.id = order_id
 WHERE status NOT IN ('completed', 'processing') GROUP BY nomenclature_id""",
 )
+define(
+    "delete_orders",
+    f"""
+SELECT 'order' AS kind, id, {money("total_amount")} AS value, order_number AS label FROM app_orders
+WHERE status IN ('completed', 'processing')
+UNION ALL
+SELECT 'items', order_id, {money("sum(total_price)")}, NULL FROM order_items
+WHERE order_id IN (SELECT id FROM app_orders WHERE status IN ('completed', 'processing')) GROUP BY order_id
+UNION ALL
+SELECT 'stock', n.id, {money("n.quantity + coalesce(s.returned, 0)")}, NULL
+FROM nomenclature n LEFT JOIN (
+  SELECT nomenclature_id, sum(quantity) AS returned FROM order_items
+  WHERE order_id IN (SELECT id FROM app_orders WHERE status NOT IN ('completed', 'processing'))
+  GROUP BY nomenclature_id) s ON s.nomenclature_id = n.id
+UNION ALL
+SELECT 'refused', id, NULL, 'locked_status' FROM app_orders WHERE status IN ('completed', 'processing')
+UNION ALL
+SELECT 'refused', id + 1000000000, NULL, 'unknown_id' FROM app_orders""",
+)
 BROKEN = """
 broken AS (
   SELECT id, name, level, is_active,

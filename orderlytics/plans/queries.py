@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double
-from orderlytics.operators import changes, hierarchy, intake, integrity, reports, search
+from orderlytics.operators import changes, hierarchy, intake, integrity, orders, reports, search
 from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
 from orderlytics.sources import star
@@ -363,6 +363,38 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def delete_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Ask for every order and as many unknown ones; what remains, the stock, and the refusals."""
+    t = star.star_tables(spark, folder)
+    return _orders_changed(orders.delete_orders(t, batches.with_unknown(t.orders.select("id"))))
+
+
+@query
+def create_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The intake batch on top of stored orders without items, whose numbers it continues."""
+    t = star.star_tables(spark, folder)
+    stored = t.orders.withColumn("id", F.col("id") + batches.UNKNOWN_ID_OFFSET)
+    stock = t.nomenclature.withColumn("quantity", F.col("quantity") * 10)
+    shop = t.with_(orders=stored, order_items=t.order_items.where("false"), nomenclature=stock)
+    batch = t.orders.withColumn("order_number", F.lit(None).cast("string"))
+    return _orders_changed(orders.create_orders(shop, batch, batches.intake_items(t), ["order_date", "id"]))
+
+
+def _orders_changed(done: orders.OrdersChanged) -> DataFrame:
+    def told(df: DataFrame, kind: str, key: str, value: F.Column, text: F.Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), value.cast("double").alias("value"), text.alias("label"))
+
+    none = F.lit(None).cast("string")
+    items = done.order_items.groupBy("order_id").agg(F.sum("total_price").alias("total"))
+    return union(
+        told(done.orders, "order", "id", F.col("total_amount"), F.col("order_number")),
+        told(items, "items", "order_id", F.col("total"), none),
+        told(done.nomenclature, "stock", "id", F.col("quantity"), none),
+        told(done.rejected, "refused", "id", F.lit(None), F.col("reason")),
+    )
+
+
 def _subtrees(t: Tables, ids: DataFrame) -> DataFrame:
     done = changes.delete_subtree(t, ids)
     kept = done.table.select("id", "name", F.lit("remains").alias("reason"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from conftest import tuples
 
-from orderlytics.operators import intake
+from orderlytics.operators import intake, orders
 from orderlytics.operators.intake import order_intake
 
+NOON = datetime(2024, 5, 1, 12)
+
 
 def serial(orders, items, clients, products):
     stock = {p: [quantity, price] for p, quantity, price, active in products if active}
@@ -138,3 +141,27 @@ def test_invalid_lines_are_refused_with_a_reason_and_touch_no_stock(spark):
     decided = decide(spark, *world)
     assert decided == serial(*world)
     assert decided[1] == ("invalid_fields", None) and decided[6] == ("stock_too_small", 10)
+
+
+def test_orders_are_created_and_deleted_with_all_that_hangs_on_them(shop, make, spark):
+    new = make("orders", "id, client_id, order_date, status", [(11, 1, NOON, "pending"), (12, 1, NOON, "pending"), (13, 1, NOON, "lost")])
+    product = shop.nomenclature.where("id = 1").first()
+    lines = make(
+        "order_items",
+        "id, order_id, nomenclature_id, quantity, price",
+        [(101, 11, 1, 1, product.price), (102, 12, 1, product.quantity, product.price), (103, 13, 1, 1, product.price)],
+    )
+    made = orders.create_orders(shop, new, lines, ["order_date", "id"])
+    assert sorted(tuples(made.rejected, "id", "reason")) == [(12, "stock_too_small"), (13, "invalid_fields")]
+    (added,) = made.orders.where("id > 10").collect()
+    assert (added.id, added.total_amount, added.payment_status) == (11, product.price, "unpaid")
+    assert added.order_number > shop.orders.selectExpr("max(order_number)").first()[0]
+    assert made.order_items.where("order_id > 10").count() == 1
+    assert made.nomenclature.where("id = 1").first().quantity == product.quantity - 1
+
+    after = shop.with_(orders=made.orders, order_items=made.order_items, nomenclature=made.nomenclature)
+    gone = orders.delete_orders(after, spark.createDataFrame([(11,), (99,), (None,)], "id bigint"))
+    assert sorted(tuples(gone.rejected, "id", "reason"), key=str) == [(99, "unknown_id"), (None, "unknown_id")]
+    assert sorted(tuples(gone.orders, "id")) == sorted(tuples(shop.orders, "id"))
+    assert gone.order_items.count() == shop.order_items.count()
+    assert gone.nomenclature.where("id = 1").first().quantity == product.quantity
