@@ -174,6 +174,40 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.size(VIOLATIONS) > 0)
 
 
+def _parents(t: Tables, table: str, require_active: bool) -> DataFrame:
+    rows = getattr(t, table)
+    if require_active and "is_active" in rows.columns:
+        rows = rows.where("is_active")
+    return rows.select("id")
+
+
+def fk_rejected(t: Tables, table: str, require_active: bool = False) -> DataFrame:
+    """Rows with a key that points to a missing (or inactive) parent, and the `reason`; once for each such key."""
+    rows = getattr(t, table)
+    found = [
+        # Rows without the key point nowhere and must not meet in one task.
+        rows.where(F.col(column).isNotNull())
+        .join(_parents(t, parent, require_active).withColumnRenamed("id", column), column, "left_anti")
+        .select(*rows.columns, F.lit(f"{column}_not_found").alias("reason"))
+        for child, column, parent in FOREIGN_KEYS
+        if child == table
+    ]
+    return reduce(DataFrame.unionByName, found, rows.where("false").withColumn("reason", F.lit("")))
+
+
+def unique_rejected(t: Tables, table: str) -> DataFrame:
+    """All rows that share a unique key with another, and the `reason`; once for each such key."""
+    rows = getattr(t, table)
+    found = []
+    for child, columns in UNIQUE_KEYS:
+        if child == table:
+            held = rows.dropna(subset=list(columns))
+            many = held.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*columns)
+            reason = F.lit(f"{'+'.join(columns)}_repeated").alias("reason")
+            found.append(held.join(many, list(columns), "left_semi").select(*rows.columns, reason))
+    return reduce(DataFrame.unionByName, found, rows.where("false").withColumn("reason", F.lit("")))
+
+
 def fk_violations(t: Tables, require_active: bool = False) -> DataFrame:
     """Keys that point to a missing (or, on input, inactive) parent, with their row counts.
 
@@ -182,11 +216,9 @@ def fk_violations(t: Tables, require_active: bool = False) -> DataFrame:
     """
 
     def broken(child: str, column: str, parent: str) -> DataFrame:
-        parents = getattr(t, parent)
-        if require_active and "is_active" in parents.columns:
-            parents = parents.where("is_active")
+        parents = _parents(t, parent, require_active)
         used = getattr(t, child).where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id"))
-        missing = used.agg(F.count(F.lit(1)).alias("row_count")).join(parents.select("id"), "id", "left_anti")
+        missing = used.agg(F.count(F.lit(1)).alias("row_count")).join(parents, "id", "left_anti")
         name = F.lit(f"{child}.{column}").alias("foreign_key")
         return missing.select(name, F.col("id").alias("missing_id"), "row_count")
 

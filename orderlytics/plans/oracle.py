@@ -537,6 +537,47 @@ define(
 )
 
 
+def _orphans(child: str, rows: str, id: str, column: str, parents: str) -> str:
+    return f"""
+SELECT '{child}' AS table_name, {id} AS id, '{column}_not_found' AS reason
+FROM {rows} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parents})"""
+
+
+define(
+    "fk_rejected",
+    " UNION ALL ".join(
+        (
+            _orphans("categories", "categories", "id", "parent_id", "categories WHERE is_active"),
+            _orphans("nomenclature", "nomenclature", "id", "category_id", "categories WHERE is_active"),
+            _orphans("orders", "app_orders", "id", "client_id", "clients WHERE is_active"),
+            _orphans("order_items", "order_items", "order_id", "order_id", "app_orders"),
+            _orphans("order_items", "order_items", "order_id", "nomenclature_id", "nomenclature WHERE is_active"),
+        )
+    ),
+)
+
+
+def _sharing(table: str, rows: str, id: str, columns: str, label: str) -> str:
+    return f"""
+SELECT '{table}' AS table_name, {id} AS id, '{label}_repeated' AS reason
+FROM (SELECT *, count(*) OVER (PARTITION BY {columns}) AS held FROM {rows} WHERE ({columns}) IS NOT NULL) WHERE held > 1"""
+
+
+define(
+    "unique_rejected",
+    " UNION ALL ".join(
+        (
+            _sharing("nomenclature", "nomenclature", "id", "sku", "sku"),
+            _sharing("clients", "clients", "id", "email", "email"),
+            _sharing("orders", "app_orders", "id", "order_number", "order_number"),
+            _sharing(
+                "order_items", "order_items", "order_id", "order_id, nomenclature_id", "order_id+nomenclature_id"
+            ),
+        )
+    ),
+)
+
+
 def _repeated(label: str, rows: str, value: str) -> str:
     return f"""
 SELECT '{label}' AS unique_key, {value} AS value, count(*) AS row_count FROM {rows}

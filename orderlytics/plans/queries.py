@@ -259,6 +259,18 @@ def storage_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 over_tables("fk_violations", lambda t: integrity.fk_violations(t, require_active=True))
 over_tables("unique_violations", integrity.unique_violations)
+
+
+def _each_table(t: Tables, check: Callable[[str], DataFrame]) -> DataFrame:
+    """Refused rows of all tables, items under the id of their order."""
+    keys = {"categories": "id", "nomenclature": "id", "clients": "id", "orders": "id", "order_items": "order_id"}
+    return union(
+        *[check(table).select(F.lit(table).alias("table_name"), F.col(key).alias("id"), "reason") for table, key in keys.items()]
+    )
+
+
+over_tables("fk_rejected", lambda t: _each_table(t, lambda table: integrity.fk_rejected(t, table, require_active=True)))
+over_tables("unique_rejected", lambda t: _each_table(t, lambda table: integrity.unique_rejected(t, table)))
 over_tables("total_mismatch", integrity.order_total_mismatch)
 over_tables("total_mismatch_items", integrity.item_total_mismatch)
 

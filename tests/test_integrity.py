@@ -97,6 +97,20 @@ def test_unique_keys(shop, make):
     assert sorted(tuples(strict)) == [("categories.parent_id+name", "1/k", 2), ("clients.email", "e@x.y", 2)]
 
 
+def test_refused_rows_have_a_reason(shop, make):
+    items = make("order_items", "id, order_id, nomenclature_id, quantity, price", [(1, 1, 99, 1, 5), (2, 77, 98, 1, 5), (3, 1, 1, 1, 5), (4, 1, 1, 2, 5)])
+    t = shop.with_(order_items=items)
+    assert sorted(tuples(integrity.fk_rejected(t, "order_items"), "id", "reason")) == [
+        (1, "nomenclature_id_not_found"),
+        (2, "nomenclature_id_not_found"),
+        (2, "order_id_not_found"),
+    ]
+    assert integrity.fk_rejected(t, "clients").count() == integrity.fk_rejected(t, "orders").count() == 0
+    reason = "order_id+nomenclature_id_repeated"
+    assert sorted(tuples(integrity.unique_rejected(t, "order_items"), "id", "reason")) == [(3, reason), (4, reason)]
+    assert integrity.unique_rejected(t, "clients").count() == 0
+
+
 def test_total_mismatch(raw_seed, shop, make):
     assert sorted(tuples(integrity.order_total_mismatch(raw_seed))) == [(4, 80000.0, 115000.0), (5, 95000.0, 125000.0)]
     assert integrity.order_total_mismatch(shop).count() == 0
