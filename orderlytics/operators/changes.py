@@ -12,13 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlytics.functions.numbers import number_value, order_number
 from orderlytics.operators.hierarchy import below
 from orderlytics.operators.integrity import VIOLATIONS, record_rules
 from orderlytics.operators.reports import item_totals
 from orderlytics.operators.running import numbered, running, sliced
 from orderlytics.schemas import LOCKED_STATUSES, SCHEMAS, TOTAL
 from orderlytics.session import cut_lineage
-from orderlytics.sources.star import order_number
 from orderlytics.sources.tables import Tables, with_defaults
 
 ACTOR = "api_user"
@@ -96,11 +96,6 @@ def _stamped(
 # --- order numbers and totals -----------------------------------------------
 
 
-def number_value(number: Column) -> Column:
-    """Numeric part of `ORD-<digits>`; NULL for any other form."""
-    return F.nullif(F.regexp_extract(number, "^ORD-([0-9]+)$", 1), F.lit("")).try_cast("bigint")
-
-
 def assign_order_numbers(existing: DataFrame, new: DataFrame, arrival: list[str]) -> DataFrame:
     """Number the new orders that have none, as if they arrived one by one.
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlytics.functions.numbers import order_number
 from orderlytics.schemas import MONEY
-from orderlytics.sources.star import order_number, scan
+from orderlytics.sources.star import scan
 from orderlytics.sources.tables import Tables
 
 UNKNOWN_ID_OFFSET = 1_000_000_000

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orderlytics.functions.numbers import order_number
 from orderlytics.schemas import MONEY
 from orderlytics.sources.tables import Tables
 
@@ -60,12 +61,6 @@ def clients(customer: DataFrame) -> DataFrame:
     )
 
 
-def order_number(number: F.Column) -> F.Column:
-    """`ORD-` and at least six digits; longer numbers are not cut."""
-    digits = number.cast("string")
-    return F.concat(F.lit("ORD-"), F.when(number < 1_000_000, F.lpad(digits, 6, "0")).otherwise(digits))
-
-
 def orders(raw: DataFrame) -> DataFrame:
     state, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     status = (
