@@ -243,6 +243,94 @@ def test_licence_digests(spark, docs):
     assert got[3].digest is None and got[4].digest is None and got[6].digest is None and len(got) == 6
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2016 Some One <one@example.org>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the \u201cSoftware\u201d), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC_FILE = """ISC License
+
+Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND ISC DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL ISC BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD_FILE = """Copyright (c) The Regents of the University of California.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.  IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE.
+"""
+
+
+def test_whole_licences_are_known(spark, docs):
+    third = BSD_FILE[BSD_FILE.index("3. Neither") : BSD_FILE.index("THIS SOFTWARE")]
+    plain = BSD_FILE.replace("1. ", "* ").replace("2. ", "* ").replace("All rights reserved.\n", "")
+    want = [("MIT", MIT_FILE), ("MIT", MIT_FILE.split("\n", 1)[1]), ("ISC", ISC_FILE), ("BSD-3-Clause", BSD_FILE)]
+    want += [("BSD-2-Clause", BSD_FILE.replace(third, "")), ("BSD-2-Clause", plain.replace(third, ""))]
+    want += [("MIT", f"SPDX-License-Identifier: MIT\n{MIT_FILE.split(chr(10), 1)[1]}")]
+    want += [(None, MIT_FILE[: MIT_FILE.index("THE SOFTWARE")]), (None, BSD_FILE[: BSD_FILE.index("THIS SOFTWARE")])]
+    folder = Path("/usr/share/common-licenses")
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+        if (folder / file).exists():
+            text = (folder / file).read_text()
+            end = text.find("END OF TERMS AND CONDITIONS")
+            want += [(name, text), (name, " ".join(text.split()) if name == "MPL-2.0" else text[:end] if end > 0 else text)]
+            want += [(None, text[: len(text) // 2])]
+    got = rows(licenses.scanned(docs(*enumerate(t for _, t in want))).select("row.doc_id", "license", "notices"))
+    assert [got[i].license for i in range(len(want))] == [name for name, _ in want]
+    own = spark.createDataFrame([("ours", "Do what\nyou like.")], "license string, text string")
+    got = rows(licenses.scanned(docs((1, "do WHAT you like"), (2, MIT_FILE), (3, "x\nDo what you like!\ny")), own).select("row.doc_id", "license", "notices"))
+    assert (got[1].license, got[2].license, got[3].notices) == ("ours", None, ["ours"])
+
+
 def test_language_follows_text_and_rejects_what_has_none(spark, docs):
     english = ["the quick brown fox jumps over the lazy dog and then the hen", "all of the people that we know are here with the others"]
     french = ["le renard brun saute par dessus le chien paresseux et la poule", "tous les gens que nous connaissons sont ici avec les autres"]
