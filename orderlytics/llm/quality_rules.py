@@ -1,10 +1,10 @@
 """Quality rules: per-document counts, and lines that too many documents of a host share.
 
 Lines are normalised (A-Z lowered, blanks joined) and hashed. For each host the
-documents of a line are counted, documents with equal texts once. A line is
-above the limit when more than `LINE_SHARE` of the host's documents, and at least
-`LINE_DOCS`, hold it. Such lines are removed, and a document is rejected as
-depleted when they hold more than `DEPLETED` of its words.
+documents of a line are counted; a document is a row, also where texts are equal.
+A line is above the limit when at least `LINE_DOCS` documents of the host hold it,
+however many the host has. Such lines are removed from the text, and a document is
+rejected as depleted when they hold more than `DEPLETED` of its words.
 
 NULL and empty texts have no words and fail the base rules. A NULL host is one
 host. Repeated rows are judged each; no documents give no rows.
@@ -23,7 +23,6 @@ from orderlytics.llm.common import BLANKS, portions, text_of
 from orderlytics.llm.wordhash import Words, mixed, windows, words
 from orderlytics.session import cut_lineage
 
-LINE_SHARE = 0.01
 LINE_DOCS = 20
 DEPLETED = 0.5
 MIN_WORDS = 50
@@ -33,7 +32,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SCHEMA = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "text_hash bigint, lines array<struct<line:bigint,words:bigint>>"
+    "lines array<struct<line:bigint,words:bigint>>"
 )
 
 
@@ -75,7 +74,7 @@ def _ordered_sum(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) ->
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made: list[list] = [[] for _ in range(7)]
+        made: list[list] = [[] for _ in range(6)]
         for first, last, data, texts in portions(batch.column("body")):
             raw, low = words(data, texts, lower=False), words(data, texts, lower=True)
             blank = (data == 32) | ((data >= 9) & (data <= 13))
@@ -85,10 +84,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made[2] += _per_text(_SYMBOL[data], texts).tolist()
             made[3] += [_duplicate_lines(t) for t in batch.column("body").slice(first, last - first).to_pylist()]
             made[4] += _repeated(raw)
-            whole = np.zeros(len(n), np.uint64)
-            if n.any():
-                whole[n > 0] = _ordered_sum(raw.hashes, raw.first[:-1][n > 0], n[n > 0])
-            made[5] += whole.view(np.int64).tolist()
             line_starts = np.unique(np.concatenate([texts[:-1], np.flatnonzero(data == 10) + 1]))
             bounds = np.searchsorted(low.starts, np.append(line_starts, len(data)))
             held = np.diff(bounds)
@@ -102,9 +97,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = full[a:b]
                 keys, at = np.unique(line_hash[a:b][own], return_inverse=True)
                 sums = np.bincount(at, held[a:b][own], len(keys)).astype(np.int64)
-                made[6].append([{"line": k, "words": w} for k, w in zip(keys.view(np.int64).tolist(), sums.tolist())])
+                made[5].append([{"line": k, "words": w} for k, w in zip(keys.view(np.int64).tolist(), sums.tolist())])
         line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
-        kinds = [pa.int64()] * 6 + [line_type]
+        kinds = [pa.int64()] * 5 + [line_type]
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("host"), *(pa.array(m, k) for m, k in zip(made, kinds))],
@@ -123,13 +118,9 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", id: str =
     measured = measured.withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")))
     measured = cut_lineage(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
 
-    lines = measured.select("row", "host", "text_hash", F.explode("lines").alias("l")).select(
-        "row", "host", "text_hash", "l.line", "l.words"
-    )
-    docs_of = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("docs"))
-    sizes = measured.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
-    above = docs_of.where(F.col("docs") >= LINE_DOCS).join(sizes, "host")
-    above = above.where(F.col("docs") > LINE_SHARE * F.col("host_docs")).select("host", "line")
+    lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
+    docs_of = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
+    above = docs_of.where(F.col("docs") >= LINE_DOCS).select("host", "line")
     above = cut_lineage(above, "lines-above")
     gone = lines.join(above, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"))
     joined = measured.drop("lines").join(gone, "row", "left")

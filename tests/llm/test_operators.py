@@ -81,6 +81,17 @@ def test_quality_counts_and_shared_lines(spark, docs):
     assert got[200].kept and not got[300].kept
 
 
+def test_line_limit_is_the_same_on_hosts_of_any_size(spark, docs):
+    line = " ".join(f"b{i}" for i in range(70))
+    body = lambda i: " ".join(f"o{i}x{k}" for k in range(10))
+    table = [(i, f"{line}\n{body(i)}", "en", "large") for i in range(20)] + [(i, body(i), "en", "large") for i in range(100, 2600)]
+    table += [(5000 + i, line, "en", "copies") for i in range(20)] + [(6000 + i, line, "en", "few") for i in range(19)]
+    got = rows(quality_rules.judged(docs(*table)))
+    assert {(got[i].removed_words, got[i].kept) for i in range(20)} == {(70, False)}
+    assert {(got[5000 + i].removed_words, got[5000 + i].kept) for i in range(20)} == {(70, False)}
+    assert {(got[6000 + i].removed_words, got[6000 + i].kept) for i in range(19)} == {(0, True)}
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
