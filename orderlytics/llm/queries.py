@@ -43,7 +43,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    judged = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop(ROW, "kept_text")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

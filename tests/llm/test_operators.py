@@ -92,6 +92,19 @@ def test_line_limit_is_the_same_on_hosts_of_any_size(spark, docs):
     assert {(got[6000 + i].removed_words, got[6000 + i].kept) for i in range(19)} == {(0, True)}
 
 
+def test_kept_text_is_without_shared_lines(spark, docs):
+    own = lambda i: " ".join(f"o{i}x{k}" for k in range(60))
+    table = [(i, f"Share this  page\n\n{own(i)} é\nSHARE this page \n \nend{i}\n", "en", "h") for i in range(25)]
+    table += [(30, "share this page", "en", "h"), (31, None, "en", "h"), (32, "", "en", "h"), (33, "share this page\n", "en", "other")]
+    table += [(5, table[5][1], "en", "h"), (34, "x\n\n", "en", None), (None, "share this page\ny", "en", "h")]
+    got = quality_rules.judged(clash(docs(*table))).select("row.*", F.col("kept_text"), "kept", "removed_words").collect()
+    assert len(got) == len(table) and {r.verdict for r in got} == {"x"}
+    text = {r.doc_id: (r.kept_text, r.removed_words) for r in got}
+    assert all(text[i] == (f"\n{own(i)} é\n \nend{i}\n", 6) for i in range(25))
+    assert [text[i] for i in (30, 31, 32, 33, 34, None)] == [("", 3), ("", 0), ("", 0), ("share this page\n", 0), ("x\n\n", 0), ("y", 3)]
+    assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 25)
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
