@@ -24,19 +24,21 @@ has no languages and gives no rows. Repeated rows are judged each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlytics.llm.common import ROW, portions, text_of, wrapped
+from orderlytics.session import cut_lineage
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 64  # the most frequent declared ones; bounds the model that goes to the tasks
-MIN_SHARE = 0.001  # a declaration rarer than that is no language of its own
+BLOCK = 64  # languages whose models go to the tasks at once; there may be any number of blocks
+CHAIN = 4  # blocks that are scored in one go
 REPEAT = 3.0
 ENOUGH = 300
 TRUST = 0.9
@@ -70,67 +72,97 @@ def _trigrams(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (key[at] >> np.uint32(16)).astype(np.int64), np.searchsorted(texts, at, "right") - 1
 
 
+def _numbers(column: pa.Array, number: dict[str, int]) -> np.ndarray:
+    """The languages' numbers; -1 for what is none."""
+    coded = column.dictionary_encode()
+    known = np.array([*(number.get(x, -1) for x in coded.dictionary.to_pylist()), -1], np.int64)
+    return known[coded.indices.fill_null(len(known) - 1).to_numpy()]
+
+
+def _counted(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, of in counts.items():
+        bucket = np.flatnonzero(of)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(bucket), lang), pa.int32()), pa.array(bucket, pa.int32()), pa.array(of[bucket])],
+            ["lang", "bucket", "n"],
+        )
+
+
 def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((len(languages), BUCKETS), np.int64)
+    counts: dict[int, np.ndarray] = {}
     number = {l: i for i, l in enumerate(languages)}
     for batch in batches:
-        declared = np.array([number.get(x, -1) for x in batch.column("declared").to_pylist()], np.int64)
+        declared = _numbers(batch.column("declared"), number)
         for first, last, data, texts in portions(batch.column("body")):
             key, of = _trigrams(data, texts)
             own = declared[first:last][of]
-            key, own = key[own >= 0], own[own >= 0]
-            counts += np.bincount(own * BUCKETS + key, minlength=counts.size).reshape(counts.shape)
-    lang, bucket = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])],
-        ["lang", "bucket", "n"],
-    )
+            order = np.argsort(own, kind="stable")
+            key, own = key[order], own[order]
+            langs, starts = np.unique(own, return_index=True)
+            for lang, a, b in zip(langs.tolist(), starts, [*starts[1:], len(own)]):
+                if lang < 0:
+                    continue
+                if lang not in counts and len(counts) >= BLOCK:
+                    yield from _counted(counts)
+                    counts = {}
+                counts[lang] = counts.get(lang, 0) + np.bincount(key[a:b], minlength=BUCKETS)
+    yield from _counted(counts)
 
 
-_VERDICT = T.StructType(
-    [
-        T.StructField("language", T.StringType()),
-        T.StructField("posterior", T.DoubleType()),
-        T.StructField("text_fit", T.DoubleType()),
-        T.StructField("rejected", T.BooleanType()),
-    ]
-)
+#: What the blocks scored so far have found: the best language and its score, the logarithm of the sum of
+#: all likelihoods, the best fit of the text, and the number of trigrams.
+_FOUND = {"language": T.StringType(), "score": T.DoubleType(), "whole": T.DoubleType(), "text_fit": T.DoubleType(), "seen": T.LongType()}
+_STATE = T.StructType([T.StructField(name, kind) for name, kind in _FOUND.items()])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], languages: list[str], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    n = len(languages)
+def _score(
+    batches: Iterator[pa.RecordBatch], languages: list[str], n: int, model: np.ndarray, everywhere: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Score a block of the `n` languages and join it with what the blocks before have found."""
+    size = len(languages)
     number = {l: i for i, l in enumerate(languages)}
-    flat_model = model.ravel()
     for batch in batches:
         rows = batch.num_rows
-        fit, seen = np.zeros((n, rows)), np.zeros(rows)
+        fit, seen = np.zeros((size, rows)), np.zeros(rows)
         for first, last, data, texts in portions(batch.column("body")):
             key, of = _trigrams(data, texts)
             seen[first:last] = np.bincount(of, minlength=last - first)
-            for k in range(n):
-                fit[k, first:last] = np.bincount(of, flat_model[k * BUCKETS : (k + 1) * BUCKETS][key], last - first)
+            for k in range(size):
+                fit[k, first:last] = np.bincount(of, model[k][key], last - first)
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.where(seen > 0, fit / seen, 0.0)
         score = mean * np.minimum(seen, ENOUGH) / REPEAT
         for name, right in (("declared", TRUST), ("hint", HINT)):
-            told = np.array([number.get(x, -1) for x in batch.column(name).to_pylist()])
-            own = told[None, :] == np.arange(n)[:, None]
+            # A language of another block is evidence against all of this one.
+            some = batch.column(name).is_valid().to_numpy(zero_copy_only=False)
+            own = _numbers(batch.column(name), number)[None, :] == np.arange(size)[:, None]
             sure = np.where(own, np.log(right + (1 - right) / n), np.log((1 - right) / n))
-            score += np.where(told[None, :] >= 0, sure, 0.0)
-        prior = np.array(batch.column("prior").to_pylist(), float).reshape(rows, n).T
-        score += np.log(prior)
-        score -= score.max(axis=0)
-        chance = np.exp(score)
-        chance /= chance.sum(axis=0)
-        best = chance.argmax(axis=0)
-        top, text_fit = chance[best, np.arange(rows)], mean.max(axis=0)
-        rejected = (seen == 0) | (text_fit < UNLIKE) | (top < CERTAIN)
-        names = [None if none else languages[b] for b, none in zip(best, seen == 0)]
-        made = pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(top), pa.array(text_fit), pa.array(rejected)],
-            [f.name for f in _VERDICT.fields],
-        )
-        yield pa.RecordBatch.from_arrays([batch.column(ROW), made], [ROW, "verdict"])
+            score += np.where(some[None, :], sure, 0.0)
+        # Of the host's languages only those that it has are listed.
+        told = batch.column("told").to_numpy(zero_copy_only=False).astype(float)
+        listed = batch.column("prior")
+        of = pa.compute.list_parent_indices(listed).to_numpy()
+        flat = listed.flatten()
+        which, count = _numbers(flat.field("declared"), number), flat.field("n").to_numpy(zero_copy_only=False)
+        prior = np.repeat(SMOOTH * everywhere[:, None], rows, axis=1)
+        here = which >= 0
+        prior[which[here], of[here]] += count[here]
+        score += np.log(prior / (told + SMOOTH))
+
+        best, at = score.argmax(axis=0), np.arange(rows)
+        top, text_fit = score[best, at], mean.max(axis=0)
+        whole = top + np.log(np.exp(score - top).sum(axis=0))
+        names = np.array(languages, object)[best]
+        before = batch.column("state")
+        if before.null_count < rows:
+            old = {f: before.field(f).to_numpy(zero_copy_only=False) for f in ("language", "score", "whole", "text_fit")}
+            names = np.where(old["score"] >= top, old["language"], names)
+            top, text_fit = np.maximum(old["score"], top), np.maximum(old["text_fit"], text_fit)
+            whole = np.logaddexp(old["whole"], whole)
+        made = [pa.array(names, pa.string()), pa.array(top), pa.array(whole), pa.array(text_fit), pa.array(seen.astype(np.int64))]
+        rest = [c for c in batch.schema.names if c != "state"]
+        state = pa.StructArray.from_arrays(made, list(_FOUND))
+        yield pa.RecordBatch.from_arrays([*map(batch.column, rest), state], [*rest, "state"])
 
 
 def suffix_language(url: Column, languages: list[str]) -> Column:
@@ -152,8 +184,9 @@ def identified(
     """Rows (wrapped) with language, posterior, text_fit and `rejected`.
 
     The corpus is read once for its declarations, once for the trigram counts
-    and once to be judged; what goes to the tasks is a table of fixed size and
-    a prior per host that joins by host.
+    and once to be judged. All declared languages are modelled, in blocks; what
+    goes to the tasks at once is the table of a block, and a prior per host that
+    joins by host.
     """
     none = F.lit(None).cast("string")
     tag = F.lower(F.trim(F.col(declared))) if declared else none
@@ -162,9 +195,8 @@ def identified(
     )
     by_host = base.groupBy("host", "declared").agg(F.count(F.lit(1)).alias("n"))
     totals = by_host.groupBy("declared").agg(F.sum("n").alias("n")).where("declared <> ''")
-    top = totals.orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES).collect()
-    total = sum(r.n for r in top)
-    known = [(r.declared, r.n) for r in top if r.n >= MIN_SHARE * total]
+    known = [(r.declared, r.n) for r in totals.orderBy(F.desc("n"), "declared").collect()]
+    total = sum(m for _, m in known)
     languages = [l for l, _ in known]
     if not languages:
         verdict = [none.alias("language"), F.lit(None).cast("double").alias("posterior")]
@@ -177,32 +209,51 @@ def identified(
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
-    # At most languages * BUCKETS rows, whatever the corpus.
-    table = counts.toArrow()
-    model = np.full((n, BUCKETS), 0.5)
-    model[table["lang"].to_numpy(), table["bucket"].to_numpy()] += table["n"].to_numpy()
-    model = np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
-
-    everywhere = [(m + SMOOTH / n) / (total + SMOOTH) for _, m in known]
-    count = [F.coalesce(F.sum(F.when(F.col("declared") == l, F.col("n"))), F.lit(0)) for l in languages]
-    told = sum(count[1:], count[0])
+    if n > BLOCK:
+        counts = cut_lineage(counts, "trigram-counts")
+    everywhere = np.array([(m + SMOOTH / n) / (total + SMOOTH) for _, m in known])
+    entry = F.when(F.col("declared") != "", F.struct("declared", "n"))
     priors = by_host.groupBy("host").agg(
-        F.array(*[(c + F.lit(SMOOTH * p)) / (told + F.lit(SMOOTH)) for c, p in zip(count, everywhere)]).alias("prior")
+        F.collect_list(entry).alias("prior"), F.coalesce(F.sum(entry["n"]), F.lit(0)).alias("told")
     )
     # Hosts joined by name; a host that holds a third of all rows is dealt over several keys.
     salted = base.withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(SALTS)))
     spread = priors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     same = (F.col("l.host").eqNullSafe(F.col("r.host"))) & (F.col("l.salt") == F.col("r.salt"))
-    few = priors.count() <= BROADCAST_HOSTS
+    few = by_host.count() <= BROADCAST_HOSTS
     right = F.broadcast(priors.alias("r")) if few else spread.alias("r")
     joined = salted.alias("l").join(right, F.col("l.host").eqNullSafe(F.col("r.host")) if few else same, "left")
+    hint = suffix_language(F.col(f"{ROW}.`{url}`"), languages) if url else none
     ready = joined.select(
-        ROW, "body", "declared", (suffix_language(F.col(f"{ROW}.`{url}`"), languages) if url else none).alias("hint"), "prior"
+        ROW, "body", F.nullif("declared", F.lit("")).alias("declared"), hint.alias("hint"), "prior", "told",
+        F.lit(None).cast(_STATE).alias("state"),
     )
-    schema = T.StructType([ready.schema[ROW], T.StructField("verdict", _VERDICT)])
-    judged = ready.mapInArrow(lambda it: _judge(it, languages, model), schema)
-    return judged.select(ROW, *[F.col("verdict")[f.name].alias(f.name) for f in _VERDICT.fields])
+    schema = ready.schema
+    for k, first in enumerate(range(0, n, BLOCK)):
+        if k and k % CHAIN == 0:
+            ready = cut_lineage(ready, "language-scores")
+        last = min(first + BLOCK, n)
+        # At most BLOCK * BUCKETS rows, whatever the corpus.
+        part = counts.where(F.col("lang").between(first, last - 1)).toArrow()
+        model = np.full((last - first, BUCKETS), 0.5)
+        model[part["lang"].to_numpy() - first, part["bucket"].to_numpy()] += part["n"].to_numpy()
+        model = np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+        ready = ready.mapInArrow(_scorer(languages[first:last], n, model, everywhere[first:last]), schema)
+    s = {f: F.col("state")[f] for f in _FOUND}
+    posterior = F.exp(s["score"] - s["whole"])
+    rejected = (s["seen"] == 0) | (s["text_fit"] < UNLIKE) | (posterior < CERTAIN)
+    return ready.select(
+        ROW,
+        F.when(s["seen"] > 0, s["language"]).alias("language"),
+        posterior.alias("posterior"),
+        s["text_fit"].alias("text_fit"),
+        rejected.alias("rejected"),
+    )
+
+
+def _scorer(*block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _score(batches, *block)
 
 
-BROADCAST_HOSTS = 100_000  # rows of a host name and at most MAX_LANGUAGES numbers
+BROADCAST_HOSTS = 100_000  # pairs of a host and a language
 SALTS = 16

@@ -366,6 +366,25 @@ def test_language_follows_text_and_rejects_what_has_none(spark, docs):
     assert language.identified(docs().limit(0)).count() == 0
 
 
+def test_rare_and_many_languages_are_all_modelled(spark, docs, monkeypatch):
+    dice = np.random.default_rng(3)
+    vocabulary = [["".join(dice.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)] for _ in range(72)]
+    text = lambda k: " ".join(dice.choice(vocabulary[k], 60))
+    table = [(i, text(0), "l00", "h") for i in range(3000)]
+    table += [(10000 + 10 * k + j, text(k), f"l{k:02}", "h") for k in range(1, 72) for j in range(2)]
+    table += [(20000, text(71), None, "x"), (20001, text(40), "", None)]
+    frame = docs(*table).cache()
+    answers = []
+    for block, chain in ((128, 4), (24, 2)):
+        monkeypatch.setattr(language, "BLOCK", block)
+        monkeypatch.setattr(language, "CHAIN", chain)
+        found = language.identified(frame).select("row.doc_id", "language", "rejected", F.round("posterior", 6).alias("p"))
+        answers.append(rows(found))
+    assert answers[0] == answers[1] and len(answers[0]) == len(table)
+    assert all(answers[0][10000 + 10 * k].language == f"l{k:02}" for k in range(1, 72))
+    assert (answers[0][20000].language, answers[0][20001].language) == ("l71", "l40")
+
+
 def test_pipeline_on_a_small_table(spark, tmp_path, docs):
     import corpus_pipeline
 
