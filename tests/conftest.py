@@ -55,7 +55,3 @@ def make(spark):
 def empty(raw_seed) -> Tables:
     names = ("categories", "nomenclature", "clients", "orders", "order_items")
     return raw_seed.with_(**{n: getattr(raw_seed, n).limit(0) for n in names})
-
-
-def tuples(df, *columns):
-    return [tuple(row) for row in (df.select(*columns) if columns else df).collect()]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from conftest import tuples
+from helpers import tuples
 
 from pyspark.sql import functions as F
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 
 from orderlytics.operators import intake, orders
 from orderlytics.operators.intake import order_intake

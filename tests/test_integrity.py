@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 
 from orderlytics.operators import integrity
 from orderlytics.operators.integrity import VIOLATIONS, accepted, record_rules, rejected

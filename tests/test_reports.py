@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 
 from orderlytics.operators import reports
 

@@ -6,7 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 from pyspark.sql import functions as F
 
 from orderlytics.operators.running import POSITION, SLICE, numbered, placed, running, sliced

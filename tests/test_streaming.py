@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 from pyspark.sql import functions as F
 
 from orderlytics.operators.reports import client_order_summary
