@@ -14,7 +14,3 @@ def docs(spark):
         return spark.createDataFrame([(*r, len(r[1] or "")) for r in full], schema).repartition(3)
 
     return build
-
-
-def by_id(df):
-    return {r.doc_id: r for r in df.collect()}
