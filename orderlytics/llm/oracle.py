@@ -50,7 +50,48 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP11 = f"""
+WITH rows AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST,
+                 sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS ts
+  FROM rows GROUP BY c),
+heads AS (
+  SELECT c, ts, c - ((c % 5) + 5) % 5 AS base, {CRC32.format(x="c")} % 9 AS h FROM turns),
+rebuilt AS (
+  SELECT own.c, list_concat(coalesce(first.ts[1 : h], []), own.ts[h + 1 :]) AS ts
+  FROM heads AS own LEFT JOIN turns AS first ON first.c = own.base),
+paths AS (
+  SELECT c, d, ts[1 : d] AS p, len(ts) = d AS ends FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, any_value(d) AS d, min(c) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY p),
+children AS (
+  SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN d = 0 THEN 0 ELSE (n - 1) * strlen(p[d].text) END AS saved
+  FROM nodes LEFT JOIN children USING (p)),
+subtrees AS (
+  SELECT p[1 : e] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_nodes) GROUP BY ALL)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, v.n AS n_convs,
+       CAST(v.n_children AS BIGINT) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+       v.ends_sha256
+FROM full_nodes AS v JOIN subtrees AS s USING (p)
+LEFT JOIN nodes AS parent ON v.d > 0 AND parent.p = v.p[1 : v.d - 1]
+"""
+
 ORACLES = {
     "op4_line_dedup": OP4,
     "op8_benchmark_decontamination": OP8,
+    "op11_conversation_trie": OP11,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlytics.llm import (
     classifier,
+    conversation_trie,
     decontamination,
     jaccard,
     language,
@@ -105,6 +106,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(ID, "language", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.spliced(turns, family=5, heads=9))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -116,4 +122,5 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_conversation_trie": op11_conversation_trie,
 }
