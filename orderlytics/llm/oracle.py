@@ -90,8 +90,25 @@ FROM full_nodes AS v JOIN subtrees AS s USING (p)
 LEFT JOIN nodes AS parent ON v.d > 0 AND parent.p = v.p[1 : v.d - 1]
 """
 
+OP12 = """
+WITH hashed AS (
+  SELECT row_number() OVER () AS r, page_id, strlen(coalesce(html, '')) AS payload_bytes,
+         sha1(coalesce(html, '')) AS h, coalesce(html, '') AS body FROM pages),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST, r) AS nth,
+         max(page_id) OVER (PARTITION BY body) AS first FROM hashed)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31
+                  AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN first END AS refers_to
+FROM ranked
+"""
+
 ORACLES = {
     "op4_line_dedup": OP4,
     "op8_benchmark_decontamination": OP8,
     "op11_conversation_trie": OP11,
+    "op12_warc": OP12,
 }

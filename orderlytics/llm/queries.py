@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.llm import (
+    alignment,
     classifier,
     conversation_trie,
     decontamination,
@@ -18,10 +19,13 @@ from orderlytics.llm import (
     quality_rules,
     secrets,
     url_filter,
+    warc,
 )
 from orderlytics.llm.common import ROW, table
+from orderlytics.session import scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 ID = f"{ROW}.doc_id"
 
@@ -111,6 +115,22 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(*conversation_trie.spliced(turns, family=5, heads=9))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/files")
+    archive = warc.Archive.ingest(warc.records(spark, f"{folder}/files"), f"{folder}/archive")
+    return warc.resolved(archive.restored()).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.aligned(docs, public_tokenizers.path(RANKS), public_tokenizers.path(PIECES))
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return found.select(F.col(f"{ROW}.doc_id").cast("bigint").alias("doc_id"), *numbers)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -123,4 +143,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_warc": op12_warc,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
