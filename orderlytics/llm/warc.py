@@ -232,16 +232,15 @@ class Archive:
         archive = cls(found.sparkSession, folder)
         digest = F.sha2("payload", 256)
         size = F.octet_length("payload").cast("bigint")
-        found.select("file", "offset", "header", digest.alias("digest"), size.alias("n_bytes")).write.parquet(
-            f"{folder}/headers"
-        )
+        headers = found.select("file", "offset", "header", digest.alias("digest"), size.alias("n_bytes"))
+        headers.write.option("compression", "zstd").parquet(f"{folder}/headers")
         full = archive.headers().where("n_bytes > 0")
         again = full.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "offset")).alias("kept"))
         again = cut_lineage(again.where("n > 1"), "payload-copies")
         later = full.join(again, "digest").where(F.struct("file", "offset") != F.col("kept")).select("file", "offset")
         later = cut_lineage(later, "later-copies")
         kept = found.where(size > 0).join(later, ["file", "offset"], "left_anti")
-        kept.select(digest.alias("digest"), "payload").write.parquet(f"{folder}/payloads")
+        kept.select(digest.alias("digest"), "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
         return archive
 
     def headers(self) -> DataFrame:
