@@ -195,6 +195,35 @@ def change_feed(items: DataFrame) -> DataFrame:
     return items.select("order_id", F.inline(changes))
 
 
+def told_orders(orders: DataFrame) -> DataFrame:
+    """Every order told twice: first in processing and, each seventh, under the next client, then as it is."""
+    moved = F.when(F.col("id") % 7 == 0, F.col("client_id") + 1).otherwise(F.col("client_id"))
+    first = orders.select(F.lit(1).alias("seq"), "id", moved.alias("client_id"), F.lit("processing").alias("status"), "order_date")
+    return first.unionByName(orders.select(F.lit(2).alias("seq"), "id", "client_id", "status", "order_date"))
+
+
+def item_changes(items: DataFrame) -> DataFrame:
+    """Every item inserted; returned ones at a price that is corrected afterwards."""
+    total, wrong = F.col("total_price"), (F.col("total_price") + 1).cast(MONEY)
+    none = F.lit(None).cast(MONEY)
+
+    def change(op: str, old: F.Column, new: F.Column) -> F.Column:
+        return F.struct(F.lit(op).alias("op"), old.alias("old_total"), new.alias("new_total"))
+
+    corrected = F.array(change("insert", none, wrong), change("update", wrong, total))
+    changes = F.when(F.col("l_returnflag") == "R", corrected).otherwise(F.array(change("insert", none, total)))
+    return items.select("order_id", F.inline(changes))
+
+
+def delivered_twice(items: DataFrame) -> DataFrame:
+    """The change feed with an id and a time for each change, a third of them delivered again."""
+    feed = change_feed(items).withColumns(
+        {"change_id": F.monotonically_increasing_id(), "ts": F.timestamp_seconds(F.col("order_id") % 1_000_000)}
+    )
+    copies = F.when(F.col("change_id") % 3 == 0, 2).otherwise(1)
+    return feed.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+
+
 def broken_categories(spark: SparkSession, folder: str, t: Tables) -> DataFrame:
     """The tree with root 1 moved below one of its own children and root 4 below a missing node."""
     child = scan(spark, folder, "nation").where("n_regionkey = 1").agg(F.min("n_nationkey") + 100).first()[0]

@@ -17,7 +17,7 @@ from orderlytics.sources import star
 from orderlytics.sources.tables import Tables, with_defaults, write_orders_by_month
 from orderlytics.streaming import metrics
 from orderlytics.streaming import orders as feeds
-from orderlytics.streaming.state import current_state, finish, keep_updates
+from orderlytics.streaming.state import current_state, finish, keep_new, keep_updates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -475,7 +475,7 @@ def _run(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Work off a stream and return the latest row of every key."""
     spark = stream.sparkSession
     path = scratch_path(spark, "stream-state")
-    finish(keep_updates(stream, path))
+    finish(keep_updates(stream, path, keys))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
     return current_state(spark, path, schema, keys)
 
@@ -531,11 +531,29 @@ def stream_order_totals(spark: SparkSession, folder: str) -> DataFrame:
     return money_to_double(totals)
 
 
+def _shuffled_feed(feed: DataFrame, label: str, files: int = 6) -> DataFrame:
+    """A feed as a stream of files without any order, two of them in a batch."""
+    path = scratch_path(feed.sparkSession, label)
+    feed.repartition(files, F.xxhash64(*feed.columns)).write.parquet(path)
+    return feed.sparkSession.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query
+def stream_order_totals_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same totals from a feed that delivers changes twice and in no order."""
+    items = star.order_items(star.scan(spark, folder, "lineitem"))
+    feed = _shuffled_feed(batches.delivered_twice(items), "repeated-feed")
+    path = scratch_path(spark, "unique-changes")
+    finish(keep_new(feeds.unique_changes(feed, "20 years"), path))
+    unique = spark.readStream.schema(feed.schema).parquet(path)
+    return money_to_double(_run(feeds.order_total_changes(unique), ["order_id"]))
+
+
 @query
 def stream_client_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders told twice, items corrected, and everything in no order: items before orders, cancellations first or last."""
     t = star.star_tables(spark, folder)
-    orders = star.orders(star.scan_stream(spark, folder, "orders"))
-    items = star.order_items(star.scan_stream(spark, folder, "lineitem"))
-    order_side = _run(feeds.client_order_side(orders), ["client_id"])
-    item_side = _run(feeds.client_item_side(items, t.orders), ["client_id"])
-    return feeds.client_summary(t.clients, order_side, item_side)
+    told, changes = batches.told_orders(t.orders), batches.item_changes(t.order_items)
+    feed = _shuffled_feed(told.unionByName(changes, allowMissingColumns=True), "order-feed")
+    states = _run(feeds.order_states(feed.where("seq IS NOT NULL"), feed.where("op IS NOT NULL")), ["order_id"])
+    return feeds.client_summary(t.clients, states)

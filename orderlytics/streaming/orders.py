@@ -9,8 +9,7 @@ from orderlytics.functions.measures import as_double, count_or_zero, or_zero
 from orderlytics.functions.predicates import not_cancelled
 
 ORDER_TOTALS_SCHEMA = "order_id bigint, amount decimal(22,2), items bigint"
-ORDER_SIDE_SCHEMA = "client_id bigint, orders bigint, last_order timestamp"
-ITEM_SIDE_SCHEMA = "client_id bigint, amount decimal(22,2)"
+ORDER_STATE_SCHEMA = "order_id bigint, client_id bigint, status string, order_date timestamp, amount decimal(22,2)"
 
 
 def signed_changes(feed: DataFrame) -> DataFrame:
@@ -40,29 +39,44 @@ def unique_changes(feed: DataFrame, lateness: str) -> DataFrame:
     return feed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["change_id"])
 
 
-def client_order_side(orders: DataFrame) -> DataFrame:
-    """Live orders and last order per client, from a feed of new orders."""
-    return (
-        orders.where(not_cancelled())
-        .groupBy("client_id")
-        .agg(F.count(F.lit(1)).alias("orders"), F.max(F.col("order_date").cast("timestamp")).alias("last_order"))
+def order_states(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per order from two feeds that may arrive in any order; a stream in update mode.
+
+    `orders` tells what an order is at `seq`: id, client_id, status, order_date.
+    It may tell an order again, cancelled, revived or under another client; the
+    highest `seq` holds, whenever it arrives. `items` are changes as
+    `signed_changes` takes them. Amounts whose order has not been told yet wait
+    in the same state, under a NULL client.
+    """
+    told = orders.select(
+        F.col("id").alias("order_id"),
+        F.struct("seq", "client_id", "status", F.col("order_date").cast("timestamp").alias("order_date")).alias("told"),
+        F.lit(0).cast("decimal(12,2)").alias("change"),
     )
+    changes = signed_changes(items).select("order_id", F.lit(None).cast(told.schema["told"].dataType).alias("told"), "change")
+    states = told.unionByName(changes).groupBy("order_id").agg(F.max("told").alias("told"), F.sum("change").alias("amount"))
+    return states.select("order_id", "told.client_id", "told.status", "told.order_date", "amount")
 
 
-def client_item_side(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Ordered amount per client, from a feed of new items and a snapshot of the orders."""
-    live = orders.where(not_cancelled()).select(F.col("id").alias("order_id"), "client_id")
-    return items.join(live, "order_id").groupBy("client_id").agg(F.sum("total_price").alias("amount"))
+def client_sides(states: DataFrame) -> DataFrame:
+    """Live orders, last order and ordered amount per client, from the latest state of each order.
+
+    A cancelled order is one row that no longer counts, so nothing has to be
+    taken back from a client's totals.
+    """
+    live = states.where(F.col("client_id").isNotNull() & not_cancelled())
+    return live.groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.max("order_date").alias("last_order"), F.sum("amount").alias("amount")
+    )
 
 
-def client_summary(clients: DataFrame, order_side: DataFrame, item_side: DataFrame) -> DataFrame:
-    """Active clients with both streamed sides: the client order summary."""
+def client_summary(clients: DataFrame, states: DataFrame) -> DataFrame:
+    """Active clients with what the feeds told of their orders: the client order summary."""
     last: Column = F.col("last_order").cast("timestamp_ntz")
     return (
         clients.where("is_active")
         .select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
-        .join(order_side, "client_id", "left")
-        .join(item_side, "client_id", "left")
+        .join(client_sides(states), "client_id", "left")
         .select(
             "client_id",
             "client_name",

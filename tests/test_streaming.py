@@ -12,7 +12,7 @@ from orderlytics.operators.reports import client_order_summary
 from orderlytics.session import scratch_path
 from orderlytics.streaming import metrics
 from orderlytics.streaming import orders as feeds
-from orderlytics.streaming.state import current_state, finish, keep_updates
+from orderlytics.streaming.state import UpdateLog, current_state, finish, keep_new, keep_updates
 
 START = datetime(2024, 1, 1)
 
@@ -33,7 +33,7 @@ def as_stream(spark, df, order, files=4):
 
 def work_off(spark, stream, keys):
     path = scratch_path(spark, "stream-state")
-    query = keep_updates(stream, path)
+    query = keep_updates(stream, path, keys)
     finish(query)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
     return current_state(spark, path, schema, keys), query
@@ -104,23 +104,88 @@ def test_repeated_deliveries_count_once(spark):
     feed = spark.createDataFrame(rows, "change_id bigint, ts timestamp, op string, order_id bigint")
     feed = feed.withColumn("old_total", F.lit(None).cast("decimal(12,2)")).withColumn("new_total", F.lit(2).cast("decimal(12,2)"))
     path = scratch_path(spark, "deduplicated")
-    query = (
-        feeds.unique_changes(as_stream(spark, feed, "ts"), "1 day")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
+    finish(keep_new(feeds.unique_changes(as_stream(spark, feed, "ts"), "1 day"), path))
     assert sorted(tuples(spark.read.parquet(path), "change_id")) == [(n,) for n in range(5)]
 
 
-def test_client_summary_from_feeds(spark, shop):
-    orders, _ = work_off(spark, feeds.client_order_side(as_stream(spark, shop.orders, "id")), ["client_id"])
-    items, _ = work_off(spark, feeds.client_item_side(as_stream(spark, shop.order_items, "id"), shop.orders), ["client_id"])
-    streamed = feeds.client_summary(shop.clients, orders, items)
+TOLD = "seq int, id bigint, client_id bigint, status string, order_date timestamp"
+CHANGE = "op string, order_id bigint, old_total decimal(12,2), new_total decimal(12,2)"
+
+
+def fed(spark, told, changes, files=7):
+    """Both feeds as one, a file at a time, its rows in an order of their own."""
+    rows = [(*t, None, None, None, None) for t in told] + [(None,) * 5 + c for c in changes]
+    feed = spark.createDataFrame(rows, f"{TOLD}, {CHANGE}")
+    feed = feed.withColumn("place", F.xxhash64(*feed.columns))
+    stream = as_stream(spark, feed, "place", files)
+    return feeds.order_states(stream.where("seq IS NOT NULL"), stream.where("op IS NOT NULL"))
+
+
+def test_client_summary_from_late_cancelling_and_shuffled_feeds(spark, shop):
+    """Orders are told late, cancelled, revived and moved to another client; items come before and after."""
+    orders, told = shop.orders.select("id", "client_id", "status", "order_date").collect(), []
+    for n, r in enumerate(orders):
+        if n % 3 == 0:
+            told.append((1, r.id, r.client_id % 3 + 1, "new", r.order_date))
+        if n % 2 == 0:
+            told.append((2, r.id, r.client_id, "cancelled" if r.status != "cancelled" else "completed", r.order_date))
+        told.append((3, r.id, r.client_id, r.status, r.order_date))
+    changes = []
+    for n, r in enumerate(shop.order_items.select("order_id", "total_price").collect()):
+        changes.append(("insert", r.order_id, None, r.total_price))
+        if n % 2:
+            changes += [("update", r.order_id, r.total_price, 5 * r.total_price), ("update", r.order_id, 5 * r.total_price, r.total_price)]
+        if n % 3 == 0:
+            changes += [("insert", r.order_id, None, r.total_price), ("delete", r.order_id, r.total_price, None)]
+    changes.append(("insert", 10_000, None, changes[0][3]))  # its order is never told
+    state, query = work_off(spark, fed(spark, told, changes), ["order_id"])
     expected = client_order_summary(shop).withColumn("last_order", F.col("last_order").cast("timestamp_ntz"))
-    assert sorted(tuples(streamed)) == sorted(tuples(expected))
+    assert sorted(tuples(feeds.client_summary(shop.clients, state))) == sorted(tuples(expected))
+    assert len([p for p in query.recentProgress if p.numInputRows]) > 3
+
+
+def test_amounts_wait_for_their_order_and_cancellations_take_them_back(spark):
+    from decimal import Decimal
+
+    day, ten = datetime(2024, 5, 1), Decimal("10.00")
+    item = ("insert", 1, None, ten)
+    assert tuples(work_off(spark, fed(spark, [], [item], 1), ["order_id"])[0]) == [(1, None, None, None, ten)]
+    for told, counted in (([(1, 1, 7, "new", day)], 1), ([(2, 1, 7, "cancelled", day), (1, 1, 7, "new", day)], 0)):
+        state, _ = work_off(spark, fed(spark, told, [item]), ["order_id"])
+        assert tuples(feeds.client_sides(state)) == [(7, 1, day, ten)] * counted
+
+
+def test_many_batches_leave_few_folders_and_whole_readers(spark, tmp_path):
+    """200 batches; a reader that took its folders before merges still finds them."""
+    log = UpdateLog(spark, f"{tmp_path}/log", ["id"], fan_out=4, keep=6)
+    schema, want, before = "id bigint, total bigint", {}, None
+    for batch in range(200):
+        rows = [(batch % 13, batch), (100 + batch % 3, -batch), (1000 + batch, 1)]
+        log.add(spark.createDataFrame(rows, schema).coalesce(1), batch)
+        want.update(dict(rows))
+        if batch == 61:  # the next batches merge three levels
+            before, then = log.state(schema), dict(want)
+        if batch == 64:
+            assert dict(tuples(before)) == then
+            log.add(spark.createDataFrame([(1, 10**6)], schema), 64)  # a repeated batch changes nothing
+            log.add(spark.createDataFrame([(1, 10**6)], schema), 3)
+    assert dict(tuples(log.state(schema))) == want
+    assert len(log.parts()) <= 4 * 4
+    assert len(list((tmp_path / "log").glob("level-*/*"))) <= 4 * 4 + 6 * 5  # replaced folders are gone
+    assert len(list((tmp_path / "log" / "manifest").glob("[0-9]*"))) <= 6
+
+
+def test_a_failed_merge_is_not_seen(spark, tmp_path, monkeypatch):
+    log = UpdateLog(spark, f"{tmp_path}/log", ["id"], fan_out=2)
+    schema = "id bigint, total bigint"
+    log.add(spark.createDataFrame([(1, 1)], schema), 0)
+    monkeypatch.setattr(log, "_publish", lambda parts: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        log.add(spark.createDataFrame([(1, 2), (2, 2)], schema), 1)
+    monkeypatch.undo()
+    assert tuples(log.state(schema)) == [(1, 1)]
+    log.add(spark.createDataFrame([(1, 3)], schema), 1)
+    assert tuples(log.state(schema)) == [(1, 3)] and [p.level for p in log.parts()] == [1]
 
 
 def test_state_before_the_first_batch_is_empty(spark, tmp_path):
