@@ -6,21 +6,29 @@ whose product is unknown or inactive, whose stock, after all orders accepted
 before, is too small, or whose price is no longer current; and finally for
 listing a product twice. Refused orders take no stock.
 
-Whether an order fits depends on earlier decisions, so the decisions are found
-in rounds. Per product, in order of arrival, two running totals bound what the
-earlier orders take: the accepted ones alone, and the accepted and undecided
-ones together. An order whose every line fits under the larger total is
-accepted, one with a line that does not fit under the smaller is refused, and
-the others wait for the next round. The earliest undecided order is always
-decided, so the rounds end, and they end with the serial result.
+Whether an order fits depends on earlier decisions. While more lines are open
+than one task should walk, decisions are found in rounds: per product, in order
+of arrival, two running totals bound what the earlier orders take, the accepted
+ones alone, and the accepted and undecided ones together. An order whose every
+line fits under the larger total is accepted, one with a line that does not fit
+under the smaller is refused, the others stay open. Long chains of orders that
+wait for each other gain little from a round, so a round that leaves more than
+half of the open orders open is the last.
+
+What is open then is walked in order of arrival, at most `SERIAL_LINES` lines in
+a task, one such stretch after the other; what a stretch takes is taken off the
+stock of the next. With n open orders and m lines there are at most log2(n) + 1
+rounds and 2 m / SERIAL_LINES + 1 stretches, however the orders depend on each
+other. All ways give the serial result.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.operators.changes import first_reason
@@ -29,6 +37,8 @@ from orderlytics.session import cut_lineage, read_back, scratch_path, write_coun
 
 log = logging.getLogger(__name__)
 
+# Lines that one task walks in order of arrival; it holds the stock of their products.
+SERIAL_LINES = 4_000_000
 # After this many rounds the contested lines are rewritten without the orders
 # refused and the products settled so far.
 ROUNDS_PER_REWRITE = 4
@@ -41,6 +51,7 @@ def order_intake(
     products: DataFrame,
     arrival: Sequence[str],
     item_key: Sequence[str] = ("id",),
+    serial_lines: int = SERIAL_LINES,
 ) -> DataFrame:
     """Decide every order: `id, accepted, reason, nomenclature_id` (the product at fault).
 
@@ -52,7 +63,7 @@ def order_intake(
     places = {f"_place{n}": F.col(c) for n, c in enumerate(item_key)}
     lines = _lines(orders.withColumns(arrivals), items.withColumns(places), products, [*arrivals], [*places])
     reviewed = _review_orders(orders, clients, lines)
-    taken_by = _accepted_orders(reviewed, lines, [*arrivals])
+    taken_by = _accepted_orders(reviewed, lines, [*arrivals], serial_lines)
     faults = _line_faults(lines, taken_by, [*arrivals, *places], [*places])
     return (
         reviewed.join(taken_by.withColumn("_accepted", F.lit(True)), "id", "left")
@@ -128,7 +139,12 @@ def _review_orders(orders: DataFrame, clients: DataFrame, lines: DataFrame) -> D
     )
 
 
-def _accepted_orders(reviewed: DataFrame, lines: DataFrame, arrival: Sequence[str]) -> DataFrame:
+_DECIDED = "order_id bigint, fits boolean"
+
+
+def _accepted_orders(
+    reviewed: DataFrame, lines: DataFrame, arrival: Sequence[str], serial_lines: int = SERIAL_LINES
+) -> DataFrame:
     """Ids of the accepted orders. A possible order has one line per product."""
     possible = reviewed.where("possible").select("id")
     candidates = lines.join(possible.withColumnRenamed("id", "order_id"), "order_id", "left_semi")
@@ -142,41 +158,122 @@ def _accepted_orders(reviewed: DataFrame, lines: DataFrame, arrival: Sequence[st
     contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(
         "order_id", "nomenclature_id", "quantity", "stock", SLICE, *arrival, F.lit(False).alias("held")
     )
-    contested = cut_lineage(contested, "intake-contested")
     spark = reviewed.sparkSession
-    waiting = contested.select("order_id").distinct()
-    waiting_path = scratch_path(spark, "intake-waiting")
-    open_orders = write_counted(waiting, waiting_path)
-    waiting = read_back(waiting, waiting_path)
+    contested, n_lines = _counted(contested, "intake-contested")
+    waiting, open_orders = _counted(contested.select("order_id").distinct(), "intake-waiting")
     base = scratch_path(spark, "intake-decisions")
-    decided_schema = "order_id bigint, fits boolean"
     paths: list[str] = []
     fresh: list[str] = []
-    while open_orders:
+    worth = True
+    while open_orders and worth and n_lines > serial_lines:
         if len(fresh) == ROUNDS_PER_REWRITE:
-            known = _with_decisions(contested, spark.read.schema(decided_schema).parquet(*fresh))
-            still_open = known.where("NOT held").select("nomenclature_id").distinct()
-            contested = cut_lineage(known.join(still_open, "nomenclature_id", "left_semi"), "intake-contested")
+            contested, n_lines = _still_contested(contested, spark.read.schema(_DECIDED).parquet(*fresh))
             fresh = []
+            continue
         lines_now = contested
         if fresh:
-            lines_now = _with_decisions(contested, spark.read.schema(decided_schema).parquet(*fresh))
+            lines_now = _with_decisions(contested, spark.read.schema(_DECIDED).parquet(*fresh))
         path = f"{base}/{len(paths)}"
         decided = write_counted(_decide(lines_now, arrival), path)
         if decided == 0:
             raise RuntimeError("a round decided no order: arrival is not a unique order")
         paths.append(path)
         fresh.append(path)
+        worth = 2 * decided >= open_orders
         open_orders -= decided
         log.info("intake round %d: %d decided, %d open", len(paths), decided, open_orders)
+    if open_orders:
+        if fresh:
+            contested, n_lines = _still_contested(contested, spark.read.schema(_DECIDED).parquet(*fresh))
+        paths += _walked(contested, n_lines, arrival, serial_lines, base)
 
     undisputed = possible.join(waiting.select(F.col("order_id").alias("id")), "id", "left_anti")
     if not paths:
         return undisputed
-    won = spark.read.schema(decided_schema).parquet(*paths).where("fits").select(F.col("order_id").alias("id"))
+    won = spark.read.schema(_DECIDED).parquet(*paths).where("fits").select(F.col("order_id").alias("id"))
     return undisputed.unionByName(won)
 
 
+def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    path = scratch_path(df.sparkSession, label)
+    rows = write_counted(df, path)
+    return read_back(df, path), rows
+
+
+def _still_contested(contested: DataFrame, decided: DataFrame) -> tuple[DataFrame, int]:
+    """Without the lines of refused orders and the products that no open order wants."""
+    known = _with_decisions(contested, decided)
+    still_open = known.where("NOT held").select("nomenclature_id").distinct()
+    return _counted(known.join(still_open, "nomenclature_id", "left_semi"), "intake-contested")
+
+
+def _walked(lines: DataFrame, n_lines: int, arrival: Sequence[str], serial_lines: int, base: str) -> list[str]:
+    """Decide the open orders in order of arrival, stretch after stretch; the folders with the verdicts."""
+    spark: SparkSession = lines.sparkSession
+    if n_lines <= serial_lines:
+        write_counted(_walk(lines, arrival), f"{base}/walk-0")
+        return [f"{base}/walk-0"]
+    orders = lines.groupBy("order_id", *arrival).agg(F.count(F.lit(1)).alias("lines"))
+    upto = running(sliced(orders, [], arrival, "intake-stretches"), [], arrival, upto=("sum", "lines"))
+    # An order belongs to the stretch its last line falls in.
+    stretch = F.floor((F.col("upto") - 1) / serial_lines).cast("int").alias("stretch")
+    placed = cut_lineage(lines.join(upto.select("order_id", stretch), "order_id"), "intake-stretched")
+    paths: list[str] = []
+    for number in range(-(-n_lines // serial_lines)):
+        now = placed.where(F.col("stretch") == number)
+        if number:
+            won = spark.read.schema(_DECIDED).parquet(*paths).where("fits").select("order_id", F.lit(True).alias("won"))
+            before = placed.where(F.col("stretch") < number).join(won, "order_id", "left").where("held OR won")
+            taken = before.groupBy("nomenclature_id").agg(F.sum("quantity").alias("taken"))
+            now = now.join(taken, "nomenclature_id", "left").withColumn(
+                "stock", F.col("stock") - F.coalesce("taken", F.lit(0))
+            )
+        paths.append(f"{base}/walk-{number}")
+        write_counted(_walk(now, arrival), paths[-1])
+    return paths
+
+
+def _walk(lines: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    rows = lines.select(
+        F.col("order_id").cast("bigint").alias("order_id"), "nomenclature_id", "quantity", "stock", "held", *arrival
+    )
+    rows = rows.repartition(1).sortWithinPartitions(*arrival, "order_id")
+    return rows.select("order_id", "nomenclature_id", "quantity", "stock", "held").mapInArrow(_one_by_one, _DECIDED)
+
+
+def _one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts on the open orders among lines in order of arrival; held orders take their quantities."""
+    left: dict = {}
+    order, wanted, held = None, [], False
+
+    def settle() -> bool:
+        fits = held or all(left[p] >= n for p, n in wanted)
+        if fits:
+            for p, n in wanted:
+                left[p] -= n
+        return fits
+
+    for batch in batches:
+        verdicts = []
+        for own, product, quantity, stock, taken in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != order:
+                if wanted and not held:
+                    verdicts.append((order, settle()))
+                elif wanted:
+                    settle()
+                order, wanted, held = own, [], taken
+            left.setdefault(product, stock)
+            wanted.append((product, quantity))
+        yield _verdicts(verdicts)
+    if wanted and not held:
+        yield _verdicts([(order, settle())])
+
+
+def _verdicts(rows: list[tuple[int, bool]]) -> pa.RecordBatch:
+    ids, fits = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fits, pa.bool_())], ["order_id", "fits"])
+
+
 def _with_decisions(contested: DataFrame, decided: DataFrame) -> DataFrame:
     """Drop lines of refused orders and mark those of accepted ones as held."""
     joined = contested.join(decided, "order_id", "left").where("fits IS NULL OR fits")

@@ -218,7 +218,7 @@ def item_changes(items: DataFrame) -> DataFrame:
 def delivered_twice(items: DataFrame) -> DataFrame:
     """The change feed with an id and a time for each change, a third of them delivered again."""
     feed = change_feed(items).withColumns(
-        {"change_id": F.monotonically_increasing_id(), "ts": F.timestamp_seconds(F.col("order_id") % 1_000_000)}
+        {"change_id": F.monotonically_increasing_id(), "ts": F.timestamp_seconds(1_700_000_000 + F.col("order_id") % 1_000_000)}
     )
     copies = F.when(F.col("change_id") % 3 == 0, 2).otherwise(1)
     return feed.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")

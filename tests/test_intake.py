@@ -49,12 +49,12 @@ def serial(orders, items, clients, products):
     return result
 
 
-def decide(spark, orders, items, clients, products):
+def decide(spark, orders, items, clients, products, serial_lines=intake.SERIAL_LINES):
     o = spark.createDataFrame(orders, "id bigint, client_id bigint")
     i = spark.createDataFrame(items, "id bigint, order_id bigint, nomenclature_id bigint, quantity int, price decimal(12,2)")
     c = spark.createDataFrame(clients, "id bigint, is_active boolean")
     p = spark.createDataFrame(products, "id bigint, quantity int, price decimal(12,2), is_active boolean")
-    rows = tuples(order_intake(o, i, c, p, ["id"]), "id", "accepted", "reason", "nomenclature_id")
+    rows = tuples(order_intake(o, i, c, p, ["id"], serial_lines=serial_lines), "id", "accepted", "reason", "nomenclature_id")
     assert all(ok == (reason is None) for _, ok, reason, _ in rows)
     return {r[0]: None if r[1] else (r[2], r[3]) for r in rows}
 
@@ -81,11 +81,12 @@ def batch(rng, worlds, orders_each, products_each, hot=False):
     return orders, items, clients, products
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_serial_intake(spark, seed):
+@pytest.mark.parametrize("seed, serial_lines", [(1, 25), (2, 150), (2, 10**6)])
+def test_equals_serial_intake(spark, seed, serial_lines):
+    """In rounds and many stretches, in rounds and a few, and in one walk."""
     data = batch(random.Random(seed), worlds=60, orders_each=9, products_each=3)
     expected = serial(*data)
-    assert decide(spark, *data) == expected
+    assert decide(spark, *data, serial_lines) == expected
     assert len({v[0] for v in expected.values() if v}) == 6, "the batch must meet every reason"
 
 
@@ -95,11 +96,35 @@ def test_hot_product(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         data = batch(random.Random(3), worlds=20, orders_each=25, products_each=4, hot=True)
-        assert decide(spark, *data) == serial(*data)
+        assert decide(spark, *data, 100) == serial(*data)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def jobs_of(spark, work):
+    """Spark jobs that a piece of work ran."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        result = work()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def chain(length):
+    """Each order shares a product with the one before and one with the next: every decision waits for the last."""
+    price = Decimal(1)
+    orders = [(n, 1) for n in range(length)]
+    items = [(2 * n + k, n, n + k, 1, price) for n in range(length) for k in (0, 1)]
+    return orders, items, [(1, True)], [(n, 1, price, True) for n in range(length + 1)]
+
+
+def test_a_long_chain_takes_as_many_jobs_as_a_short_one(spark):
+    (decided, jobs), (_, few) = (jobs_of(spark, lambda n=n: decide(spark, *chain(n), 8_000)) for n in (10_000, 3_000))
+    assert all((decided[n] is None) == (n % 2 == 0) for n in range(10_000))
+    assert jobs <= few + 30  # three stretches instead of one
+
+
 def test_a_refused_order_takes_no_stock(spark):
     orders = [(1, 1), (2, 1), (3, 1), (4, 1)]
     items = [(1, 1, 1, 3, Decimal(5)), (2, 1, 2, 9, Decimal(5)), (3, 2, 1, 4, Decimal(5)), (4, 3, 1, 2, Decimal(5)), (5, 4, 1, 1, Decimal(5))]
