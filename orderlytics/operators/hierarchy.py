@@ -14,43 +14,52 @@ ARROW = " -> "
 def category_closure(categories: DataFrame, active_only: bool = True) -> DataFrame:
     """Every node reachable from a root: depth, full path and path of ids.
 
-    The walk goes level by level: the last level joins the categories on their
-    parent and is written to the shared folder, so each round shuffles one
-    level only and no plan grows. It starts at the roots and a node has one
-    parent, so a cycle is never entered. An inactive node hides its subtree
-    when `active_only`.
+    Every node holds a pointer to an ancestor, at first its parent, and the path
+    between; a round replaces the pointer by the ancestor's own and doubles the
+    distance, so a tree of depth d takes about log2(d) rounds, each one join
+    written to the shared folder. Where a round brings no node to a root, those
+    left lie on a cycle or under a missing parent. An inactive node hides its
+    subtree when `active_only`.
     """
     nodes = categories.where("is_active") if active_only else categories
-    nodes = nodes.select("id", "name", "parent_id", "level")
-    level = nodes.where("parent_id IS NULL").select(
-        "*",
-        F.lit(0).alias("depth"),
-        F.col("name").alias("full_path"),
-        F.array("id").alias("path_array"),
+    kept = ["id", "name", "parent_id", "level"]
+    state = nodes.select(
+        *kept, F.col("parent_id").alias("up"), F.array("name").alias("names"), F.array("id").alias("path_array")
     )
     base = scratch_path(categories.sparkSession, "closure")
-    levels: list[str] = []
+    rounds: list[str] = []
     while True:
-        path = f"{base}/{len(levels)}"
-        found = write_counted(level, path)
-        levels.append(path)
-        if found == 0:
-            return read_back(level, *levels)
-        above = read_back(level, path).select(
-            F.col("id").alias("parent_id"),
-            F.col("depth").alias("above_depth"),
-            F.col("full_path").alias("above_path"),
+        path = f"{base}/{len(rounds)}"
+        state.write.parquet(path)
+        rounds.append(path)
+        now = read_back(state, path)
+        if now.where("up IS NULL").isEmpty() or (waiting := now.where("up IS NOT NULL")).isEmpty():
+            break
+        # Those a former round brought to a root, and all of this one.
+        known = read_back(state, *rounds).where("up IS NULL").unionByName(waiting)
+        above = known.select(
+            F.col("id").alias("up"),
+            F.col("up").alias("next_up"),
+            F.col("names").alias("above_names"),
             F.col("path_array").alias("above_ids"),
         )
-        level = nodes.join(above, "parent_id").select(
-            "id",
-            "name",
-            "parent_id",
-            "level",
-            (F.col("above_depth") + 1).alias("depth"),
-            F.concat("above_path", F.lit(ARROW), "name").alias("full_path"),
-            F.concat("above_ids", F.array("id")).alias("path_array"),
+        state = waiting.join(above, "up").select(
+            *kept,
+            F.col("next_up").alias("up"),
+            F.concat("above_names", "names").alias("names"),
+            F.concat("above_ids", "path_array").alias("path_array"),
+        )
+    unnamed = F.exists("names", lambda name: name.isNull())
+    return (
+        read_back(state, *rounds)
+        .where("up IS NULL")
+        .select(
+            *kept,
+            (F.size("path_array") - 1).alias("depth"),
+            F.when(~unnamed, F.array_join("names", ARROW)).alias("full_path"),
+            "path_array",
         )
+    )
 
 
 def labels(path_array: str = "path_array") -> F.Column:

@@ -95,3 +95,32 @@ def test_three_levels(shop):
 def test_hierarchy_view_keeps_inactive(make):
     nodes = make("categories", "id, name, parent_id, is_active", [(1, "a", None, False), (2, "b", 1, True)])
     assert sorted(tuples(hierarchy.category_hierarchy(nodes), "id", "depth")) == [(1, 0), (2, 1)]
+
+
+def test_a_deep_chain_takes_few_rounds_and_broken_nodes_stay_out(spark, monkeypatch):
+    """A chain of 5,000 nodes, a cycle with a tail, and a subtree under a missing parent."""
+    rows = [(n, f"n{n}", n - 1 if n else None) for n in range(5000)]
+    rows += [(10_000 + n, "c", 10_000 + (n + 1) % 7) for n in range(7)] + [(10_100 + n, "t", 10_099 + n if n else 10_003) for n in range(20)]
+    rows += [(20_000, "m", 30_000), (20_001, "m", 20_000), (5000, "side", 2500)]
+    categories = spark.createDataFrame(rows, "id bigint, name string, parent_id bigint").selectExpr("*", "0 AS level", "true AS is_active")
+    written = []
+    keep = hierarchy.scratch_path
+    monkeypatch.setattr(hierarchy, "scratch_path", lambda *a: written.append(keep(*a)) or written[-1])
+    found = hierarchy.category_closure(categories)
+    assert sorted(tuples(found, "id", "depth")) == [*((n, n) for n in range(5000)), (5000, 2501)]
+    deep = found.where("id = 4999").first()
+    assert deep.path_array == list(range(5000)) and deep.full_path == " -> ".join(f"n{n}" for n in range(5000))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(written[0])
+    rounds = len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+    assert rounds <= 15
+    assert sorted(tuples(hierarchy.unreachable_nodes(categories), "id")) == sorted((r[0],) for r in rows if r[0] >= 10_000)
+
+
+def test_trees_without_roots_or_nodes(spark):
+    schema = "id bigint, name string, parent_id bigint, level int, is_active boolean"
+    assert hierarchy.category_closure(spark.createDataFrame([], schema)).count() == 0
+    loop = [(1, "a", 2, 0, True), (2, "b", 1, 0, True)]
+    assert hierarchy.category_closure(spark.createDataFrame(loop, schema)).count() == 0
+    shallow = [(1, "a", None, 0, True), (2, None, 1, 0, True), (3, "c", 2, 0, True), (4, "d", 1, 0, False)]
+    found = hierarchy.category_closure(spark.createDataFrame(shallow, schema))
+    assert sorted(tuples(found, "id", "depth", "full_path")) == [(1, 0, "a"), (2, 1, None), (3, 2, None)]
