@@ -34,6 +34,9 @@ UNIQUE_KEYS = (
     ("order_items", ("order_id", "nomenclature_id")),
 )
 
+# Active categories with both equal are one and the same to a user.
+SIBLINGS = ("parent_id", "name")
+
 Rules = dict[str, Column]
 
 
@@ -195,16 +198,26 @@ def fk_rejected(t: Tables, table: str, require_active: bool = False) -> DataFram
     return reduce(DataFrame.unionByName, found, rows.where("false").withColumn("reason", F.lit("")))
 
 
-def unique_rejected(t: Tables, table: str) -> DataFrame:
-    """All rows that share a unique key with another, and the `reason`; once for each such key."""
+def unique_rejected(t: Tables, table: str, sibling_nulls_equal: bool = True) -> DataFrame:
+    """All rows that share a unique key with another, and the `reason`; once for each such key.
+
+    Active siblings with one name share a key too; roots count as siblings unless
+    `sibling_nulls_equal` is off.
+    """
     rows = getattr(t, table)
-    found = []
-    for child, columns in UNIQUE_KEYS:
-        if child == table:
-            held = rows.dropna(subset=list(columns))
-            many = held.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*columns)
-            reason = F.lit(f"{'+'.join(columns)}_repeated").alias("reason")
-            found.append(held.join(many, list(columns), "left_semi").select(*rows.columns, reason))
+
+    def sharing(held: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        many = held.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        same = [held[c].eqNullSafe(many[c]) for c in columns]
+        reason = F.lit(f"{'+'.join(columns)}_repeated").alias("reason")
+        return held.join(many, same, "left_semi").select(*rows.columns, reason)
+
+    found = [
+        sharing(rows.dropna(subset=list(columns)), columns) for child, columns in UNIQUE_KEYS if child == table
+    ]
+    if table == "categories":
+        siblings = rows.where("is_active AND name IS NOT NULL")
+        found.append(sharing(siblings if sibling_nulls_equal else siblings.where("parent_id IS NOT NULL"), SIBLINGS))
     return reduce(DataFrame.unionByName, found, rows.where("false").withColumn("reason", F.lit("")))
 
 
@@ -244,7 +257,7 @@ def unique_violations(t: Tables, sibling_nulls_equal: bool = True) -> DataFrame:
     siblings = t.categories.where("is_active")
     if not sibling_nulls_equal:
         siblings = siblings.where("parent_id IS NOT NULL")
-    found.append(repeated("categories.parent_id+name", siblings, ("parent_id", "name")))
+    found.append(repeated("categories.parent_id+name", siblings, SIBLINGS))
     return reduce(DataFrame.unionByName, found)
 
 

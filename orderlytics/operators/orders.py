@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlytics.functions.numbers import number_value
 from orderlytics.operators.changes import (
     ACTOR,
     apply_stock,
@@ -18,7 +19,7 @@ from orderlytics.operators.changes import (
     order_totals,
 )
 from orderlytics.operators.intake import order_intake
-from orderlytics.operators.integrity import accepted, record_rules, rejected
+from orderlytics.operators.integrity import VIOLATIONS, accepted, record_rules, rejected
 from orderlytics.session import cut_lineage
 from orderlytics.sources.tables import Tables, with_defaults
 
@@ -38,19 +39,26 @@ def create_orders(
 ) -> OrdersChanged:
     """Take new orders with their items as if they arrived one by one.
 
-    Orders bring ids that no stored order has. One that breaks a field rule, or that the intake
-    refuses, is left out with its items. The others get defaults, a number and the sum of
-    their items, and their quantities leave the stock.
+    An order is left out with its items when it breaks a field rule or has no id
+    (`invalid_fields`), when a stored order or an earlier one of the batch has its id (`id_taken`)
+    or the number it brings (`number_taken`), when it brings a number of the shop's own series,
+    which only the shop gives (`number_reserved`), or when the intake refuses it. An earlier order
+    holds its id and number whether or not the intake takes it. The others get defaults, a number
+    and the sum of their items, and their quantities leave the stock.
     """
     if "order_number" not in orders.columns:
         orders = orders.withColumn("order_number", F.lit(None).cast("string"))
-    checked = record_rules(orders, "orders")
-    sound = accepted(checked)
+    codes = F.when(F.col("id").isNull(), F.array(F.lit("id_missing"))).otherwise(F.col(VIOLATIONS))
+    checked = record_rules(orders, "orders").withColumn(VIOLATIONS, codes)
+    named = cut_lineage(_names_checked(accepted(checked), t.orders, arrival), "offered-orders")
+    sound = named.where("reason IS NULL").drop("reason")
     decided = order_intake(sound, items, t.clients, t.nomenclature, arrival, t.item_key)
     decided = cut_lineage(decided, "decisions")
     taken = decided.where("accepted").select("id")
     product = decided.schema["nomenclature_id"].dataType
-    broken = rejected(checked).select("id", F.lit("invalid_fields").alias("reason"), F.lit(None).cast(product).alias("nomenclature_id"))
+    broken = rejected(checked).select("id", F.lit("invalid_fields").alias("reason"))
+    broken = broken.unionByName(named.where("reason IS NOT NULL").select("id", "reason"))
+    broken = broken.withColumn("nomenclature_id", F.lit(None).cast(product))
 
     when = F.current_timestamp() if now is None else now
     numbered = assign_order_numbers(t.orders, sound.join(taken, "id", "left_semi"), [*arrival])
@@ -69,6 +77,32 @@ def create_orders(
     )
 
 
+def _names_checked(orders: DataFrame, stored: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Add `reason`: why an order cannot have the id or the number it brings, else NULL.
+
+    First holders are minima per value, so a value that most orders bring gathers nowhere;
+    orders without a number, most of them, take no part in the comparison of numbers.
+    """
+    place = F.struct(*[F.col(c) for c in arrival])
+
+    def held(rows: DataFrame, name: str) -> DataFrame:
+        first = rows.groupBy(name).agg(F.min(place).alias("_first"))
+        known = stored.select(name).distinct().withColumn("_stored", F.lit(True))
+        joined = rows.join(first, name).join(known, name, "left")
+        taken = F.col("_stored").isNotNull() | (place != F.col("_first"))
+        return joined.withColumn("_taken", taken).select(*orders.columns, "_taken")
+
+    ids = cut_lineage(held(orders, "id"), "order-ids")
+    twice = ids.where("_taken").select(*orders.columns, F.lit("id_taken").alias("reason"))
+    fresh = ids.where("NOT _taken").drop("_taken")
+    numbered = F.coalesce(F.col("order_number"), F.lit("")) != ""
+    own = number_value(F.col("order_number")).isNotNull()
+    reason = F.when(F.col("_taken"), "number_taken").when(own, "number_reserved")
+    given = held(fresh.where(numbered), "order_number").select(*orders.columns, reason.alias("reason"))
+    none = fresh.where(~numbered).withColumn("reason", F.lit(None).cast("string"))
+    return none.unionByName(given).unionByName(twice)
+
+
 def delete_orders(t: Tables, order_ids: DataFrame, actor: str = ACTOR, now: Column | None = None) -> OrdersChanged:
     """Delete orders that are not locked, with their items, and give their quantities back to the stock."""
     refused = guarded_delete("orders", t, order_ids).rejected

@@ -46,6 +46,42 @@ def raw_products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def raw_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Category records from `supplier`: empty, missing, too long and just fitting names."""
+    nation = F.col("s_nationkey")
+    return scan(spark, folder, "supplier").select(
+        (F.col("s_suppkey") + 1000).alias("id"),
+        F.when(nation % 6 == 0, "")
+        .when(nation % 6 == 2, F.repeat(F.lit("x"), 256))
+        .when(nation % 6 == 3, F.repeat(F.lit("é"), 255))
+        .when(nation % 6 != 1, F.col("s_name"))
+        .alias("name"),
+    )
+
+
+def twin_categories(t: Tables) -> DataFrame:
+    """The categories, every fifth of them twice: a sibling of its own name."""
+    twins = t.categories.where("id % 5 = 0").withColumn("id", F.col("id") + UNKNOWN_ID_OFFSET)
+    return t.categories.unionByName(twins)
+
+
+def offered_orders(t: Tables) -> DataFrame:
+    """All orders as new ones: some bring a stored number, a number that another brings, or one of
+    the shop's series; some come a second time a day later, some under the id of a stored order."""
+    key = F.col("id")
+    number = (
+        F.when(key % 17 == 0, F.col("order_number"))
+        .when(key % 19 == 0, F.concat(F.lit("WEB-"), F.floor(key / 38).cast("string")))
+        .when(key % 23 == 0, order_number(key + 5_000_000))
+    )
+    batch = t.orders.withColumn("order_number", number)
+    later = (F.col("order_date") + F.expr("INTERVAL 1 DAY")).cast(t.orders.schema["order_date"].dataType)
+    bare = batch.withColumn("order_number", F.lit(None).cast("string"))
+    again = bare.where("id % 11 = 0").withColumn("order_date", later)
+    stored = bare.where("id % 13 = 0").withColumn("id", key + UNKNOWN_ID_OFFSET)
+    return batch.unionByName(again).unionByName(stored)
+
+
 def raw_items(t: Tables) -> DataFrame:
     """Item records in which some quantities and prices are not positive."""
     return t.order_items.select(

@@ -435,6 +435,11 @@ raw_products AS (
          CAST(p_size - 3 AS DECIMAL(12,2)) AS cost,
          CASE WHEN p_brand <> 'Brand#1' THEN 100 END AS category_id
   FROM part),
+raw_categories AS (
+  SELECT s_suppkey + 1000 AS id,
+         CASE s_nationkey % 6 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN repeat('x', 256) WHEN 3 THEN repeat('é', 255)
+                              ELSE s_name END AS name
+  FROM supplier),
 raw_items AS (
   SELECT order_id, nomenclature_id, quantity - 3 AS quantity,
          price - CASE WHEN l_returnflag = 'R' THEN 2000 ELSE 0 END AS price, total_price
@@ -474,6 +479,14 @@ define(
                 cost_negative="cost < 0",
                 category_id_missing="category_id IS NULL",
             ),
+            violations(
+                "categories",
+                "raw_categories",
+                "id",
+                name_missing="name IS NULL",
+                name_too_short="length(name) < 1",
+                name_too_long="length(name) > 255",
+            ),
             violations("orders", "raw_orders", "id", status_unknown="status = 'returned'"),
             violations(
                 "orders", "raw_orders", "id", items_missing="id NOT IN (SELECT order_id FROM raw_items)"
@@ -507,6 +520,9 @@ define(
                 cost_negative="cost < 0",
                 category_id_missing="category_id IS NULL",
             ),
+            violations(
+                "categories", "raw_categories", "id", name_missing="name IS NULL", name_too_long="length(name) > 255"
+            ),
             violations("orders", "raw_orders", "id", status_unknown="status = 'returned'"),
             violations(
                 "order_items", "raw_items", "order_id", quantity_not_positive="quantity <= 0", price_negative="price < 0"
@@ -573,6 +589,14 @@ define(
             _sharing(
                 "order_items", "order_items", "order_id", "order_id, nomenclature_id", "order_id+nomenclature_id"
             ),
+            _sharing(
+                "categories",
+                """(SELECT id, coalesce(parent_id, -1) AS parent, name FROM categories WHERE is_active
+      UNION ALL SELECT id + 1000000000, coalesce(parent_id, -1), name FROM categories WHERE is_active AND id % 5 = 0)""",
+                "id",
+                "parent, name",
+                "parent_id+name",
+            ),
         )
     ),
 )
@@ -685,8 +709,10 @@ define(
     f"""
 SELECT 'order' AS kind, id + 1000000000 AS id, {money("total_amount")} AS value, order_number AS label FROM app_orders
 UNION ALL
-SELECT 'order', o.id, t.total, 'ORD-' || lpad(CAST(highest + row_number() OVER (ORDER BY o.order_date, o.id) AS VARCHAR), 6, '0')
-FROM app_orders o JOIN order_sums t ON t.order_id = o.id,
+SELECT 'order', o.id, t.total,
+       coalesce(o.given, 'ORD-' || lpad(CAST(highest + count(*) FILTER (o.given IS NULL) OVER (
+         ORDER BY o.order_date, o.id ROWS UNBOUNDED PRECEDING) AS VARCHAR), 6, '0'))
+FROM offered o JOIN order_sums t ON t.order_id = o.id,
      (SELECT max(CAST(substr(order_number, 5) AS BIGINT)) AS highest FROM app_orders)
 UNION ALL
 SELECT 'items', order_id, total, NULL FROM order_sums
@@ -696,8 +722,23 @@ FROM nomenclature n LEFT JOIN (
   SELECT nomenclature_id, sum(quantity) AS sold FROM offers
   WHERE order_id IN (SELECT order_id FROM accepted_orders) GROUP BY nomenclature_id) s ON s.nomenclature_id = n.id
 UNION ALL
-SELECT 'refused', id, NULL, reason FROM decided WHERE NOT accepted""",
-    *INTAKE[1:],
+SELECT 'refused', id, NULL, reason FROM decided WHERE NOT accepted
+UNION ALL
+SELECT 'refused', id, NULL, unfit FROM offered WHERE unfit IS NOT NULL
+UNION ALL
+SELECT 'refused', id, NULL, 'id_taken' FROM app_orders WHERE id % 11 = 0
+UNION ALL
+SELECT 'refused', id + 1000000000, NULL, 'id_taken' FROM app_orders WHERE id % 13 = 0""",
+    """
+offered AS (
+  SELECT *, CASE WHEN id % 17 = 0 THEN 'number_taken'
+                 WHEN id % 19 = 0 AND row_number() OVER (PARTITION BY given ORDER BY order_date, id) > 1 THEN 'number_taken'
+                 WHEN id % 19 <> 0 AND id % 23 = 0 THEN 'number_reserved' END AS unfit
+  FROM (SELECT *, CASE WHEN id % 17 = 0 THEN order_number
+                       WHEN id % 19 = 0 THEN 'WEB-' || CAST(id // 38 AS VARCHAR)
+                       WHEN id % 23 = 0 THEN 'ORD-' || CAST(id + 5000000 AS VARCHAR) END AS given FROM app_orders))""",
+    INTAKE[1].replace("FROM app_orders", "FROM offered WHERE unfit IS NULL"),
+    *INTAKE[2:],
     f"""
 decided AS ({INTAKE[0]})""",
     f"""

@@ -237,6 +237,7 @@ def record_rules(spark: SparkSession, folder: str) -> DataFrame:
     return union(
         broken(integrity.record_rules(batches.raw_clients(spark, folder), "clients"), "clients"),
         broken(integrity.record_rules(batches.raw_products(spark, folder), "nomenclature"), "nomenclature"),
+        broken(integrity.record_rules(batches.raw_categories(spark, folder), "categories"), "categories"),
         broken(integrity.order_rules(batches.raw_orders(t), batches.raw_items(t)), "orders"),
     )
 
@@ -252,6 +253,7 @@ def storage_rules(spark: SparkSession, folder: str) -> DataFrame:
     return union(
         counts(batches.raw_clients(spark, folder), "clients"),
         counts(batches.raw_products(spark, folder), "nomenclature"),
+        counts(batches.raw_categories(spark, folder), "categories"),
         counts(batches.raw_orders(t), "orders"),
         counts(batches.raw_items(t), "order_items"),
     )
@@ -270,7 +272,16 @@ def _each_table(t: Tables, check: Callable[[str], DataFrame]) -> DataFrame:
 
 
 over_tables("fk_rejected", lambda t: _each_table(t, lambda table: integrity.fk_rejected(t, table, require_active=True)))
-over_tables("unique_rejected", lambda t: _each_table(t, lambda table: integrity.unique_rejected(t, table)))
+
+
+@query
+def unique_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables, with categories that have a sibling of their name."""
+    t = star.star_tables(spark, folder)
+    t = t.with_(categories=batches.twin_categories(t))
+    return _each_table(t, lambda table: integrity.unique_rejected(t, table))
+
+
 over_tables("total_mismatch", integrity.order_total_mismatch)
 over_tables("total_mismatch_items", integrity.item_total_mismatch)
 
@@ -384,13 +395,12 @@ def delete_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def create_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """The intake batch on top of stored orders without items, whose numbers it continues."""
+    """The intake batch on top of stored orders without items, whose numbers it continues; some ids and numbers are taken."""
     t = star.star_tables(spark, folder)
     stored = t.orders.withColumn("id", F.col("id") + batches.UNKNOWN_ID_OFFSET)
     stock = t.nomenclature.withColumn("quantity", F.col("quantity") * 10)
     shop = t.with_(orders=stored, order_items=t.order_items.where("false"), nomenclature=stock)
-    batch = t.orders.withColumn("order_number", F.lit(None).cast("string"))
-    return _orders_changed(orders.create_orders(shop, batch, batches.intake_items(t), ["order_date", "id"]))
+    return _orders_changed(orders.create_orders(shop, batches.offered_orders(t), batches.intake_items(t), ["order_date", "id"]))
 
 
 def _orders_changed(done: orders.OrdersChanged) -> DataFrame:

@@ -190,3 +190,41 @@ def test_orders_are_created_and_deleted_with_all_that_hangs_on_them(shop, make,
     assert sorted(tuples(gone.orders, "id")) == sorted(tuples(shop.orders, "id"))
     assert gone.order_items.count() == shop.order_items.count()
     assert gone.nomenclature.where("id = 1").first().quantity == product.quantity
+
+
+def test_taken_ids_and_numbers_are_refused_in_order_of_arrival(shop, make, spark):
+    """Against a loop over the batch; refused orders leave no items and no stock."""
+    stored = shop.orders.select("id", "order_number").first()
+    batch = [
+        (stored.id, None), (21, stored.order_number), (22, "WEB-1"), (23, "WEB-1"), (24, "ORD-777777"), (25, ""),
+        (26, None), (26, "WEB-2"), (27, "WEB-2"), (28, "WEB-3"), (None, None), (None, "WEB-9"),
+    ]
+    rows = [(i, 1, NOON, "pending", n, k) for k, (i, n) in enumerate(batch)]
+    new = spark.createDataFrame(rows, "id bigint, client_id bigint, order_date timestamp, status string, order_number string, place int")
+    new = new.withColumn("order_date", new["order_date"].cast(shop.orders.schema["order_date"].dataType))
+    product = shop.nomenclature.where("id = 1").first()
+    ids = sorted({i for i, _ in batch if i is not None})
+    lines = make("order_items", "id, order_id, nomenclature_id, quantity, price", [(200 + i, i, 1, 1, product.price) for i in ids])
+    made = orders.create_orders(shop, new, lines, ["place"])
+
+    ids_seen, numbers_seen, refused = {r.id for r in shop.orders.collect()}, {r.order_number for r in shop.orders.collect()}, []
+    for i, n in batch:
+        if i is None:
+            refused.append((i, "invalid_fields"))
+        elif i in ids_seen:
+            refused.append((i, "id_taken"))
+        else:
+            ids_seen.add(i)
+            if n in numbers_seen:
+                refused.append((i, "number_taken"))
+            elif n and n.startswith("ORD-"):
+                refused.append((i, "number_reserved"))
+            elif n:
+                numbers_seen.add(n)
+    assert sorted(tuples(made.rejected, "id", "reason"), key=str) == sorted(refused, key=str)
+    kept = [i for i in ids if i > 20 and (i, "number_taken") not in refused and (i, "number_reserved") not in refused]
+    assert sorted(r.id for r in made.orders.where("id > 20").collect()) == kept
+    numbers = [r.order_number for r in made.orders.collect()]
+    assert len(set(numbers)) == len(numbers) and {"WEB-1", "WEB-2", "WEB-3"} <= set(numbers)
+    assert sorted(r.order_id for r in made.order_items.where("id > 200").collect()) == kept
+    assert made.nomenclature.where("id = 1").first().quantity == product.quantity - len(kept)

@@ -116,3 +116,11 @@ def test_total_mismatch(raw_seed, shop, make):
     assert integrity.order_total_mismatch(shop).count() == 0
     items = make("order_items", "order_id, nomenclature_id, quantity, price, total_price", [(1, 1, 2, 5, 10), (1, 2, 2, 5, 11)])
     assert tuples(integrity.item_total_mismatch(shop.with_(order_items=items)), "total_price", "expected_price") == [(11.0, 10.0)]
+
+
+def test_sibling_names_are_refused(shop, make):
+    rows = [(101, "A", 1, True), (102, "A", 1, True), (103, "A", 2, True), (104, "A", 1, False), (105, "R", None, True), (106, "R", None, True)]
+    t = shop.with_(categories=make("categories", "id, name, parent_id, is_active", rows))
+    refused = lambda **flags: sorted(tuples(integrity.unique_rejected(t, "categories", **flags), "id", "reason"))
+    assert refused() == [(n, "parent_id+name_repeated") for n in (101, 102, 105, 106)]
+    assert refused(sibling_nulls_equal=False) == [(n, "parent_id+name_repeated") for n in (101, 102)]
