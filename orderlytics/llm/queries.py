@@ -24,7 +24,7 @@ from orderlytics.llm import (
 from orderlytics.llm.common import ROW, table
 from orderlytics.session import scratch_path
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 ID = f"{ROW}.doc_id"
@@ -54,7 +54,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.packed(docs, public_tokenizers.path(RANKS))
+    return packing.packed(docs, public_tokenizers.path(RANKS), public_tokenizers.path(TOKENIZER))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from orderlytics.llm import quality_rules, secrets, url_filter  # noqa: E402
 
 BLANK = r"[^ \t-\r]+"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 EDGE = ["", " ", "\n", "a", "É é", "x\n\nx\n X ", "ab cd ef gh", "ab cd ef gh ij", "😀 ab cd ef", "A\x0bB\x85C"]
 
 
@@ -108,23 +109,31 @@ def test_kept_text_is_without_shared_lines(spark, docs):
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
-    oracle = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    oracle.encode_special_tokens = True
-    texts = [*EDGE, None, "word " * 2500, "Überall  dreimal   Leer\t\n zeichen' s it's", "<|endoftext|> a"]
+    oracle = Tokenizer.from_file(TOKENIZER)
+    texts = [*EDGE, None, "word " * 2500, "Überall  dreimal   Leer\t\n zeichen' s it's", "<|endoftext|> a", "a <|endoftext|><|endoftext|> b<|endoftext|", "x " * 3000]
     table = clash(docs(*enumerate(texts), (0, "")))
-    got = packing.packed(table, RANKS).collect()
+    found = packing.packed(table, RANKS, TOKENIZER, with_ids=True)
+    got = found.collect()
+    assert sorted(map(str, packing.packed(table, RANKS, TOKENIZER).drop("sequence_id", "offset").collect())) == sorted(
+        map(str, found.drop("ids", "sequence_id", "offset").collect())
+    )
+    stream = {r.sequence_id: r.ids for r in packing.sequences(found).collect()}
+    for r in got:
+        assert stream[r.sequence_id][r.offset : r.offset + r.length] == r.ids
+    assert sum(map(len, stream.values())) == sum(r.length for r in got)
     for d, t in enumerate(texts):
         ids = oracle.encode(t or "", add_special_tokens=False).ids + [2]
         pieces = sorted({(r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == d})
         assert sum(p[2] for p in pieces) == len(ids) and all(p[2] == 1024 for p in pieces[1:])
         for _, start, length, crc in pieces:
             assert crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+        assert {r.piece: r.ids for r in got if r.doc_id == d} == {p[0]: ids[p[1] : p[1] + p[2]] for p in pieces}
     filled: dict = {}
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert filled.get(r.sequence_id, 0) == r.offset
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= 1024
-    assert packing.packed(table.limit(0), RANKS).count() == 0
+    assert packing.packed(table.limit(0), RANKS, TOKENIZER).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -396,6 +405,6 @@ def test_pipeline_on_a_small_table(spark, tmp_path, docs):
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in packed}) == list(range(12))
-    ids = packing.Encoder(RANKS).ids(body("d3x"))
+    ids = packing.Encoder(RANKS, TOKENIZER).ids(body("d3x"))
     assert [r.length for r in packed if r.doc_id == 3] == [len(ids) // 4 + 1]
     assert hashlib.sha256(b"").hexdigest() == decontamination.items_digest([])
