@@ -44,8 +44,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in training sequences."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """Pieces of at most 1024 tokens with their ids, and their places in training sequences."""
+    ranks, tokenizer = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    return packing.packed(docs, ranks, tokenizer, with_ids=True)
 
 
 STAGES = [
