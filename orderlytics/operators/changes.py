@@ -135,6 +135,13 @@ def order_totals(orders: DataFrame, order_items: DataFrame, changed: DataFrame |
 # --- checks shared by inserts and patches ------------------------------------
 
 
+def _known_by(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Left join on a column that most rows leave out: rows without it are not shuffled to meet in one task."""
+    given = F.col(column).isNotNull()
+    found = rows.where(given).join(known, column, "left")
+    return found.unionByName(rows.where(~given), allowMissingColumns=True)
+
+
 def _with_link(batch: DataFrame, table: str, t: Tables) -> DataFrame:
     """Add `_link_ok`: the category a row points to exists and is active."""
     column = _CATEGORY_LINK.get(table)
@@ -142,7 +149,7 @@ def _with_link(batch: DataFrame, table: str, t: Tables) -> DataFrame:
         return batch.withColumn("_link_ok", F.lit(True))
     active = t.categories.where("is_active").select(F.col("id").alias(column), F.lit(True).alias("_found"))
     found = F.col(column).isNull() | F.col("_found").isNotNull()
-    return batch.join(active, column, "left").withColumn("_link_ok", found).drop("_found")
+    return _known_by(batch, active, column).withColumn("_link_ok", found).drop("_found")
 
 
 def _with_holders(batch: DataFrame, table: str, t: Tables) -> DataFrame:
@@ -153,9 +160,8 @@ def _with_holders(batch: DataFrame, table: str, t: Tables) -> DataFrame:
         return batch.withColumn("_low", none).withColumn("_high", none)
     holders = getattr(t, table).groupBy(column).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
     wanted = F.when(F.col(column) != "", F.col(column))
-    return batch.withColumn("_wanted", wanted).join(
-        holders.withColumnRenamed(column, "_wanted"), "_wanted", "left"
-    ).drop("_wanted")
+    holders = holders.withColumnRenamed(column, "_wanted")
+    return _known_by(batch.withColumn("_wanted", wanted), holders, "_wanted").drop("_wanted")
 
 
 def _with_place(rows: DataFrame, categories: DataFrame, parent: str) -> DataFrame:
@@ -227,7 +233,7 @@ def _first_claim_wins(batch: DataFrame, column: str, owner: str, code: str) -> D
     )
     late = F.col("_first") != F.col(owner)
     return (
-        batch.join(claims, column, "left")
+        _known_by(batch, claims, column)
         .withColumn("reason", F.coalesce("reason", F.when(late, F.lit(code))))
         .select(*batch.columns)
     )
@@ -297,10 +303,10 @@ def _with_sibling(batch: DataFrame, t: Tables, null_parents_equal: bool) -> Data
 def _first_row_wins(batch: DataFrame, value: Column, code: str) -> DataFrame:
     """Refuse accepted rows whose value an earlier accepted row of the batch has."""
     claimed = batch.withColumn("_value", value)
-    first = claimed.where("reason IS NULL").groupBy("_value").agg(F.min("seq").alias("_first"))
+    first = claimed.where("reason IS NULL AND _value IS NOT NULL").groupBy("_value").agg(F.min("seq").alias("_first"))
     late = F.col("seq") > F.col("_first")
     return (
-        claimed.join(first, "_value", "left")
+        _known_by(claimed, first, "_value")
         .withColumn("reason", F.coalesce("reason", F.when(late, F.lit(code))))
         .select(*batch.columns)
     )

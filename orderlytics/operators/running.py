@@ -18,6 +18,8 @@ from orderlytics.session import cut_lineage, read_back, scratch_path, write_coun
 
 SLICE = "_slice"
 POSITION = "position"
+# Rows of a group that one task numbers; it sorts them, on disk if need be.
+HEAVY_ROWS = 1_000_000
 
 
 def sliced(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], label: str = "sliced") -> DataFrame:
@@ -71,8 +73,33 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, label: str
     return running(rows, [], order, **{name: ("sum", one)}).drop(SLICE, one)
 
 
-def placed(df: DataFrame, group: Sequence[str], order: Sequence[str], label: str = "placed") -> DataFrame:
-    """Add `position`, from 0 within each group, at the same cost for groups of any size."""
-    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    rows = running(sliced(ones, group, order, label), group, order, _upto=("sum", "_one"))
-    return rows.withColumn(POSITION, F.col("_upto") - 1).drop(SLICE, "_one", "_upto")
+def placed(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    label: str = "placed",
+    total: str | None = None,
+    heavy_rows: int | None = None,
+) -> DataFrame:
+    """Add `position`, from 0 within each group, and under the name `total` the size of the group.
+
+    One pass counts the groups. Those with up to `heavy_rows` rows (`HEAVY_ROWS` unless
+    given) are numbered where one shuffle on the group brings them, which a join on the
+    group can use again; larger ones by slices. A group is the values of its columns, none NULL.
+    """
+    limit = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    heavy = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit)
+    heavy = cut_lineage(heavy, f"{label}-heavy")
+    few = heavy.isEmpty()
+    light = df if few else df.join(heavy, [*group], "left_anti")
+    same = Window.partitionBy(*group)
+    numbers = {POSITION: (F.row_number().over(same.orderBy(*order)) - 1).cast("bigint")}
+    if total:
+        numbers[total] = F.count(F.lit(1)).over(same)
+    light = light.withColumns(numbers)
+    if few:
+        return light
+    ones = df.join(heavy, [*group]).withColumn("_one", F.lit(1).cast("bigint"))
+    rows = running(sliced(ones.select(*df.columns, "_size", "_one"), group, order, label), group, order, _upto=("sum", "_one"))
+    rows = rows.withColumn(POSITION, F.col("_upto") - 1).withColumnRenamed("_size", total or "_size")
+    return light.unionByName(rows.select(*light.columns))

@@ -279,13 +279,11 @@ def order_with_items(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     named = items.join(products, "nomenclature_id")
     key = list(t.item_key)
     item = F.struct(*[c for c in named.columns if c != "order_id"]).alias("item")
-    lines = placed(named, ["order_id"], key, "order-items").select(F.col("order_id").alias("id"), POSITION, item)
-    # A position is the number of items before it, so the last one tells the count.
-    counts = lines.groupBy("id").agg((F.max(POSITION) + 1).alias("items_count"))
+    lines = placed(named, ["order_id"], key, "order-items", total="items_count")
+    lines = lines.select(F.col("order_id").alias("id"), "items_count", POSITION, item)
     orders = _with_client_name(orders, t)
     return (
-        orders.join(counts, "id", "left")
-        .join(lines, "id", "left")
+        orders.join(lines, "id", "left")
         .select(*orders.columns, count_or_zero(F.col("items_count")).alias("items_count"), POSITION, "item")
     )
 

@@ -56,14 +56,24 @@ def test_numbering(skewed, many_slices):
     assert sorted(seen) == [(n, *row) for n, row in enumerate(expected, start=1)]
 
 
-def test_positions_in_groups_of_any_size(skewed, many_slices):
+@pytest.mark.parametrize("heavy_rows", [0, 5, 10**6])
+def test_positions_in_groups_of_any_size(skewed, many_slices, heavy_rows):
+    """All groups by slices, the large ones only, and none."""
     rows, df = skewed
-    seen = tuples(placed(df, ["g"], ["o"]), "g", "o", POSITION)
+    seen = tuples(placed(df, ["g"], ["o"], total="size", heavy_rows=heavy_rows), "g", "o", POSITION, "size")
     places, expected = {}, []
     for g, o, *_ in sorted(rows, key=lambda r: r[:2]):
         expected.append((g, o, places.get(g, 0)))
         places[g] = places.get(g, 0) + 1
-    assert sorted(seen) == expected
+    assert sorted(seen) == [(g, o, place, places[g]) for g, o, place in expected]
+
+
+def test_positions_and_a_join_share_one_shuffle(spark, skewed):
+    _, df = skewed
+    lines = placed(df, ["g"], ["o"], total="size")
+    other = df.select("g").distinct().hint("merge")
+    plan = lines.hint("merge").join(other, "g")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, "one for the lines, one for the other side"
 
 
 def test_empty_input(spark):
