@@ -417,6 +417,7 @@ _HEADER = f"SELECT id, client_id, order_number, order_date, {money('total_amount
 define("page", _HEADER + " ORDER BY order_date DESC, id LIMIT 100 OFFSET 600")
 define("page_deep", _HEADER + " ORDER BY order_date DESC, id LIMIT 100 OFFSET 800")
 define("page_after", _HEADER + " WHERE id > 777 ORDER BY id LIMIT 100")
+define("page_index", "SELECT name, id, address FROM clients ORDER BY name, id LIMIT 80 OFFSET 40")
 define("page_totals", "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM app_orders")
 
 # --- integrity ---------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double
-from orderlytics.operators import changes, hierarchy, intake, integrity, orders, reports, search
+from orderlytics.operators import changes, hierarchy, intake, integrity, orders, pages, reports, search
 from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
 from orderlytics.sources import star
@@ -203,6 +203,19 @@ over_tables(
     "page_deep", lambda t: money_to_double(search.page(t.orders, [F.desc("order_date"), "id"], 9, 100, top_rows=0))
 )
 over_tables("page_after", lambda t: money_to_double(search.page_after(t.orders, "id", 777, 100)))
+
+
+@query
+def page_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page by number and the one that follows its last row, from an index over all clients."""
+    t = star.star_tables(spark, folder)
+    listed = t.clients.select("name", "id", "address")
+    index = pages.PageIndex.build(listed, ["name", "id"], scratch_path(spark, "page-index"), file_rows=1_000)
+    second = index.page(2, 40)
+    last = second.orderBy(F.desc("name"), F.desc("id")).first()
+    return second if last is None else second.unionByName(index.page_after((last["name"], last["id"]), 40))
+
+
 over_tables("page_totals", lambda t: search.page_totals(t.orders, 20))
 
 
