@@ -116,7 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     known = known.select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
     sample = known.orderBy("place", "doc_id", "label").limit(TRAIN_DOCS)
     texts = docs.select("doc_id", text_of(text).alias("body")).join(F.broadcast(sample), "doc_id")
-    texts = texts.dropDuplicates(["doc_id"]).select("place", "body", "label")
+    # Of several rows or labels of a doc_id the smallest counts, so that every run learns the same.
+    one = F.min(F.struct("label", F.xxhash64("body").alias("text_hash"), "body")).alias("one")
+    texts = texts.groupBy("doc_id", "place").agg(one).select("place", "one.body", "one.label")
     model = texts.repartition(1).mapInArrow(_learn, "odds binary, bias double").head()
     if model is None:  # no labelled document at all
         return np.zeros(BUCKETS, np.float32), 0.0

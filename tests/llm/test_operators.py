@@ -249,6 +249,10 @@ def test_classifier_learns_and_ignores_the_held_out(spark, docs):
     assert np.array_equal(classifier.train(table, turned)[0], model[0])
     odds, bias = classifier.train(table, labels.limit(0))
     assert not odds.any() and bias == 0
+    again = docs(*good, *bad, *[(i, f"other text {i}") for i in range(300)])
+    twice = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality")))
+    runs = [classifier.train(again.repartition(n, F.xxhash64("text", F.lit(n))), twice.repartition(n))[0] for n in (2, 5)]
+    assert np.array_equal(*runs), "repeated ids and labels must not make runs differ"
 
 
 def test_decontamination_blocks_equal_one_block(spark, docs):
