@@ -105,7 +105,7 @@ class UpdateLog:
         while len(old := [p for p in parts if p.level == level]) >= self.fan_out:
             first, last = old[0].first, old[-1].last
             merged = Part(level + 1, first, last, f"level-{level + 1}/{first:010d}-{last:010d}")
-            self._write(_latest(self._read(old), self.keys, keep_batch=True), merged)
+            self._write(self._merged(self._read(old), keep_batch=True), merged)
             parts = sorted([*(p for p in parts if p.level != level), merged], key=lambda p: p.first)
             self._publish(parts)
             level += 1
@@ -134,14 +134,13 @@ class UpdateLog:
         parts = self.parts()
         if not parts:
             return self.spark.createDataFrame([], schema)
-        return _latest(self._read(parts, schema), self.keys)
+        return self._merged(self._read(parts, schema))
 
-
-def _latest(rows: DataFrame, keys: Sequence[str], keep_batch: bool = False) -> DataFrame:
-    values = [c for c in rows.columns if c not in {*keys, BATCH}]
-    kept = [*values, BATCH] if keep_batch else values
-    latest = F.max_by(F.struct(*kept), BATCH).alias("_row")
-    return rows.groupBy(*keys).agg(latest).select(*keys, "_row.*")
+    def _merged(self, rows: DataFrame, keep_batch: bool = False) -> DataFrame:
+        values = [c for c in rows.columns if c not in {*self.keys, BATCH}]
+        kept = [*values, BATCH] if keep_batch else values
+        latest = F.max_by(F.struct(*kept), BATCH).alias("_row")
+        return rows.groupBy(*self.keys).agg(latest).select(*self.keys, "_row.*")
 
 
 def keep_updates(
