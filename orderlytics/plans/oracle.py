@@ -1116,5 +1116,6 @@ SELECT order_id, CAST(sum(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN CAST(q
        count(*) FILTER (l_returnflag <> 'R') AS items
 FROM order_items GROUP BY order_id""",
 )
+ORACLES["event_counters_late"] = ORACLES["event_counters_stream"]
 ORACLES["stream_order_totals_repeated"] = ORACLES["stream_order_totals"]
 ORACLES["stream_client_summary"] = ORACLES["client_order_summary"]

@@ -15,7 +15,7 @@ from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
 from orderlytics.sources import star
 from orderlytics.sources.tables import Tables, with_defaults, write_orders_by_month
-from orderlytics.streaming import metrics
+from orderlytics.streaming import metrics, sums
 from orderlytics.streaming import orders as feeds
 from orderlytics.streaming.state import current_state, finish, keep_new, keep_updates
 
@@ -547,6 +547,21 @@ def error_and_request_rate_stream(spark: SparkSession, folder: str) -> DataFrame
     return _ntz(_run(stream, ["window_start"]), "window_start")
 
 
+@query
+def event_counters_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counters from a feed in no order, most of it behind any watermark."""
+    keys, totals = ["window_start", "event_type"], {"total": "sum"}
+    feed, path = _shuffled_feed(_events(spark, folder), "late-events"), scratch_path(spark, "event-sums")
+
+    def counted(batch: DataFrame) -> DataFrame:
+        found = metrics.event_counters(batch, ["event_type"], "1 hour")
+        return found.withColumn("window_start", F.col("window_start").cast("timestamp"))
+
+    finish(sums.keep_sums(feed, path, keys, totals, counted))
+    state = sums.SumLog(spark, path, keys, totals).state("window_start timestamp, event_type string, total bigint")
+    return _ntz(state, "window_start")
+
+
 @query
 def stream_order_totals(spark: SparkSession, folder: str) -> DataFrame:
     items = star.order_items(star.scan_stream(spark, folder, "lineitem"))
