@@ -17,6 +17,7 @@ from orderlytics.operators.hierarchy import below
 from orderlytics.operators.integrity import VIOLATIONS, record_rules
 from orderlytics.operators.reports import item_totals
 from orderlytics.operators.running import numbered, running, sliced
+from orderlytics.operators.subtrees import SubtreeIndex
 from orderlytics.schemas import LOCKED_STATUSES, SCHEMAS, TOTAL
 from orderlytics.session import cut_lineage
 from orderlytics.sources.tables import Tables, with_defaults
@@ -360,14 +361,15 @@ def cascade_delete(t: Tables, order_ids: DataFrame) -> OrdersDeleted:
     )
 
 
-def delete_subtree(t: Tables, ids: DataFrame) -> Applied:
+def delete_subtree(t: Tables, ids: DataFrame, index: SubtreeIndex | None = None) -> Applied:
     """Remove categories together with everything below them.
 
     A category stays, with its whole subtree, when a product belongs to any node
-    of it. Each id is judged on the tables as they were before the batch.
+    of it. Each id is judged on the tables as they were before the batch. With an
+    `index` of these categories subtrees are a range join, else a walk.
     """
     wanted = ids.select("id").distinct()
-    nodes = below(t.categories, wanted)
+    nodes = index.below(wanted) if index else below(t.categories, wanted)
     used = t.nomenclature.select(F.col("category_id").alias("descendant_id")).distinct()
     blocked = nodes.join(used, "descendant_id", "left_semi").select(F.col("ancestor_id").alias("id")).distinct()
     known = t.categories.select("id", F.lit(True).alias("_known"))

@@ -995,6 +995,7 @@ SELECT top, '', 'has_products' FROM refused"""
 
 
 define("delete_subtree", *_subtrees("categories", "NOT is_active", "107"))
+define("delete_subtree_indexed", *_subtrees("categories", "NOT is_active", "107"))
 _select, _reached = _subtrees("broken", "level < 2", "SELECT id FROM categories WHERE parent_id = 1")
 define("delete_subtree_broken", _select, BROKEN, _reached)
 define(
@@ -1009,6 +1010,18 @@ steps AS (
   UNION
   SELECT s.top, c.id, s.distance + 1 FROM broken c JOIN steps s ON c.parent_id = s.id WHERE s.distance < 4)""",
 )
+define(
+    "subtree_index",
+    """
+SELECT top AS ancestor_id, id AS descendant_id, CAST(min(distance) AS INT) AS distance
+FROM steps WHERE id <> top GROUP BY top, id""",
+    BROKEN,
+    """
+steps AS (
+  SELECT id AS top, id, 0 AS distance FROM broken
+  UNION
+  SELECT s.top, c.id, s.distance + 1 FROM broken c JOIN steps s ON c.parent_id = s.id WHERE s.distance < 6)""",
+)
 
 
 def _inserted(existing: str, value: str = "shown") -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.functions.measures import as_double
-from orderlytics.operators import changes, hierarchy, intake, integrity, orders, pages, reports, search
+from orderlytics.operators import changes, hierarchy, intake, integrity, orders, pages, reports, search, subtrees
 from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
 from orderlytics.sources import star
@@ -145,6 +145,14 @@ def descendants_broken(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(broken, broken.where("level < 2"))
 
 
+@query
+def subtree_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Below every node of a tree with a cycle and a missing parent, by intervals."""
+    broken = batches.broken_categories(spark, folder, star.star_tables(spark, folder))
+    index = subtrees.SubtreeIndex.build(broken, scratch_path(spark, "subtree-index"))
+    return index.below(broken).where("distance > 0")
+
+
 @query
 def category_tree(spark: SparkSession, folder: str) -> DataFrame:
     tree = hierarchy.category_tree(star.star_tables(spark, folder).categories)
@@ -430,8 +438,8 @@ def _orders_changed(done: orders.OrdersChanged) -> DataFrame:
     )
 
 
-def _subtrees(t: Tables, ids: DataFrame) -> DataFrame:
-    done = changes.delete_subtree(t, ids)
+def _subtrees(t: Tables, ids: DataFrame, index: subtrees.SubtreeIndex | None = None) -> DataFrame:
+    done = changes.delete_subtree(t, ids, index)
     kept = done.table.select("id", "name", F.lit("remains").alias("reason"))
     return kept.unionByName(done.rejected.select("id", F.lit("").alias("name"), "reason"))
 
@@ -453,6 +461,15 @@ def delete_subtree_broken(spark: SparkSession, folder: str) -> DataFrame:
     return _subtrees(t, broken.where("level < 2"))
 
 
+@query
+def delete_subtree_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Delete inactive categories, found as intervals; the products of one of them are gone already."""
+    t = star.star_tables(spark, folder)
+    index = subtrees.SubtreeIndex.build(t.categories, scratch_path(spark, "subtree-index"))
+    t = t.with_(nomenclature=t.nomenclature.where("category_id <> 107"))
+    return _subtrees(t, t.categories.where("NOT is_active"), index)
+
+
 def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], shown: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         t = star.star_tables(tune(spark), folder)
