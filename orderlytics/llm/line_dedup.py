@@ -1,11 +1,16 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a Parquet folder with one row per line key: a 128-bit hash and the
-number of documents that hold it, sorted by hash. New batches add runs on level
-0; a level that has gathered `fan_out` runs is merged into one run of the next
-level, so a corpus of n batches keeps O(log n) runs and every row is rewritten
-O(log n) times. A batch is cleaned by a merge anti-join of its lines with the
-runs. Everything is made of DataFrame expressions.
+number of documents that hold it, sorted by hash. Every new batch adds a run; as
+soon as `fan_out` runs of a level stand side by side they are merged into one run
+of the next level, so a corpus of n batches keeps O(log n) runs and every row is
+rewritten O(log n) times. A batch is cleaned by a merge anti-join of its lines with
+the runs. Everything is made of DataFrame expressions.
+
+A run is named by the first and the last batch it holds. One that covers others
+replaces them from the moment its write is finished, so the folder itself says
+which runs count: a later session opens it and goes on, a reader never counts a
+batch twice, and a failed write leaves nothing that counts. One writer at a time.
 
 A document is a row; rows that repeat a doc_id count once each. A NULL or empty
 text is one empty line. An empty key is never dropped. No documents: no rows.
@@ -13,10 +18,12 @@ text is one empty line. An empty key is never dropped. No documents: no rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm.common import BLANKS, ROW, ascii_lower, text_of, wrapped
+from orderlytics.llm.common import BLANKS, ROW, ascii_lower, complete, text_of, wrapped
 from orderlytics.session import cut_lineage, drop_scratch, scratch_path
 
 MIN_DOCS = 10
@@ -34,48 +41,74 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("hash_a"), F.xxhash64(F.lit("line"), key).alias("hash_b")]
 
 
+class Run(NamedTuple):
+    first: int
+    last: int
+
+    @property
+    def batches(self) -> int:
+        return self.last - self.first + 1
+
+
 class LineRuns:
-    """The store: paths of the sorted runs by level, youngest level first."""
+    """The store: sorted runs in a shared folder, those of an earlier session included."""
+
+    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT, folder: str | None = None) -> None:
+        if fan_out < 2:
+            raise ValueError("fan_out must be at least 2")
+        self.spark, self.fan_out = spark, fan_out
+        self.folder = folder or scratch_path(spark, "line-runs")
+
+    def _finished(self) -> list[Run]:
+        return [Run(*map(int, name.split("-"))) for name in complete(self.spark, self.folder)]
+
+    def runs(self) -> list[Run]:
+        """The runs that count, by batches: none lies within another."""
+        chosen: list[Run] = []
+        for run in sorted(self._finished(), key=lambda r: (r.first, -r.last)):
+            if not chosen or run.first > chosen[-1].last:
+                chosen.append(run)
+        return chosen
 
-    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT) -> None:
-        self.spark = spark
-        self.fan_out = fan_out
-        self.levels: list[list[str]] = []
+    def _path(self, run: Run) -> str:
+        return f"{self.folder}/{run.first:010d}-{run.last:010d}"
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """Count the documents of each line of a batch and keep them as a run."""
         keys = F.array_distinct(F.transform(F.split(text_of(text), "\n", -1), line_key))
         lines = docs.select(F.explode(keys).alias("key")).where("key <> ''").select(*_hashes(F.col("key")))
-        self._put(0, lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs")))
-
-    def _put(self, level: int, counts: DataFrame) -> None:
-        path = scratch_path(self.spark, f"line-run-{level}")
-        counts.sortWithinPartitions(*KEY).write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fan_out:
-            self._compact(level)
-
-    def _compact(self, level: int) -> None:
-        old, self.levels[level] = self.levels[level], []
-        self._put(level + 1, self._total(old))
-        for path in old:
-            drop_scratch(self.spark, path)
-
-    def _total(self, paths: list[str]) -> DataFrame:
-        rows = self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-        return rows if len(paths) == 1 else rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+        held = self.runs()
+        batch = held[-1].last + 1 if held else 0
+        self._write(Run(batch, batch), lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs")))
+        self._compact()
+
+    def _write(self, run: Run, counts: DataFrame) -> None:
+        counts.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(self._path(run))
+
+    def _compact(self) -> None:
+        """Merge the youngest runs while `fan_out` of them are equally large; drop what others cover."""
+        while True:
+            held = self.runs()
+            for run in self._finished():
+                if run not in held:
+                    drop_scratch(self.spark, self._path(run))
+            young = held[-self.fan_out :]
+            if len(young) < self.fan_out or len({r.batches for r in young}) > 1:
+                return
+            self._write(Run(young[0].first, young[-1].last), self._total(young))
+
+    def _total(self, runs: list[Run]) -> DataFrame:
+        rows = self.spark.read.schema(RUN_SCHEMA).parquet(*map(self._path, runs))
+        return rows if len(runs) == 1 else rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
 
     def counts(self) -> DataFrame:
         """Documents by line hash over all runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._total(paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+        held = self.runs()
+        return self._total(held) if held else self.spark.createDataFrame([], RUN_SCHEMA)
 
     def close(self) -> None:
-        for path in (p for level in self.levels for p in level):
-            drop_scratch(self.spark, path)
-        self.levels = []
+        """Remove the store."""
+        drop_scratch(self.spark, self.folder)
 
 
 def without_known_lines(

@@ -21,7 +21,7 @@ from orderlytics.llm import (
     url_filter,
     warc,
 )
-from orderlytics.llm.common import ROW, table
+from orderlytics.llm.common import ROW, batches, table
 from orderlytics.session import scratch_path
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ PIECES = "piece_bpe_32k.model"
 
 ID = f"{ROW}.doc_id"
 
+#: Batches in which the rows arrive at the blob ledger and at the line runs, whose first
+#: four are merged before the fifth comes.
+SCANS, LINE_BATCHES = 3, 5
+
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -42,7 +46,8 @@ URL_RULES = [
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.BlobLedger(spark)
-    ledger.scan(docs)
+    for batch in batches(docs, "doc_id", SCANS):
+        ledger.scan(batch)  # blobs of earlier batches are in the ledger
     counts = ["n_assign", "n_access", "n_hex"]
     return ledger.joined(docs).select(ID, *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
@@ -60,7 +65,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     runs = line_dedup.LineRuns(spark)
-    runs.add(docs)
+    for batch in batches(docs, "doc_id", LINE_BATCHES):
+        runs.add(batch)
     kept = line_dedup.without_known_lines(docs, runs)
     return kept.select(ID, "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

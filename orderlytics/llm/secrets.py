@@ -4,7 +4,10 @@ A text is a blob, addressed by its SHA-256. The ledger remembers which rules, by
 name and version, each blob was scanned with and what they found. A scan looks
 at one holder of each blob and only at pairs of blob and rule that the ledger
 lacks; findings then join back to every row ("path") that has the blob, so a new
-version of a rule, or a new batch full of old files, costs what is new.
+version of a rule, or a new batch full of old files, costs what is new. The ledger
+is a shared folder: a later session that opens it knows all finished scans. Every
+span names its rule and version, and only those of the rules in use are reported.
+One writer at a time; a scan that failed leaves nothing that counts.
 
 Positions count code points, ends are exclusive. Matches of one kind are
 leftmost and do not overlap. NULL texts are empty and have no findings; repeated
@@ -13,12 +16,14 @@ rows have findings each; no rows give no rows. Only DataFrame expressions.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderlytics.llm.common import ROW, text_of, wrapped
+from orderlytics.llm.common import ROW, complete, text_of, wrapped
 from orderlytics.session import cut_lineage, read_back, scratch_path
 
 
@@ -47,7 +52,8 @@ RULES = (
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, r"gh[pousr]_[A-Za-z0-9]{36,}", False),
 )
 SALTS = 16
-LEDGER = "blob binary, rules array<string>, spans array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,rule:string>"
+LEDGER = f"blob binary, rules array<string>, spans array<{SPAN}>"
 
 
 class BlobLedger:
@@ -56,12 +62,16 @@ class BlobLedger:
     def __init__(self, spark: SparkSession, folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> None:
         self.spark, self.rules = spark, rules
         self.folder = folder or scratch_path(spark, "blob-ledger")
-        self.parts: list[str] = []
+
+    def scans(self) -> list[str]:
+        """Folders of the finished scans, of this session or an earlier one."""
+        return [f"{self.folder}/{name}" for name in complete(self.spark, self.folder)]
 
     def entries(self) -> DataFrame:
-        if not self.parts:
+        scans = self.scans()
+        if not scans:
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*self.parts)
+        return self.spark.read.schema(LEDGER).parquet(*scans)
 
     def scan(self, docs: DataFrame, text: str = "text", id: str = "doc_id") -> int:
         """Scan what is new in `docs`; returns how many blobs that were."""
@@ -78,9 +88,8 @@ class BlobLedger:
         texts = held.join(pending.hint("shuffle_hash"), ["blob", "holder"])
         hits = cut_lineage(texts.where(self._quick()).select("blob", "body", "rules").dropDuplicates(["blob"]), "hits")
         spans = hits.join(self._spans(hits), "blob").select("blob", "spans")
-        path = f"{self.folder}/scan-{len(self.parts)}"
+        path = f"{self.folder}/scan-{uuid.uuid4().hex}"
         pending.select("blob", "rules").join(spans, "blob", "left").select("blob", "rules", "spans").write.parquet(path)
-        self.parts.append(path)
         return read_back(pending, path).count()
 
     def _quick(self) -> Column:
@@ -106,27 +115,36 @@ class BlobLedger:
                     F.length(p["gap"]).alias("gap"), F.length(p["found"]).alias("found"), F.length(p["value"]).alias("value")
                 ),
             )
-            head = [F.lit(rank).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least")]
+            head = [F.lit(rank).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.id).alias("rule"), F.lit(r.least).alias("least")]
             kinds.append(F.struct(*head, lengths.alias("parts")))
         each = hits.select("blob", F.explode(F.array(*kinds)).alias("k"))
-        each = each.select("blob", "k.rank", "k.kind", "k.least", F.posexplode("k.parts").alias("nth", "p"))
+        each = each.select("blob", "k.rank", "k.kind", "k.rule", "k.least", F.posexplode("k.parts").alias("nth", "p"))
         each = each.where("p.found IS NOT NULL")
         upto = Window.partitionBy("blob", "rank").orderBy("nth")
         end = F.sum(F.col("p.gap") + F.col("p.found")).over(upto)
         placed = each.withColumn("end", end.cast("bigint")).where("p.value >= least")
-        span = F.struct((F.col("end") - F.col("p.found")).cast("bigint").alias("start"), "rank", "kind", "end")
+        span = F.struct((F.col("end") - F.col("p.found")).cast("bigint").alias("start"), "rank", "kind", "end", "rule")
         return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
     def findings(self) -> DataFrame:
-        """(blob, spans) of the blobs in which the newest version of any rule found something."""
-        found = self.entries().where("spans IS NOT NULL")
-        return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-
-    def joined(self, docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-        """Rows (wrapped) with counts by kind, `base`, `spans`: what the ledger knows of their texts."""
-        paths = docs.select(wrapped(docs), F.unhex(F.sha2(text_of(text), 256)).alias("blob"))
+        """(blob, spans) of the blobs in which a rule in use, in its version, found something."""
+        used = [r.id for r in self.rules]
+        found = self.entries().select("blob", F.filter("spans", lambda s: s["rule"].isin(used)).alias("spans"))
+        found = found.where(F.size("spans") > 0)
+        return found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+    def joined(
+        self, docs: DataFrame, text: str = "text", id: str = "doc_id", keep: Sequence[str] | None = None
+    ) -> DataFrame:
+        """Rows (wrapped) with counts by kind, `base`, `spans`: what the ledger knows of their texts.
+
+        `keep` names the columns of the rows to carry along, all by default; texts
+        are only shuffled when they are among them.
+        """
+        carried = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
+        paths = docs.select(wrapped(carried), F.unhex(F.sha2(text_of(text), 256)).alias("blob"), F.xxhash64(id).alias("salt"))
         # Rows of one blob are dealt over several keys; findings are few and repeated for each.
-        paths = paths.withColumn("salt", F.pmod(F.xxhash64(F.col(f"{ROW}.`{id}`")), F.lit(SALTS)))
+        paths = paths.withColumn("salt", F.pmod("salt", F.lit(SALTS).cast("bigint")))
         salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
         found = self.findings().withColumn("salt", salts)
         all_spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))

@@ -57,9 +57,17 @@ def test_secrets_positions_ledger_and_versions(spark, docs):
     assert {r.base for r in found if r.doc_id in (3, 4)} == {""}
     assert ledger.scan(table) == 0
     newer = secrets.BlobLedger(spark, ledger.folder, (*secrets.RULES[:2], secrets.RULES[2]._replace(version=2)))
-    newer.parts = list(ledger.parts)
     assert newer.scan(table) == 2
     assert {r.base for r in newer.joined(table).where("row.doc_id = 2").collect()} == {listed}
+    # A ledger opened anew knows both scans, and only rules in use are reported.
+    assert secrets.BlobLedger(spark, ledger.folder).scan(table) == 0
+    stricter = secrets.RULES[2]._replace(version=3, pattern="[0-9a-f]{64,}", quick="[0-9a-f]{64,}", least=64)
+    strict = secrets.BlobLedger(spark, ledger.folder, (*secrets.RULES[:2], stricter))
+    assert strict.scan(table.where("doc_id = 3")) == 1 and strict.scan(table) == 1
+    fewer = ",".join(s for s in listed.split(",") if not s.startswith("hex"))
+    got = strict.joined(table, keep=["doc_id"]).where("row.doc_id = 2").collect()
+    assert {(r.base, r.n_hex) for r in got} == {(fewer, 0)} and got[0]["row"].asDict() == {"doc_id": 2}
+    assert strict.joined(table.limit(0)).isEmpty()
 
 
 def test_quality_counts_and_shared_lines(spark, docs):
@@ -159,7 +167,13 @@ def test_line_runs_in_batches_equal_one_batch(spark, docs):
     whole.add(table)
     for k in range(5):
         parts.add(table.where(F.col("doc_id") % 5 == k))
-    assert sum(map(len, parts.levels)) < 5
+    assert [tuple(r) for r in parts.runs()] == [(0, 3), (4, 4)]
+    again = line_dedup.LineRuns(spark, fan_out=2, folder=parts.folder)
+    assert sorted(map(tuple, again.counts().collect())) == sorted(map(tuple, whole.counts().collect()))
+    # A write that failed half-way does not count, and its place is taken by the next batch.
+    (Path(parts.folder) / "0000000005-0000000005").mkdir()
+    again.add(table.limit(0))
+    assert [tuple(r) for r in again.runs()] == [(0, 3), (4, 5)]
     for runs in (whole, parts):
         got = rows(line_dedup.without_known_lines(table, runs).select("row.doc_id", "kept_text", "n_lines", "n_dropped"))
         assert got[3].kept_text == " own 3\n" and (got[3].n_lines, got[3].n_dropped) == (4, 2)
