@@ -49,7 +49,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in batches(docs, "doc_id", SCANS):
         ledger.scan(batch)  # blobs of earlier batches are in the ledger
     counts = ["n_assign", "n_access", "n_hex"]
-    return ledger.joined(docs).select(ID, *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+    return ledger.joined(docs, keep=["doc_id"]).select(ID, *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,11 +43,13 @@ class Rule(NamedTuple):
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
-#: In the order in which kinds are listed at one start. The last two are ours.
+#: In the order in which kinds are listed at one start. The last two are ours. A run of the
+#: characters of access or hex that is too short has no match that counts anywhere in it, so
+#: their patterns ask for the length at once; a short assignment hides what it covers.
 RULES = (
     Rule("assign", 1, _ASSIGN, 2, 12, _ASSIGN.removesuffix("+)") + "{12,})", True),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14,}", True),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16,}", True),
+    Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14,}", True),
+    Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16,}", True),
     Rule("private", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, r"gh[pousr]_[A-Za-z0-9]{36,}", False),
 )

@@ -13,6 +13,8 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -70,6 +72,17 @@ def test_secrets_positions_ledger_and_versions(spark, docs):
     assert strict.joined(table.limit(0)).isEmpty()
 
 
+@given(st.lists(st.sampled_from(["AKIA", "A", "Z9", "dead", "beef0", "g", "token=", "token: '", "pass", "word=", "-", "é"]), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_patterns_that_ask_for_the_length_find_the_same(parts):
+    text = "".join(parts)
+    for kind, least in (("access", 18), ("hex", 16)):
+        rule = next(r for r in secrets.RULES if r.kind == kind)
+        run = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}[kind]
+        want = [m.span() for m in re.finditer(run, text) if len(m[0]) >= least]
+        assert [m.span() for m in re.finditer(rule.pattern, text)] == want
+
+
 def test_quality_counts_and_shared_lines(spark, docs):
     shared = " ".join(f"w{i}" for i in range(60))
     texts = EDGE + ["a b c a b c d", "Same\nsame\nSame\n \n ", "# $ word|x"]
