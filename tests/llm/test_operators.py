@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import sys
 import zlib
@@ -299,6 +300,41 @@ def test_decontamination_blocks_equal_one_block(spark, docs):
     assert decontamination.searched(table, bench.limit(0)).where("contaminated").isEmpty()
 
 
+@given(st.data())
+@settings(max_examples=60, deadline=None)
+def test_word_search_equals_brute_force(data):
+    word = st.sampled_from(["a", "B", "b", "cc", "é", "x1", "the"])
+    text = st.lists(word, max_size=25).map(lambda w: " -,".join(w).encode())
+    items = [(str(n % 5), t) for n, t in enumerate(data.draw(st.lists(text, max_size=8)))]
+    texts = [*data.draw(st.lists(text, max_size=5)), *[b"the " + t + b". a" for _, t in items]]
+    window = data.draw(st.sampled_from([1, 2, 3, 5, 13]))
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.lower())
+    want = []
+    patterns = set()
+    for item, body in items:
+        w = split(body)
+        patterns |= {(item, *w[i : i + window]) for i in range(max(1, len(w) - window + 1) if w else 0)}
+    for t in texts:
+        w = split(t)
+        at = [(i, i + len(p) - 1, p[0]) for p in patterns for i in range(len(w)) if w[i : i + len(p) - 1] == list(p[1:])]
+        hit = {k for b, e, _ in at for k in range(b, e)}
+        want.append((len(w), len(hit), sorted({n for _, _, n in at})))
+    batch = decontamination.pa.RecordBatch.from_pydict({"row": [1] * len(texts), "body": [t.decode() for t in texts]})
+    got = [r["state"] for b in decontamination._search([batch], decontamination.WuManber(items, window), False) for r in b.to_pylist()]
+    assert [(g["n_words"], g["n_hit"], g["items"]) for g in got] == want
+
+
+def test_tables_of_a_full_block_are_small():
+    dice = np.random.default_rng(5)
+    vocabulary = np.array(["".join(dice.choice(list("abcdefghij"), 5)) for _ in range(50_000)])
+    items, size = [], 0
+    while size < decontamination.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(dice.choice(vocabulary, 120)).encode()))
+        size += len(items[-1][1])
+    matcher = decontamination.WuManber(items)
+    assert len(pickle.dumps(matcher, 5)) < 120 << 20
+
+
 def test_licence_digests(spark, docs):
     mit = "The MIT text follows\nCopyright (c) 2020 Somebody\n" + licenses._MIT
     table = clash(docs((1, "MIT Licence\n\ncopyright (c) 1999 X\n" + licenses._MIT.upper()), (2, mit), (3, None), (4, ""), (5, "a\nALL rights reserved\nb"), (6, "© 2000")))
