@@ -46,10 +46,16 @@ _UNIQUE = {"clients": "email", "nomenclature": "sku"}
 
 @dataclass(frozen=True)
 class Applied:
-    """The new table and the change rows that were refused, with a reason."""
+    """The new table and the change rows that were refused, with a reason.
+
+    `changed` (whole new rows) and `gone` (ids) are what differs from the old table:
+    a `VersionedTable` that commits them rewrites only the files they lie in.
+    """
 
     table: DataFrame
     rejected: DataFrame
+    changed: DataFrame | None = None
+    gone: DataFrame | None = None
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
@@ -70,7 +76,8 @@ def apply_stock(products: DataFrame, deltas: DataFrame, actor: str = ACTOR, now:
     rejected = joined.where(after < 0).select(
         "id", "quantity", F.col("_delta").alias("delta"), F.lit("stock_negative").alias("reason")
     )
-    return Applied(table, rejected)
+    moved = products.join(change, "id").where(after >= 0)
+    return Applied(table, rejected, _stamped(moved, products.columns, {"quantity": after.cast("int")}, F.lit(True), actor, now))
 
 
 def order_stock_deltas(order_items: DataFrame, order_ids: DataFrame, sign: int) -> DataFrame:
@@ -222,7 +229,8 @@ def patch_apply(
         values |= {c: F.col(f"_{c}") for c in ("path", "level") if c in old.columns}
     changed = F.col("_changed").isNotNull()
     patched = _stamped(old.join(merged, "id", "left"), old.columns, values, changed, actor, now)
-    return Applied(patched, reviewed.where("reason IS NOT NULL"))
+    differing = _stamped(old.join(merged, "id"), old.columns, values, F.lit(True), actor, now)
+    return Applied(patched, reviewed.where("reason IS NOT NULL"), differing)
 
 
 def _first_claim_wins(batch: DataFrame, column: str, owner: str, code: str) -> DataFrame:
@@ -289,7 +297,7 @@ def insert_batch(
     # Kept as a table: generated keys and times must not change from one read to the next.
     new = filled.select(*[F.col(c).cast(types.get(c, old.schema[c].dataType)) for c in old.columns])
     new = cut_lineage(new, "inserted")
-    return Applied(old.unionByName(new), reviewed.where("reason IS NOT NULL"))
+    return Applied(old.unionByName(new), reviewed.where("reason IS NOT NULL"), new)
 
 
 def _with_sibling(batch: DataFrame, t: Tables, null_parents_equal: bool) -> DataFrame:
@@ -340,7 +348,7 @@ def guarded_delete(table: str, t: Tables, ids: DataFrame) -> Applied:
         checks.append((F.col("status").isin(*LOCKED_STATUSES), "locked_status"))
     outcome = cut_lineage(found.select("id", first_reason(*checks).alias("reason")), "deletes")
     gone = outcome.where("reason IS NULL")
-    return Applied(old.join(gone, "id", "left_anti"), outcome.where("reason IS NOT NULL"))
+    return Applied(old.join(gone, "id", "left_anti"), outcome.where("reason IS NOT NULL"), gone=gone.select("id"))
 
 
 @dataclass(frozen=True)
@@ -378,4 +386,4 @@ def delete_subtree(t: Tables, ids: DataFrame, index: SubtreeIndex | None = None)
     outcome = cut_lineage(found.select("id", reason.alias("reason")), "deletes")
     allowed = outcome.where("reason IS NULL").select(F.col("id").alias("ancestor_id"))
     gone = nodes.join(allowed, "ancestor_id", "left_semi").select(F.col("descendant_id").alias("id"))
-    return Applied(t.categories.join(gone, "id", "left_anti"), outcome.where("reason IS NOT NULL"))
+    return Applied(t.categories.join(gone, "id", "left_anti"), outcome.where("reason IS NOT NULL"), gone=gone)

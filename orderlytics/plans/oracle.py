@@ -818,18 +818,16 @@ reviewed AS (
   SELECT c.*, CASE WHEN fault IS NULL AND f.owner <> c.id THEN 'email_taken' ELSE fault END AS reason
   FROM checked c LEFT JOIN (SELECT email, arg_min(id, seq) AS owner FROM checked
                             WHERE fault IS NULL AND email IS NOT NULL GROUP BY email) f ON f.email = c.email)"""
-define(
-    "patch_apply_clients",
-    """
+PATCHED_CLIENTS = """
 SELECT c.id, coalesce(m.name, c.name) AS name, coalesce(m.email, c.email) AS email, c.phone,
        coalesce(m.address, c.address) AS address, c.is_active
 FROM clients c LEFT JOIN (
   SELECT id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name,
          arg_max(email, seq) FILTER (email IS NOT NULL) AS email,
          arg_max(address, seq) FILTER (address IS NOT NULL) AS address
-  FROM reviewed WHERE reason IS NULL GROUP BY id) m ON m.id = c.id""",
-    PATCHES,
-)
+  FROM reviewed WHERE reason IS NULL GROUP BY id) m ON m.id = c.id"""
+define("patch_apply_clients", PATCHED_CLIENTS, PATCHES)
+define("versioned_changes", PATCHED_CLIENTS + " WHERE c.is_active", PATCHES)
 define("patch_apply_clients_rejected", "SELECT seq, id, reason FROM reviewed WHERE reason IS NOT NULL", PATCHES)
 
 PRODUCT_PATCHES = """

@@ -15,6 +15,7 @@ from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
 from orderlytics.sources import star
 from orderlytics.sources.tables import Tables, with_defaults, write_orders_by_month
+from orderlytics.sources.versions import VersionedTable
 from orderlytics.streaming import metrics, sums
 from orderlytics.streaming import orders as feeds
 from orderlytics.streaming.state import current_state, finish, keep_new, keep_updates
@@ -376,6 +377,17 @@ _patched("categories", batches.category_patches, "parent_id")
 _patched("orders", batches.order_patches)
 
 
+@query
+def versioned_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The clients after a version with patched rows and one without the inactive."""
+    t = star.star_tables(spark, folder)
+    stored = VersionedTable.create(t.clients, scratch_path(spark, "clients"), file_rows=1_000)
+    patches = batches.client_patches(spark, folder)
+    stored.commit(changes.patch_apply("clients", t.with_(clients=stored.read()), patches).changed)
+    stored.commit(gone=stored.read().where("NOT is_active"))
+    return doubles(stored.read())
+
+
 @query
 def guarded_delete(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)

@@ -85,6 +85,17 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return read_back(df, path)
 
 
+def finished_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the subfolders that a write has finished; what a failed write left does not count."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = to_path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(root)]
+    return sorted(n for n in names if system.exists(to_path(f"{folder}/{n}/_SUCCESS")))
+
+
 def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
     """Remove one intermediate table, or all of this application's."""
     target = path or f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
