@@ -47,17 +47,6 @@ def batches(df: DataFrame, key: str, n: int) -> list[DataFrame]:
     return [df.where(place == k) for k in range(n)]
 
 
-def complete(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the subfolders that a write has finished; what a failed write left does not count."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    names = [f.getPath().getName() for f in system.listStatus(path)]
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(n for n in names if system.exists(done(f"{folder}/{n}/_SUCCESS")))
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings of a column one after another, and where each begins; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

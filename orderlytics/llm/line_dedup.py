@@ -23,8 +23,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm.common import BLANKS, ROW, ascii_lower, complete, text_of, wrapped
-from orderlytics.session import cut_lineage, drop_scratch, scratch_path
+from orderlytics.llm.common import BLANKS, ROW, ascii_lower, text_of, wrapped
+from orderlytics.session import cut_lineage, drop_scratch, finished_folders, scratch_path
 
 MIN_DOCS = 10
 FAN_OUT = 4
@@ -60,7 +60,7 @@ class LineRuns:
         self.folder = folder or scratch_path(spark, "line-runs")
 
     def _finished(self) -> list[Run]:
-        return [Run(*map(int, name.split("-"))) for name in complete(self.spark, self.folder)]
+        return [Run(*map(int, name.split("-"))) for name in finished_folders(self.spark, self.folder)]
 
     def runs(self) -> list[Run]:
         """The runs that count, by batches: none lies within another."""

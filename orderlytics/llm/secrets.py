@@ -23,8 +23,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderlytics.llm.common import ROW, complete, text_of, wrapped
-from orderlytics.session import cut_lineage, read_back, scratch_path
+from orderlytics.llm.common import ROW, text_of, wrapped
+from orderlytics.session import cut_lineage, finished_folders, read_back, scratch_path
 
 
 class Rule(NamedTuple):
@@ -67,7 +67,7 @@ class BlobLedger:
 
     def scans(self) -> list[str]:
         """Folders of the finished scans, of this session or an earlier one."""
-        return [f"{self.folder}/{name}" for name in complete(self.spark, self.folder)]
+        return [f"{self.folder}/{name}" for name in finished_folders(self.spark, self.folder)]
 
     def entries(self) -> DataFrame:
         scans = self.scans()
