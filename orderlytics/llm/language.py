@@ -7,7 +7,9 @@ For each document and language, in logarithms:
   aggregation). Overlapping trigrams repeat each other's evidence, so their sum
   is taken as `1 / REPEAT` of it, and of at most `ENOUGH` trigrams' worth: a
   long text may weigh much, but not without bound;
-* the declared markup language: right with probability `TRUST`, else any;
+* the declared markup language, by its primary subtag (`en-US` is `en`): right with
+  probability `TRUST`, else any. What is no well-formed tag declares nothing, so dirt in
+  the column makes no languages;
 * the address suffix, where there is an address: `.fr`, `.de`, `.es` … and path
   segments like `/en/`, with probability `HINT`;
 * a prior of the host, smoothed by the prior of all hosts, itself smoothed by
@@ -19,7 +21,8 @@ unlike any modelled language (mean log-likelihood under the best model below
 
 NULL and empty texts are rejected, with language NULL. NULL declarations and
 hosts give no evidence of their own (a NULL host is one host). An empty corpus
-has no languages and gives no rows. Repeated rows are judged each.
+has no languages and gives no rows. Repeated rows are judged each. Of languages that
+tie, the one declared more often wins, then the first by name.
 """
 
 from __future__ import annotations
@@ -165,21 +168,49 @@ def _score(
         yield pa.RecordBatch.from_arrays([*map(batch.column, rest), state], [*rest, "state"])
 
 
+def host_of(url: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.lit(""))
+
+
 def suffix_language(url: Column, languages: list[str]) -> Column:
-    """The language that an address ends in or names as a path segment, if any."""
-    host = F.regexp_extract(url, "://([^/?#]*)", 1)
-    end = F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1)
+    """The language that an address names as a path segment or else ends in, if any."""
+    end = F.regexp_extract(host_of(url), r"\.([a-z]+)(?::\d+)?$", 1)
     path = F.regexp_extract(url, "://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1)
     known = F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>")
     return F.when(F.array_contains(known, path), path).when(F.array_contains(known, end), end)
 
 
+def primary_subtag(tag: Column) -> Column:
+    """The language of a tag like `en`, `en-US` or `zh_Hant`, lower-cased; NULL for what is none."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(tag)), "^([a-z][a-z0-9]{1,7})(?:[-_].*)?$", 1), F.lit(""))
+
+
+def markup_language(html: Column) -> Column:
+    """The `lang` attribute of the `html` element, NULL where there is none."""
+    return F.nullif(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z0-9_-]+)""", 1), F.lit(""))
+
+
+def markup_text(html: Column) -> Column:
+    """The page without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def pages_identified(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Web pages judged by all four kinds of evidence: text, markup, address and host.
+
+    Rows as `identified` gives them. A missing page is an empty text, a missing
+    address gives no suffix and belongs to the NULL host.
+    """
+    page, address = F.col(f"`{html}`"), F.col(f"`{url}`")
+    return identified(pages, markup_text(page), markup_language(page), host_of(address), address)
+
+
 def identified(
     docs: DataFrame,
-    text: str = "text",
-    declared: str | None = "lang",
-    host: str | None = "source",
-    url: str | None = None,
+    text: str | Column = "text",
+    declared: str | Column | None = "lang",
+    host: str | Column | None = "source",
+    url: str | Column | None = None,
 ) -> DataFrame:
     """Rows (wrapped) with language, posterior, text_fit and `rejected`.
 
@@ -189,12 +220,16 @@ def identified(
     joins by host.
     """
     none = F.lit(None).cast("string")
-    tag = F.lower(F.trim(F.col(declared))) if declared else none
+    declared, host, url = (none if c is None else F.col(c) if isinstance(c, str) else c for c in (declared, host, url))
     base = docs.select(
-        wrapped(docs), text_of(text).alias("body"), tag.alias("declared"), (F.col(host) if host else none).alias("host")
+        wrapped(docs),
+        text_of(text).alias("body"),
+        primary_subtag(declared).alias("declared"),
+        host.alias("host"),
+        url.cast("string").alias("address"),
     )
     by_host = base.groupBy("host", "declared").agg(F.count(F.lit(1)).alias("n"))
-    totals = by_host.groupBy("declared").agg(F.sum("n").alias("n")).where("declared <> ''")
+    totals = by_host.groupBy("declared").agg(F.sum("n").alias("n")).where("declared IS NOT NULL")
     known = [(r.declared, r.n) for r in totals.orderBy(F.desc("n"), "declared").collect()]
     total = sum(m for _, m in known)
     languages = [l for l, _ in known]
@@ -212,7 +247,7 @@ def identified(
     if n > BLOCK:
         counts = cut_lineage(counts, "trigram-counts")
     everywhere = np.array([(m + SMOOTH / n) / (total + SMOOTH) for _, m in known])
-    entry = F.when(F.col("declared") != "", F.struct("declared", "n"))
+    entry = F.when(F.col("declared").isNotNull(), F.struct("declared", "n"))
     priors = by_host.groupBy("host").agg(
         F.collect_list(entry).alias("prior"), F.coalesce(F.sum(entry["n"]), F.lit(0)).alias("told")
     )
@@ -223,9 +258,9 @@ def identified(
     few = by_host.count() <= BROADCAST_HOSTS
     right = F.broadcast(priors.alias("r")) if few else spread.alias("r")
     joined = salted.alias("l").join(right, F.col("l.host").eqNullSafe(F.col("r.host")) if few else same, "left")
-    hint = suffix_language(F.col(f"{ROW}.`{url}`"), languages) if url else none
+    hint = suffix_language(F.col("address"), languages)
     ready = joined.select(
-        ROW, "body", F.nullif("declared", F.lit("")).alias("declared"), hint.alias("hint"), "prior", "told",
+        ROW, "body", F.col("l.declared").alias("declared"), hint.alias("hint"), "prior", "told",
         F.lit(None).cast(_STATE).alias("state"),
     )
     schema = ready.schema

@@ -116,6 +116,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(ID, "language", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID over all pages, with the evidence that documents lack: markup, address and its host."""
+    judged = language.pages_identified(table(spark, sf_dir, "pages"))
+    return judged.select(f"{ROW}.page_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
+
+
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.turns(table(spark, sf_dir, "conversations"))
     return conversation_trie.trie(*conversation_trie.spliced(turns, family=5, heads=9))
@@ -151,4 +157,5 @@ QUERIES = {
     "op11_conversation_trie": op11_conversation_trie,
     "op12_warc": op12_warc,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
+    "page_language": page_language,
 }

@@ -442,6 +442,63 @@ def test_language_follows_text_and_rejects_what_has_none(spark, docs):
     assert language.identified(docs().limit(0)).count() == 0
 
 
+def test_page_language_equals_brute_force(spark):
+    english, french = "the people that we know are here with the others", "tous les gens que nous connaissons sont ici"
+    def page(text, lang=""):
+        return f"<!DOCTYPE html><html class=x{lang}><style>p{{}}</style><!-- <b> --><body><p>{text}</p></body></html>"
+    sites = ["http://a.example.com/x", "https://B.example.fr:80/fr/1", "http://c.example.org/en?lang=de", None, "no address"]
+    tags = [' lang="en-US"', " lang='en'", " lang=FR_ca", "", ' lang="??"']
+    table = [(n, sites[n % 5], page((english, french)[n % 3 == 0] + " word" * (n % 4), tags[(n // 2) % 5])) for n in range(60)]
+    table += [(100, None, None), (101, sites[0], ""), (102, sites[1], page("123 !!")), (0, *table[0][1:])]
+    frame = spark.createDataFrame(table, "page_id bigint, url string, html string").withColumn("row", F.lit("x"))
+    got = language.pages_identified(frame.repartition(3)).select("row.page_id", "row.url", "language", "posterior", "rejected").collect()
+    rows_of = []
+    for id, url, html in table:
+        html = html or ""
+        tag = re.search(r"""<html\b[^>]*?\slang=["']?([\w-]+)""", html)
+        declared = tag and re.match("[a-z]{2}(?=[-_]|$)", tag[1].lower())
+        host = re.match("[a-z]+://([^/?#]*)", url or "")
+        text = re.sub(r"(?s)<style>.*?</style>|<!--.*?-->|<[^>]*>", " ", html).encode()
+        keys, _ = language._trigrams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        rows_of.append((id, url or "", host and host[1].lower(), declared and declared[0], keys))
+    said = Counter(r[3] for r in rows_of if r[3])
+    langs, total = sorted(said, key=lambda x: (-said[x], x)), sum(said.values())
+    assert sorted(langs) == ["en", "fr"]
+    counts = {l: np.full(language.BUCKETS, 0.5) for l in langs}
+    for *_, declared, keys in rows_of:
+        if declared:
+            np.add.at(counts[declared], keys, 1)
+    want = []
+    for id, url, host, declared, keys in rows_of:
+        path, end = re.match("[a-z]+://[^/?#]*/(en|fr)(?:[/?#]|$)", url), re.search(r"\.(en|fr)(?::\d+)?$", host or "")
+        hint = path[1] if path else end[1] if end else None
+        own = Counter(r[3] for r in rows_of if r[2] == host and r[3])
+        scores = []
+        for l in langs:
+            model = np.log(counts[l] / counts[l].sum())
+            score = model[keys].mean() * min(len(keys), language.ENOUGH) / language.REPEAT if len(keys) else 0.0
+            for told, right in ((declared, language.TRUST), (hint, language.HINT)):
+                if told:
+                    score += np.log((right if told == l else 0) + (1 - right) / 2)
+            wide = (said[l] + language.SMOOTH / 2) / (total + language.SMOOTH)
+            scores.append(score + np.log((own[l] + language.SMOOTH * wide) / (sum(own.values()) + language.SMOOTH)))
+        posterior = np.exp(scores - np.logaddexp.reduce(scores))
+        want.append((id, langs[int(np.argmax(scores))] if len(keys) else None, posterior.max()))
+    pairs = sorted(zip(sorted(want, key=lambda w: w[0]), sorted(got, key=lambda r: r.page_id)), key=lambda p: p[0][0])
+    assert len(got) == len(table)
+    for (id, lang, posterior), r in pairs:
+        assert (r.page_id, r.language) == (id, lang) and abs(r.posterior - posterior) < 1e-3
+    assert {r.page_id for r in got if r.language is None} == {100, 101, 102}
+
+
+def test_dirty_tags_make_no_languages(spark, docs):
+    text = "the quick brown fox jumps over the lazy dog and then the hen " * 3
+    tags = ["en", "en-US", "EN_gb ", None, "", "??", "x", *[f"<{n}>" for n in range(50)]]
+    table = docs(*[(n, text, tag, "a") for n, tag in enumerate(tags * 3)])
+    got = rows(language.identified(table).select("row.doc_id", "language", "rejected"))
+    assert {r.language for r in got.values()} == {"en"} and not any(r.rejected for r in got.values())
+
+
 def test_rare_and_many_languages_are_all_modelled(spark, docs, monkeypatch):
     dice = np.random.default_rng(3)
     vocabulary = [["".join(dice.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)] for _ in range(72)]
