@@ -4,7 +4,8 @@ A host is keyed by its labels in reverse, each with a dot: `com.example.www.`.
 The hosts under a rule's host are then one interval of keys, from `com.example.`
 up to `com.example/` (the character after the dot), and intervals nest. Starts
 and ends of all intervals are boundaries; between two boundaries the stack of
-open rules does not change. Boundaries and addresses are sorted together, in
+open rules does not change. Boundaries are numbered in sorted slices, no task
+holding them all. Boundaries and addresses are sorted together, in
 slices that no single host can fill, and every address takes the stack of the
 last boundary before it. Of the rules on the stack whose path its own path
 starts with, the longest decides.
@@ -17,11 +18,11 @@ or verdict are left out. Repeated rows are judged each. Only DataFrame expressio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlytics.llm.common import ROW, ascii_lower, wrapped
-from orderlytics.operators.running import SLICE, running, sliced
+from orderlytics.operators.running import SLICE, numbered, running, sliced
 from orderlytics.session import cut_lineage
 
 BROADCAST_STACKS = 50_000
@@ -61,9 +62,7 @@ def _stacks(rules: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Rows (wrapped) with host, path, rule (NULL if none fits) and verdict."""
-    stacks = cut_lineage(
-        _stacks(rules).withColumn("place", F.row_number().over(Window.orderBy("key")).cast("bigint")), "stacks"
-    )
+    stacks = cut_lineage(numbered(_stacks(rules), ["key"], "place", "bounds"), "stacks")
     host, path = parts(F.col(url))
     rows = pages.select(wrapped(pages), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("spread", F.xxhash64(f"{ROW}", "path"))
