@@ -166,7 +166,7 @@ def _with_holders(batch: DataFrame, table: str, t: Tables) -> DataFrame:
     none = F.lit(None).cast("bigint")
     if column is None or column not in batch.columns:
         return batch.withColumn("_low", none).withColumn("_high", none)
-    holders = getattr(t, table).groupBy(column).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    holders = t.unique.get(table, getattr(t, table)).groupBy(column).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
     wanted = F.when(F.col(column) != "", F.col(column))
     holders = holders.withColumnRenamed(column, "_wanted")
     return _known_by(batch.withColumn("_wanted", wanted), holders, "_wanted").drop("_wanted")

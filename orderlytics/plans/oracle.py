@@ -1130,3 +1130,5 @@ FROM order_items GROUP BY order_id""",
 ORACLES["event_counters_late"] = ORACLES["event_counters_stream"]
 ORACLES["stream_order_totals_repeated"] = ORACLES["stream_order_totals"]
 ORACLES["stream_client_summary"] = ORACLES["client_order_summary"]
+ORACLES["bucketed_order_summary"] = ORACLES["order_summary"]
+ORACLES["insert_batch_indexed"] = ORACLES["insert_batch_products"]

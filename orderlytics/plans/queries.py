@@ -13,7 +13,7 @@ from orderlytics.functions.measures import as_double
 from orderlytics.operators import changes, hierarchy, intake, integrity, orders, pages, reports, search, subtrees
 from orderlytics.plans import batches
 from orderlytics.session import scratch_path, tune
-from orderlytics.sources import star
+from orderlytics.sources import buckets, star
 from orderlytics.sources.tables import Tables, with_defaults, write_orders_by_month
 from orderlytics.sources.versions import VersionedTable
 from orderlytics.streaming import metrics, sums
@@ -388,6 +388,17 @@ def versioned_changes(spark: SparkSession, folder: str) -> DataFrame:
     return doubles(stored.read())
 
 
+def _in_buckets(spark: SparkSession, folder: str) -> Tables:
+    path = scratch_path(spark, "shop")
+    return buckets.write(star.star_tables(spark, folder), path, bucket_rows=100_000).tables
+
+
+@query
+def bucketed_order_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary of all orders, from a shop whose items lie with their orders."""
+    return reports.order_summary(_in_buckets(spark, folder))
+
+
 @query
 def guarded_delete(spark: SparkSession, folder: str) -> DataFrame:
     t = star.star_tables(spark, folder)
@@ -482,9 +493,14 @@ def delete_subtree_indexed(spark: SparkSession, folder: str) -> DataFrame:
     return _subtrees(t, t.categories.where("NOT is_active"), index)
 
 
-def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], shown: str) -> Query:
+def _inserted(
+    table: str,
+    build: Callable[[SparkSession, str], DataFrame],
+    shown: str,
+    stored: Callable[[SparkSession, str], Tables] = star.star_tables,
+) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        t = star.star_tables(tune(spark), folder)
+        t = stored(tune(spark), folder)
         t = _with_paths(t) if table == "categories" else t
         applied = changes.insert_batch(table, t, build(spark, folder))
         new = applied.table.join(getattr(t, table).select("id"), "id", "left_anti")
@@ -507,6 +523,7 @@ def _inserted(table: str, build: Callable[[SparkSession, str], DataFrame], shown
 
 QUERIES["insert_batch_clients"] = _inserted("clients", batches.new_clients, "email")
 QUERIES["insert_batch_products"] = _inserted("nomenclature", batches.new_products, "sku")
+QUERIES["insert_batch_indexed"] = _inserted("nomenclature", batches.new_products, "sku", _in_buckets)
 QUERIES["insert_batch_categories"] = _inserted(
     "categories", batches.new_categories, "path || ' ' || level"
 )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,11 @@ from orderlytics.schemas import DEFAULTS, SCHEMAS
 
 @dataclass(frozen=True)
 class Tables:
-    """The five logical tables; `item_key` orders the items of one order."""
+    """The five logical tables; `item_key` orders the items of one order.
+
+    `unique` may hold, per table, its unique column and id laid out for lookups by that column.
+    A table that `with_` replaces loses its entry.
+    """
 
     categories: DataFrame
     nomenclature: DataFrame
@@ -21,9 +25,11 @@ class Tables:
     orders: DataFrame
     order_items: DataFrame
     item_key: tuple[str, ...] = ("id",)
+    unique: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def with_(self, **changes: DataFrame) -> Tables:
-        return replace(self, **changes)
+        current = {name: index for name, index in self.unique.items() if name not in changes}
+        return replace(self, **{"unique": current, **changes})
 
 
 def load(spark: SparkSession, folder: str) -> Tables:
