@@ -1,7 +1,8 @@
 """Batch changes: an old table and a change set give a new table and the rejects.
 
 A batch is checked against the table as it was before the batch, plus what
-earlier rows of the same batch claim (unique values). Rows are processed as if
+earlier rows of the same batch claim (unique values) and, on request, how earlier
+patches switched categories on and off. Rows are processed as if
 they arrived in the order of their `seq` column, which is unique.
 """
 
@@ -150,14 +151,70 @@ def _known_by(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return found.unionByName(rows.where(~given), allowMissingColumns=True)
 
 
-def _with_link(batch: DataFrame, table: str, t: Tables) -> DataFrame:
-    """Add `_link_ok`: the category a row points to exists and is active."""
+def _with_link(batch: DataFrame, table: str, t: Tables, switches: DataFrame | None = None) -> DataFrame:
+    """Add `_link_ok`: the category a row points to exists and is active when the row arrives."""
     column = _CATEGORY_LINK.get(table)
     if column is None or column not in batch.columns:
         return batch.withColumn("_link_ok", F.lit(True))
-    active = t.categories.where("is_active").select(F.col("id").alias(column), F.lit(True).alias("_found"))
-    found = F.col(column).isNull() | F.col("_found").isNotNull()
-    return _known_by(batch, active, column).withColumn("_link_ok", found).drop("_found")
+    states = t.categories.select(F.col("id").alias(column), F.col("is_active").alias("_stored"))
+    known = _known_by(batch, states, column)
+    state = F.col("_stored")
+    if switches is not None:
+        known = _with_last_switch(known, column, switches)
+        state = F.coalesce(F.col("_switch") == ON, state)
+    found = F.col(column).isNull() | F.coalesce(state, F.lit(False))
+    return known.withColumn("_link_ok", found).select(*batch.columns, "_link_ok")
+
+
+# What a patch makes of the flag of its category; WAITING while it is not known whether it is taken.
+OFF, ON, WAITING = 0, 1, 2
+
+
+def _with_last_switch(rows: DataFrame, column: str, switches: DataFrame) -> DataFrame:
+    """Add `_switch`: what the last switch (id, seq, switch) before a row's `seq` did to the category it names.
+
+    An as-of join: rows and switches are sorted together by category and `seq`, in slices that no
+    single category can fill, and a row takes the largest switch so far. NULL without one.
+    """
+    event = F.col("seq") * 4 + F.col("switch")
+    events = switches.select(F.col("id").alias(column), F.col("seq").alias("_at"), event.alias("_event"))
+    given = F.col(column).isNotNull()
+    # A row comes before the switch of its own `seq`: NULLs are first.
+    both = rows.where(given).withColumn("_at", F.col("seq")).unionByName(events, allowMissingColumns=True)
+    order = ["_at", "_event"]
+    swept = running(sliced(both, [column], order, "switches"), [column], order, _last=("max", "_event"))
+    found = swept.where("_event IS NULL").withColumn("_switch", F.pmod("_last", F.lit(4)))
+    return found.select(*rows.columns, "_switch").unionByName(rows.where(~given), allowMissingColumns=True)
+
+
+def category_switches(t: Tables, patches: DataFrame) -> DataFrame:
+    """The switches (id, seq, switch) that category patches make, if taken in the order of their `seq`.
+
+    A patch that also moves its category is taken only if the new parent is active just then, which
+    an earlier switch of the parent decides. Patches whose answer is known settle, round by round: there
+    are as many rounds as the longest chain of patches that move and switch, each below the
+    category of the one before.
+    """
+    fields = [c for c in PATCH_FIELDS["categories"] if c in patches.columns]
+    if "is_active" not in fields:
+        return patches.limit(0).select("id", "seq", F.lit(OFF).alias("switch"))
+    sent = record_rules(patches.where("is_active IS NOT NULL").select("seq", "id", *fields), "categories", "patch")
+    sound = sent.where(F.size(VIOLATIONS) == 0).join(t.categories.select("id"), "id", "left_semi")
+    parent = F.col("parent_id") if "parent_id" in fields else F.lit(None).cast("bigint")
+    states = t.categories.select(F.col("id").alias("parent_id"), F.col("is_active").alias("_stored"))
+    sound = _known_by(sound.select("id", "seq", parent.alias("parent_id"), F.col("is_active").cast("int").alias("switch")), states, "parent_id")
+    sound = cut_lineage(sound, "switching-patches")
+    columns = ["id", "seq", "switch"]
+    taken = sound.where("parent_id IS NULL").select(*columns)
+    waiting = sound.where("parent_id IS NOT NULL")
+    while not waiting.isEmpty():
+        events = taken.unionByName(waiting.select("id", "seq", F.lit(WAITING).alias("switch")))
+        seen = cut_lineage(_with_last_switch(waiting, "parent_id", events), "switch-round")
+        settled = seen.where(F.coalesce(F.col("_switch"), F.lit(OFF)) != WAITING)
+        active = F.coalesce(F.col("_switch") == ON, F.col("_stored"))
+        taken = cut_lineage(taken.unionByName(settled.where(active).select(*columns)), "switches-taken")
+        waiting = seen.where(F.col("_switch") == WAITING).select(*waiting.columns)
+    return taken
 
 
 def _with_holders(batch: DataFrame, table: str, t: Tables) -> DataFrame:
@@ -189,7 +246,12 @@ def _with_place(rows: DataFrame, categories: DataFrame, parent: str) -> DataFram
 
 
 def patch_apply(
-    table: str, t: Tables, patches: DataFrame, actor: str = ACTOR, now: Column | None = None
+    table: str,
+    t: Tables,
+    patches: DataFrame,
+    actor: str = ACTOR,
+    now: Column | None = None,
+    switches: DataFrame | None = None,
 ) -> Applied:
     """Apply partial updates: given fields replace, missing ones stay.
 
@@ -197,12 +259,15 @@ def patch_apply(
     patches of one row merge, the later value of a field winning. A field
     cannot be set to NULL. A changed category takes path and level from its
     parent as that was before the batch; nodes below it keep theirs.
+
+    `switches`, from `category_switches`, share the count of `seq` with the patches:
+    a category is then active or not as the switches before a patch left it.
     """
     old = getattr(t, table)
     fields = [c for c in PATCH_FIELDS[table] if c in patches.columns and c in old.columns]
     known = old.select("id", F.lit(True).alias("_known"))
     batch = record_rules(patches.select("seq", "id", *fields), table, "patch").join(known, "id", "left")
-    batch = _with_holders(_with_link(batch, table, t), table, t)
+    batch = _with_holders(_with_link(batch, table, t, switches), table, t)
     unique = _UNIQUE.get(table)
     unique_broken = "sku_taken" if table == "nomenclature" else "email_taken"
     link_broken = "parent_not_found" if table == "categories" else "category_not_found"
@@ -258,15 +323,17 @@ def insert_batch(
     actor: str = ACTOR,
     now: Column | None = None,
     null_parents_equal: bool = True,
+    switches: DataFrame | None = None,
 ) -> Applied:
     """Validate new categories, clients or products, give them ids and append them.
 
     Ids continue from the highest one in order of arrival. A sent active flag
-    is ignored: new rows start active.
+    is ignored: new rows start active. `switches` are those of `patch_apply`.
     """
     old = getattr(t, table)
     fields = [c for c in INSERT_FIELDS[table] if c in batch.columns]
-    checked = _with_holders(_with_link(record_rules(batch.select("seq", *fields), table), table, t), table, t)
+    linked = _with_link(record_rules(batch.select("seq", *fields), table), table, t, switches)
+    checked = _with_holders(linked, table, t)
     link_broken = "parent_not_found" if table == "categories" else "category_not_found"
     unique_broken = {"categories": "name_taken", "clients": "email_taken", "nomenclature": "sku_taken"}[table]
     if table == "categories":

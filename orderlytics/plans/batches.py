@@ -209,6 +209,17 @@ def new_categories(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def switched_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """One patch per supplier that switches its nation, some of them with a parent that does not exist."""
+    key = F.col("s_suppkey")
+    return scan(spark, folder, "supplier").select(
+        (key * 40 + 1).alias("seq"),
+        (F.col("s_nationkey") + 100).cast("bigint").alias("id"),
+        F.when(key % 4 == 0, F.lit(UNKNOWN_ID_OFFSET).cast("bigint")).alias("parent_id"),
+        (F.col("s_acctbal") >= 0).alias("is_active"),
+    )
+
+
 def with_unknown(ids: DataFrame) -> DataFrame:
     """All ids, and as many that do not exist."""
     return ids.unionByName(ids.select((F.col("id") + UNKNOWN_ID_OFFSET).alias("id")))

@@ -1063,6 +1063,25 @@ tested AS (
   FROM (SELECT *, 'SKU-' || (p_partkey * 3 // 2) AS sku FROM part))""",
     _first_wins("sku_taken"),
 )
+define(
+    "inserts_in_order",
+    "SELECT seq, reason FROM decided WHERE reason IS NOT NULL",
+    """
+switches AS (
+  SELECT s_suppkey * 40 + 1 AS seq, s_nationkey + 100 AS id, s_acctbal >= 0 AS is_active
+  FROM supplier WHERE s_suppkey % 4 <> 0),
+states AS (
+  SELECT p_partkey, arg_max(w.is_active, w.seq) AS is_active
+  FROM part JOIN switches w ON w.id = p_partkey % 30 + 100 AND w.seq < p_partkey * 2 GROUP BY p_partkey),
+tested AS (
+  SELECT p_partkey * 2 AS seq, sku AS claim,
+         CASE WHEN CAST(p_retailprice - 910 AS DECIMAL(12,2)) <= 0 THEN 'invalid_fields'
+              WHEN NOT coalesce(s.is_active, c.is_active, FALSE) THEN 'category_not_found'
+              WHEN sku IN (SELECT sku FROM nomenclature) THEN 'sku_taken' END AS fault
+  FROM (SELECT *, 'SKU-' || (p_partkey * 3 // 2) AS sku FROM part)
+  LEFT JOIN states s USING (p_partkey) LEFT JOIN categories c ON c.id = p_partkey % 30 + 100)""",
+    _first_wins("sku_taken"),
+)
 define(
     "insert_batch_categories",
     _inserted(

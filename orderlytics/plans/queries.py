@@ -523,6 +523,17 @@ def _inserted(
 
 QUERIES["insert_batch_clients"] = _inserted("clients", batches.new_clients, "email")
 QUERIES["insert_batch_products"] = _inserted("nomenclature", batches.new_products, "sku")
+
+
+@query
+def inserts_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """New products between patches that switch their categories: which are refused, and why."""
+    t = star.star_tables(spark, folder)
+    switches = changes.category_switches(t, batches.switched_categories(spark, folder))
+    arriving = batches.new_products(spark, folder).withColumn("seq", F.col("seq") * 2)
+    return changes.insert_batch("nomenclature", t, arriving, switches=switches).rejected.select("seq", "reason")
+
+
 QUERIES["insert_batch_indexed"] = _inserted("nomenclature", batches.new_products, "sku", _in_buckets)
 QUERIES["insert_batch_categories"] = _inserted(
     "categories", batches.new_categories, "path || ' ' || level"
