@@ -130,6 +130,18 @@ def order_totals(orders: DataFrame, order_items: DataFrame, changed: DataFrame |
     lost its last item goes to 0. Without it, every order with items counts as
     touched, and one that never had any keeps its total.
     """
+    joined, total = _with_new_total(orders, order_items, changed)
+    return joined.withColumn("total_amount", total).select(*orders.columns)
+
+
+def total_changes(orders: DataFrame, order_items: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """The rows of `order_totals` whose stored total was another; a `VersionedTable` rewrites only their files."""
+    joined, total = _with_new_total(orders, order_items, changed)
+    other = joined.where(~total.eqNullSafe(F.col("total_amount").cast(TOTAL)))
+    return other.withColumn("total_amount", total).select(*orders.columns)
+
+
+def _with_new_total(orders: DataFrame, order_items: DataFrame, changed: DataFrame | None) -> tuple[DataFrame, Column]:
     totals = item_totals(order_items).select("id", "amount")
     if changed is None:
         joined = orders.join(totals, "id", "left")
@@ -138,7 +150,7 @@ def order_totals(orders: DataFrame, order_items: DataFrame, changed: DataFrame |
         touched = changed.select("id").distinct().withColumn("_touched", F.lit(True))
         joined = orders.join(touched, "id", "left").join(totals, "id", "left")
         total = F.when(F.col("_touched"), F.coalesce(F.col("amount"), F.lit(0))).otherwise(F.col("total_amount"))
-    return joined.withColumn("total_amount", total.cast(TOTAL)).select(*orders.columns)
+    return joined, total.cast(TOTAL)
 
 
 # --- checks shared by inserts and patches ------------------------------------
@@ -420,9 +432,12 @@ def guarded_delete(table: str, t: Tables, ids: DataFrame) -> Applied:
 
 @dataclass(frozen=True)
 class OrdersDeleted:
+    """What is left, the stock to give back, and the ids of the orders (`gone`) for `VersionedTable`s of orders and items."""
+
     orders: DataFrame
     order_items: DataFrame
     stock_deltas: DataFrame
+    gone: DataFrame
 
 
 def cascade_delete(t: Tables, order_ids: DataFrame) -> OrdersDeleted:
@@ -433,6 +448,7 @@ def cascade_delete(t: Tables, order_ids: DataFrame) -> OrdersDeleted:
         orders=t.orders.join(gone, "id", "left_anti"),
         order_items=t.order_items.join(items_gone, "order_id", "left_anti"),
         stock_deltas=order_stock_deltas(t.order_items, gone, 1),
+        gone=gone,
     )
 
 

@@ -26,12 +26,17 @@ from orderlytics.sources.tables import Tables, with_defaults
 
 @dataclass(frozen=True)
 class OrdersChanged:
-    """The tables after the batch, and the orders that were refused, with a reason."""
+    """The tables after the batch, and the orders that were refused, with a reason.
+
+    `gone` (ids of deleted orders) and `restocked` (whole new rows of products) are what a deletion changes.
+    """
 
     orders: DataFrame
     order_items: DataFrame
     nomenclature: DataFrame
     rejected: DataFrame
+    gone: DataFrame | None = None
+    restocked: DataFrame | None = None
 
 
 def create_orders(
@@ -107,5 +112,5 @@ def delete_orders(t: Tables, order_ids: DataFrame, actor: str = ACTOR, now: Colu
     """Delete orders that are not locked, with their items, and give their quantities back to the stock."""
     refused = guarded_delete("orders", t, order_ids).rejected
     done = cascade_delete(t, order_ids.select("id").join(refused, "id", "left_anti"))
-    stock = apply_stock(t.nomenclature, done.stock_deltas, actor, now).table
-    return OrdersChanged(done.orders, done.order_items, stock, refused)
+    stock = apply_stock(t.nomenclature, done.stock_deltas, actor, now)
+    return OrdersChanged(done.orders, done.order_items, stock.table, refused, done.gone, stock.changed)

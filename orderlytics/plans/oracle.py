@@ -947,6 +947,15 @@ UNION ALL
 SELECT 'stock', nomenclature_id, CAST(sum(quantity) AS BIGINT) FROM order_items JOIN app_orders o ON o.id = order_id
 WHERE status NOT IN ('completed', 'processing') GROUP BY nomenclature_id""",
 )
+define(
+    "versioned_order_delete",
+    f"""
+SELECT o.id, o.status, {money('coalesce(i.amount, o.total_amount)')} AS total_amount, coalesce(i.n, 0) AS items_count
+FROM app_orders o
+LEFT JOIN (SELECT order_id, sum(total_price) AS amount, count(*) AS n FROM order_items GROUP BY order_id) i
+  ON i.order_id = o.id
+WHERE o.status <> 'refunded'""",
+)
 define(
     "delete_orders",
     f"""

@@ -388,6 +388,23 @@ def versioned_changes(spark: SparkSession, folder: str) -> DataFrame:
     return doubles(stored.read())
 
 
+@query
+def versioned_order_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and items after a version without the refunded orders and one with the totals of the others."""
+    t = star.star_tables(spark, folder)
+    stored = VersionedTable.create(t.orders, scratch_path(spark, "orders"), file_rows=10_000)
+    items = VersionedTable.create(t.order_items, scratch_path(spark, "items"), key="order_id", file_rows=10_000)
+    t = t.with_(orders=stored.read(), order_items=items.read())
+    gone = changes.cascade_delete(t, t.orders.where("status = 'refunded'")).gone
+    stored.commit(gone=gone)
+    items.commit(gone=gone.withColumnRenamed("id", "order_id"))
+    stored.commit(changes.total_changes(stored.read(), items.read()))
+    counts = items.read().groupBy(F.col("order_id").alias("id")).agg(F.count(F.lit(1)).alias("items_count"))
+    orders = stored.read().join(counts, "id", "left")
+    items_count = F.coalesce("items_count", F.lit(0)).alias("items_count")
+    return orders.select("id", "status", as_double(F.col("total_amount")).alias("total_amount"), items_count)
+
+
 def _in_buckets(spark: SparkSession, folder: str) -> Tables:
     path = scratch_path(spark, "shop")
     return buckets.write(star.star_tables(spark, folder), path, bucket_rows=100_000).tables

@@ -5,6 +5,8 @@ key by reading the key column alone, writes the other rows of these files togeth
 with the new ones, and publishes a list in which the written files stand for the
 touched ones. All other files are shared with the version before, which stays as it
 was for its readers. Rows are sorted by key, so ids that lie together share files.
+A key may name several rows, as an order names its items: a change then replaces them
+all. Rows of one key are spread over as many tasks and files as they need.
 
 A version exists once its list is written; what a failed commit left is overwritten
 by the next. One writer at a time, any number of readers.
@@ -36,7 +38,7 @@ class VersionedTable:
 
     @classmethod
     def create(cls, df: DataFrame, folder: str, key: str = "id", file_rows: int = FILE_ROWS) -> VersionedTable:
-        """Store a table as version 0. `key` names its rows; no two have the same, none is NULL."""
+        """Store a table as version 0. `key` names its rows; none is NULL."""
         table = cls(df.sparkSession, folder.rstrip("/"), df.schema, key, file_rows)
         if table.versions():
             raise ValueError(f"{folder} holds a table already")
@@ -65,7 +67,9 @@ class VersionedTable:
         files = self.files()
         version = self.versions()[-1] + 1
         empty = self.spark.createDataFrame([], self.schema)
-        new = empty if changed is None else changed.select(*self.schema.names)
+        # Files of another type could not be read: a value that the stored type cannot hold fails the commit.
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        new = empty if changed is None else changed.select(*typed)
         dead = (empty if gone is None else gone).select(self.key).distinct()
         # Read twice below: once for the keys, once for the rows.
         new = cut_lineage(new.join(dead, self.key, "left_anti").select(*self.schema.names), "changed-rows")
@@ -102,7 +106,7 @@ class VersionedTable:
     def _written(self, df: DataFrame, version: int) -> DataFrame:
         part = f"{version:010d}"
         path = f"{self.folder}/data/{part}"
-        ranged = df.repartitionByRange(self.key).sortWithinPartitions(self.key)
+        ranged = df.repartitionByRange(self.key, F.xxhash64(*df.columns)).sortWithinPartitions(self.key)
         ranged.write.mode("overwrite").option("maxRecordsPerFile", self.file_rows).parquet(path)
         names = self.spark.read.schema(self.schema).parquet(path).select(F.col("_metadata.file_name").alias("name"))
         return names.distinct().select(F.lit(part).alias("part"), "name")

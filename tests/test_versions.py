@@ -4,7 +4,7 @@ import pytest
 from helpers import tuples
 from pyspark.sql import functions as F
 
-from orderlytics.operators import changes
+from orderlytics.operators import changes, orders
 from orderlytics.sources.versions import VersionedTable
 
 
@@ -65,3 +65,54 @@ def test_stock_and_deletes_tell_what_differs(spark, shop):
     deleted = changes.guarded_delete("clients", shop, shop.clients.select("id"))
     left = {i for (i,) in tuples(deleted.table, "id")}
     assert {i for (i,) in tuples(deleted.gone, "id")} == {i for (i,) in tuples(shop.clients, "id")} - left
+
+
+def test_deleting_orders_rewrites_their_files_only(spark, shop, make, tmp_path):
+    lines = [(n, n // 10 + 1, 1, 1, 1, 2) for n in range(2000)]
+    items = make("order_items", "id, order_id, nomenclature_id, quantity, price, total_price", lines)
+    made = make("orders", "id, client_id, total_amount, status", [(n, 1, 20, "pending") for n in range(1, 201)])
+    orders_ = VersionedTable.create(made, str(tmp_path / "orders"), file_rows=5)
+    lines_ = VersionedTable.create(items, str(tmp_path / "items"), key="order_id", file_rows=50)
+    before, lines_before = names(orders_), names(lines_)
+    assert len(before) >= 40 and len(lines_before) >= 40
+    t = shop.with_(orders=orders_.read(), order_items=lines_.read())
+    deleted = orders.delete_orders(t, spark.createDataFrame([(17,), (120,), (999,)], "id bigint"))
+    orders_.commit(gone=deleted.gone)
+    lines_.commit(gone=deleted.gone.withColumnRenamed("id", "order_id"))
+    assert sorted(tuples(orders_.read(), "id")) == sorted(tuples(deleted.orders, "id"))
+    assert sorted(tuples(lines_.read(), "id")) == sorted(tuples(deleted.order_items, "id"))
+    assert len(before - names(orders_)) == 2 and 2 <= len(lines_before - names(lines_)) <= 4
+    assert tuples(deleted.restocked, "id") == [(1,)]
+
+
+def test_changed_totals_alone(spark, shop, make, tmp_path):
+    made = make("orders", "id, client_id, total_amount", [(1, 1, 20), (2, 1, 21), (3, 1, None), (4, 1, 5), (5, 1, 7)])
+    items = make("order_items", "order_id, nomenclature_id, quantity, price, total_price", [(n, 1, 1, 20, 20) for n in (1, 2, 3)])
+    assert sorted(tuples(changes.total_changes(made, items), "id", "total_amount")) == [(2, 20), (3, 20)]
+    touched = spark.createDataFrame([(1,), (4,), (4,)], "id bigint")
+    assert tuples(changes.total_changes(made, items, touched), "id", "total_amount") == [(4, 0)]
+    table = VersionedTable.create(made, str(tmp_path / "orders"))
+    table.commit(changes.total_changes(table.read(), items))
+    assert sorted(tuples(table.read(), "id", "total_amount")) == sorted(tuples(changes.order_totals(made, items), "id", "total_amount"))
+
+
+def test_a_key_of_many_rows_spreads(spark, tmp_path):
+    # Few rows as they are, Spark would merge the ranges.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(6000).selectExpr("id AS line", "IF(id % 3 = 0, id, 1L) AS order_id")
+    table = VersionedTable.create(rows, str(tmp_path / "hot"), key="order_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert table.read().where("order_id = 1").selectExpr("count(DISTINCT _metadata.file_name) AS n").first().n > 1
+    table.commit(spark.createDataFrame([(-1, 1)], "line bigint, order_id bigint"))
+    assert tuples(table.read().where("order_id = 1")) == [(-1, 1)]
+    assert table.read().count() == 2001
+
+
+def test_changes_take_the_stored_types(spark, tmp_path):
+    rows = spark.range(3).selectExpr("id", "CAST(id AS DECIMAL(12,2)) AS amount")
+    table = VersionedTable.create(rows, str(tmp_path / "typed"))
+    table.commit(spark.range(1, 2).selectExpr("id", "CAST(7.5 AS DECIMAL(20,2)) AS amount"))
+    assert [float(a) for (a,) in sorted(tuples(table.read(), "amount"))] == [0, 2, 7.5]
+    with pytest.raises(Exception, match="(?i)overflow|cannot be represented"):
+        table.commit(spark.range(1, 2).selectExpr("id", "CAST(1e15 AS DECIMAL(20,2)) AS amount"))
+    assert table.versions() == [0, 1]
