@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 # Runtime settings every job in this package relies on. Partition counts and
 # memory belong to the cluster and are left alone.
+# Narrow tables hold many rows in a MB and a row takes some 300 bytes in a hash
+# table or sort, so a task gets 16 MB of a file or shuffle, not Spark's 128 and 64.
+TASK_BYTES = "16m"
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": TASK_BYTES,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES,
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join on order_id that feeds an aggregate on (order_id, product) reuses
