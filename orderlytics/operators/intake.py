@@ -58,13 +58,17 @@ def order_intake(
     `arrival` names order columns whose values give the unique order of
     arrival; `item_key` orders the items of one order.
     """
-    # Own names, since orders and items may both call their key `id`.
-    arrivals = {f"_arrival{n}": F.col(c) for n, c in enumerate(arrival)}
-    places = {f"_place{n}": F.col(c) for n, c in enumerate(item_key)}
-    lines = _lines(orders.withColumns(arrivals), items.withColumns(places), products, [*arrivals], [*places])
-    reviewed = _review_orders(orders, clients, lines)
-    taken_by = _accepted_orders(reviewed, lines, [*arrivals], serial_lines)
-    faults = _line_faults(lines, taken_by, [*arrivals, *places], [*places])
+    # Own names, since orders and items may both call their key `id`; what a line has anyway is not held twice.
+    arrived = ["order_id" if c == "id" else f"_arrival{n}" for n, c in enumerate(arrival)]
+    places = [c if c in _LINE else f"_place{n}" for n, c in enumerate(item_key)]
+    offers = orders.withColumns({"order_id": F.col("id"), **{a: F.col(c) for a, c in zip(arrived, arrival)}})
+    wanted = _wanted(items.withColumns({p: F.col(c) for p, c in zip(places, item_key)}), products, places)
+    judged = _review_orders(offers, clients, wanted, arrived)
+    lines = _lines(judged, wanted, arrived, places)
+    # An order is told of once for every active client row that has its client's id.
+    reviewed = judged.withColumn("_told", F.explode(F.sequence(F.lit(1), F.greatest("_active", F.lit(1))))).drop("_told")
+    taken_by = _accepted_orders(reviewed, lines, arrived, serial_lines)
+    faults = _line_faults(lines, taken_by, places)
     return (
         reviewed.join(taken_by.withColumn("_accepted", F.lit(True)), "id", "left")
         .join(faults, "id", "left")
@@ -91,27 +95,43 @@ def order_intake(
     )
 
 
-def _lines(
-    orders: DataFrame, items: DataFrame, products: DataFrame, arrival: Sequence[str], item_key: Sequence[str]
-) -> DataFrame:
-    """Order lines with arrival, stock and current price, sliced by product and arrival."""
-    arrivals = orders.select(F.col("id").alias("order_id"), *arrival)
+# What every line keeps of its item, and the number of its place among those of its product.
+_LINE = ("order_id", "nomenclature_id", "quantity")
+_AT = "_at"
+
+
+def _besides(columns: Sequence[str]) -> list[str]:
+    """Columns that a line does not keep anyway."""
+    return [c for c in columns if c not in _LINE]
+
+
+def _wanted(items: DataFrame, products: DataFrame, item_key: Sequence[str]) -> DataFrame:
+    """Items with the stock of their product and what is wrong with them whatever the stock."""
     offered = products.where("is_active").select(
         F.col("id").alias("nomenclature_id"), F.col("quantity").alias("stock"), F.col("price").alias("current_price")
     )
-    wanted = items.select("order_id", "nomenclature_id", "quantity", "price", *item_key)
-    lines = wanted.join(arrivals, "order_id").join(offered, "nomenclature_id", "left")
+    found = items.select(*_LINE, "price", *_besides(item_key)).join(offered, "nomenclature_id", "left")
     # Stock only ever shrinks, so quantities must be positive; what is missing is not valid either.
     valid = F.coalesce((F.col("quantity") > 0) & (F.col("price") >= 0), F.lit(False))
-    lines = lines.withColumns(
+    return found.withColumns(
         {"invalid": ~valid, "price_changed": ~F.col("price").eqNullSafe(F.col("current_price"))}
     ).drop("price", "current_price")
-    return sliced(lines, ["nomenclature_id"], [*arrival, *item_key], "intake-lines")
 
 
-def _review_orders(orders: DataFrame, clients: DataFrame, lines: DataFrame) -> DataFrame:
-    """What is wrong with an order whatever the stock: one row per order, kept as a table."""
-    per_product = lines.groupBy("order_id", "nomenclature_id").agg(
+def _lines(judged: DataFrame, wanted: DataFrame, arrival: Sequence[str], item_key: Sequence[str]) -> DataFrame:
+    """Order lines with arrival and whether their order is possible, sliced by product and arrival."""
+    offers = judged.select(F.col("id").alias("order_id"), *_besides(arrival), "possible")
+    lines = wanted.drop("invalid").join(offers, "order_id")
+    order = [c for c in dict.fromkeys([*arrival, *item_key]) if c != "nomenclature_id"]
+    return sliced(lines, ["nomenclature_id"], order, "intake-lines", at=_AT)
+
+
+def _review_orders(orders: DataFrame, clients: DataFrame, wanted: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """What is wrong with an order whatever the stock: one row per order with its arrival, kept as a table.
+
+    Each of several orders with one id has the items of all of them, so it repeats every product.
+    """
+    per_product = wanted.groupBy("order_id", "nomenclature_id").agg(
         F.count(F.lit(1)).alias("lines"),
         F.max(F.col("invalid")).alias("invalid"),
         F.max(F.col("stock").isNull() | F.col("price_changed") | F.col("invalid")).alias("broken"),
@@ -122,18 +142,24 @@ def _review_orders(orders: DataFrame, clients: DataFrame, lines: DataFrame) -> D
         F.max("invalid").alias("invalid"),
         F.max(F.col("lines") > 1).alias("repeated"),
     )
-    active = clients.where("is_active").select(F.col("id").alias("client_id"), F.lit(True).alias("_active"))
-    reviewed = orders.select("id", "client_id").join(per_order, "id", "left").join(active, "client_id", "left")
+    shared = orders.groupBy("id").agg(F.count(F.lit(1)).alias("_orders")).where("_orders > 1")
+    active = clients.where("is_active").select(F.col("id").alias("client_id"), F.lit(True).alias("_one"))
+    active = active.groupBy("client_id").agg(F.count("_one").cast("int").alias("_active"))
+    reviewed = orders.select("id", "client_id", *_besides(arrival)).join(per_order, "id", "left").join(shared, "id", "left")
+    reviewed = reviewed.withColumn("repeated", F.col("repeated") | (F.col("lines").isNotNull() & F.col("_orders").isNotNull()))
+    reviewed = reviewed.withColumn("lines", F.col("lines") * F.coalesce("_orders", F.lit(1))).join(active, "client_id", "left")
     client_ok = F.col("_active").isNotNull()
     possible = client_ok & F.col("lines").isNotNull() & ~F.col("broken") & ~F.col("repeated")
     return cut_lineage(
         reviewed.select(
             "id",
+            *_besides(arrival),
             "lines",
             "repeated",
             F.coalesce("invalid", F.lit(False)).alias("invalid"),
             client_ok.alias("client_ok"),
             F.coalesce(possible, F.lit(False)).alias("possible"),
+            "_active",
         ),
         "intake-orders",
     )
@@ -147,7 +173,7 @@ def _accepted_orders(
 ) -> DataFrame:
     """Ids of the accepted orders. A possible order has one line per product."""
     possible = reviewed.where("possible").select("id")
-    candidates = lines.join(possible.withColumnRenamed("id", "order_id"), "order_id", "left_semi")
+    candidates = lines.where("possible")
     # A product whose whole demand is in stock refuses nobody.
     scarce = (
         candidates.groupBy("nomenclature_id")
@@ -156,7 +182,7 @@ def _accepted_orders(
         .select("nomenclature_id")
     )
     contested = candidates.join(scarce, "nomenclature_id", "left_semi").select(
-        "order_id", "nomenclature_id", "quantity", "stock", SLICE, *arrival, F.lit(False).alias("held")
+        *_LINE, "stock", SLICE, *_besides(arrival), F.lit(False).alias("held")
     )
     spark = reviewed.sparkSession
     contested, n_lines = _counted(contested, "intake-contested")
@@ -213,7 +239,7 @@ def _walked(lines: DataFrame, n_lines: int, arrival: Sequence[str], serial_lines
     if n_lines <= serial_lines:
         write_counted(_walk(lines, arrival), f"{base}/walk-0")
         return [f"{base}/walk-0"]
-    orders = lines.groupBy("order_id", *arrival).agg(F.count(F.lit(1)).alias("lines"))
+    orders = lines.groupBy("order_id", *_besides(arrival)).agg(F.count(F.lit(1)).alias("lines"))
     upto = running(sliced(orders, [], arrival, "intake-stretches"), [], arrival, upto=("sum", "lines"))
     # An order belongs to the stretch its last line falls in.
     stretch = F.floor((F.col("upto") - 1) / serial_lines).cast("int").alias("stretch")
@@ -235,7 +261,7 @@ def _walked(lines: DataFrame, n_lines: int, arrival: Sequence[str], serial_lines
 
 def _walk(lines: DataFrame, arrival: Sequence[str]) -> DataFrame:
     rows = lines.select(
-        F.col("order_id").cast("bigint").alias("order_id"), "nomenclature_id", "quantity", "stock", "held", *arrival
+        F.col("order_id").cast("bigint").alias("order_id"), "nomenclature_id", "quantity", "stock", "held", *_besides(arrival)
     )
     rows = rows.repartition(1).sortWithinPartitions(*arrival, "order_id")
     return rows.select("order_id", "nomenclature_id", "quantity", "stock", "held").mapInArrow(_one_by_one, _DECIDED)
@@ -301,13 +327,19 @@ def _decide(lines: DataFrame, arrival: Sequence[str]) -> DataFrame:
     )
 
 
-def _line_faults(
-    lines: DataFrame, accepted: DataFrame, line_order: Sequence[str], item_key: Sequence[str]
-) -> DataFrame:
+def _line_faults(lines: DataFrame, accepted: DataFrame, item_key: Sequence[str]) -> DataFrame:
     """The first fault of every refused order: its kind and product."""
-    marked = lines.join(accepted.select(F.col("id").alias("order_id"), F.lit(True).alias("held")), "order_id", "left")
-    marked = marked.withColumn("_held", F.when(F.col("held"), F.col("quantity")).otherwise(0).cast("bigint"))
-    before = running(marked, ["nomenclature_id"], line_order, taken=("sum", "_held"))
+    own = ["order_id", "quantity", "stock", "price_changed", *_besides(item_key)]
+    needed = lines.select("nomenclature_id", SLICE, _AT, "possible", *own)
+    held = accepted.select(F.col("id").alias("order_id"), F.lit(True).alias("held"))
+    # Only lines of possible orders need to meet the accepted ones.
+    asked = needed.where("possible").join(held, "order_id", "left")
+    marked = asked.unionByName(needed.where("NOT possible").withColumn("held", F.lit(None).cast("boolean")))
+    # An accepted line is no more than what it takes.
+    told = [F.when(F.col("held").isNull(), F.col(c)).alias(c) for c in own]
+    taken = F.when(F.col("held"), F.col("quantity")).otherwise(0).cast("bigint").alias("_held")
+    marked = marked.select("nomenclature_id", SLICE, _AT, *told, "held", taken)
+    before = running(marked, ["nomenclature_id"], [_AT], taken=("sum", "_held"))
     fault = (
         F.when(F.col("stock").isNull(), 1)
         .when(F.col("stock") - F.col("taken") < F.col("quantity"), 2)

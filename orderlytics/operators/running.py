@@ -22,13 +22,18 @@ POSITION = "position"
 HEAVY_ROWS = 1_000_000
 
 
-def sliced(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], label: str = "sliced") -> DataFrame:
+def sliced(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], label: str = "sliced", at: str | None = None
+) -> DataFrame:
     """Add the number of the slice a row falls in; `order` is unique in a group.
 
     The result is a written table, because slice numbers must stay the same
-    for every later pass over it.
+    for every later pass over it. Under the name `at` a row keeps a number that
+    rises with `order` in its group: later passes need not carry what gave the order.
     """
     ranged = df.repartitionByRange(*group, *order)
+    if at:
+        ranged = ranged.sortWithinPartitions(*group, *order).withColumn(at, F.monotonically_increasing_id())
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()), label)
 
 

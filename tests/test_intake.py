@@ -228,3 +228,29 @@ def test_taken_ids_and_numbers_are_refused_in_order_of_arrival(shop, make, spark
     assert len(set(numbers)) == len(numbers) and {"WEB-1", "WEB-2", "WEB-3"} <= set(numbers)
     assert sorted(r.order_id for r in made.order_items.where("id > 200").collect()) == kept
     assert made.nomenclature.where("id = 1").first().quantity == product.quantity - len(kept)
+
+
+def test_items_meet_orders_and_verdicts_in_few_shuffles(spark, monkeypatch):
+    """The items are shuffled to their orders once; only lines of possible orders go there again, for the verdicts."""
+    from orderlytics.operators import intake
+
+    kept = {}
+
+    def remember(df, group, order, label="sliced", at=None):
+        kept[label] = sliced(df, group, order, label, at)
+        return kept[label]
+
+    sliced = intake.sliced
+    monkeypatch.setattr(intake, "sliced", remember)
+    orders = spark.createDataFrame([(1, 7, 1), (2, 8, 2)], "id bigint, client_id bigint, at int")
+    items = spark.createDataFrame(
+        [(1, 1, 10, 2, 5.0), (2, 2, 10, 2, 5.0)], "id bigint, order_id bigint, nomenclature_id bigint, quantity int, price double"
+    )
+    clients = spark.createDataFrame([(7, True), (7, True), (8, False)], "id bigint, is_active boolean")
+    products = spark.createDataFrame([(10, 3, 5.0, True)], "id bigint, quantity int, price double, is_active boolean")
+    found = intake.order_intake(orders, items, clients, products, ["at", "id"]).collect()
+    # The client that stands twice makes its order be told of twice, and neither its lines nor the stock they take.
+    lines = {(r.order_id, r.possible) for r in kept["intake-lines"].collect()}
+    assert lines == {(1, True), (2, False)} and kept["intake-lines"].count() == 2
+    assert {(r.id, r.accepted, r.reason) for r in found} == {(1, True, None), (2, False, "client_not_found")}
+    assert "_arrival1" not in kept["intake-lines"].columns
