@@ -81,14 +81,11 @@ def apply_stock(products: DataFrame, deltas: DataFrame, actor: str = ACTOR, now:
     return Applied(table, rejected, _stamped(moved, products.columns, {"quantity": after.cast("int")}, F.lit(True), actor, now))
 
 
-def order_stock_deltas(order_items: DataFrame, order_ids: DataFrame, sign: int) -> DataFrame:
-    """Stock taken (`sign=-1`) or given back (`sign=1`) by whole orders."""
-    wanted = order_ids.select(F.col("id").alias("order_id"))
-    return (
-        order_items.join(wanted, "order_id", "left_semi")
-        .groupBy("nomenclature_id")
-        .agg((F.sum("quantity") * sign).alias("delta"))
-    )
+def order_stock_deltas(order_items: DataFrame, order_ids: DataFrame | None, sign: int) -> DataFrame:
+    """Stock taken (`sign=-1`) or given back (`sign=1`) by whole orders; without ids, by all that have items."""
+    if order_ids is not None:
+        order_items = order_items.join(order_ids.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    return order_items.groupBy("nomenclature_id").agg((F.sum("quantity") * sign).alias("delta"))
 
 
 def _stamped(

@@ -71,8 +71,10 @@ def create_orders(
         numbered = numbered.withColumn("order_date", F.coalesce("order_date", when.cast(numbered.schema["order_date"].dataType)))
     lines = items.join(taken.withColumnRenamed("id", "order_id"), "order_id", "left_semi")
     lines = with_defaults(lines.withColumn("total_price", F.col("quantity") * F.col("price")), "order_items", now, actor)
+    # Three tables come from these items, which are as large as the batch: they are put together once.
+    lines = cut_lineage(lines, "created-items")
     new = order_totals(with_defaults(numbered, "orders", now, actor), lines, taken)
-    stock = apply_stock(t.nomenclature, order_stock_deltas(lines, taken, -1), actor, now).table
+    stock = apply_stock(t.nomenclature, order_stock_deltas(lines, None, -1), actor, now).table
 
     return OrdersChanged(
         orders=t.orders.unionByName(new.select(t.orders.columns)),
