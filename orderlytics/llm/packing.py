@@ -227,6 +227,8 @@ def packed(
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    # A table, so that the join knows how few rows these are before it would shuffle the pieces with their ids.
+    earlier = cut_lineage(earlier, "earlier-pieces")
     # At most `size` rows, however many documents there are.
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = plan(histogram, size)

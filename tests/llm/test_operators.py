@@ -532,3 +532,16 @@ def test_pipeline_on_a_small_table(spark, tmp_path, docs):
     ids = packing.Encoder(RANKS, TOKENIZER).ids(body("d3x"))
     assert [r.length for r in packed if r.doc_id == 3] == [len(ids) + 1]
     assert hashlib.sha256(b"").hexdigest() == decontamination.items_digest([])
+
+
+def test_pieces_with_their_ids_are_not_shuffled_to_be_ranked(spark):
+    """What earlier tasks cut is a small table: the join with it leaves the ids where they are."""
+    texts = [(i, " ".join(f"w{(i * k) % 997}" for k in range(400))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
+    ranks, tokenizer = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        plan = packing.packed(docs, ranks, tokenizer, with_ids=True)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
