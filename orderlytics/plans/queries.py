@@ -18,7 +18,7 @@ from orderlytics.sources.tables import Tables, with_defaults, write_orders_by_mo
 from orderlytics.sources.versions import VersionedTable
 from orderlytics.streaming import metrics, sums
 from orderlytics.streaming import orders as feeds
-from orderlytics.streaming.state import current_state, finish, keep_new, keep_updates
+from orderlytics.streaming.state import ArrivalLog, current_state, finish, keep_new, keep_updates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -643,10 +643,15 @@ def stream_order_totals(spark: SparkSession, folder: str) -> DataFrame:
     return money_to_double(totals)
 
 
+FEED_BLOCK = 16 << 20
+
+
 def _shuffled_feed(feed: DataFrame, label: str, files: int = 6) -> DataFrame:
     """A feed as a stream of files without any order, two of them in a batch."""
     path = scratch_path(feed.sparkSession, label)
-    feed.repartition(files, F.xxhash64(*feed.columns)).write.parquet(path)
+    # Row groups of a task's size, or a batch of large files would be read by a few tasks.
+    dealt = feed.repartition(files, F.xxhash64(*feed.columns))
+    dealt.write.option("parquet.block.size", FEED_BLOCK).parquet(path)
     return feed.sparkSession.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -656,8 +661,13 @@ def stream_order_totals_repeated(spark: SparkSession, folder: str) -> DataFrame:
     items = star.order_items(star.scan(spark, folder, "lineitem"))
     feed = _shuffled_feed(batches.delivered_twice(items), "repeated-feed")
     path = scratch_path(spark, "unique-changes")
-    finish(keep_new(feeds.unique_changes(feed, "20 years"), path))
-    unique = spark.readStream.schema(feed.schema).parquet(path)
+
+    def unique_of(batch: DataFrame, log: ArrivalLog) -> DataFrame:
+        seen = log.read(batch.select("change_id", "ts").schema)
+        return feeds.unique_changes(batch, "20 years", seen, log.latest())
+
+    finish(keep_new(feed, path, new=unique_of))
+    unique = spark.readStream.schema(feed.schema).option("recursiveFileLookup", "true").parquet(path)
     return money_to_double(_run(feeds.order_total_changes(unique), ["order_id"]))
 
 

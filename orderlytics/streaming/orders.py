@@ -34,9 +34,38 @@ def order_total_changes(feed: DataFrame) -> DataFrame:
     )
 
 
-def unique_changes(feed: DataFrame, lateness: str) -> DataFrame:
-    """Drop repeated deliveries of one `change_id` that arrive within `lateness` of `ts`."""
-    return feed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["change_id"])
+def unique_changes(
+    feed: DataFrame, lateness: str, seen: DataFrame | None = None, latest: int | None = None
+) -> DataFrame:
+    """Drop repeated deliveries of one `change_id` that arrive within `lateness` of `ts`.
+
+    A stream looks up every row in its state store, which suits many small batches.
+    With `seen`, `feed` is one micro-batch: `seen` has `change_id` and `ts` of what
+    earlier ones kept, `latest` is the microsecond the watermark follows. Rows and ids
+    meet in one sorted aggregate, so a batch costs a shuffle of both and no lookups.
+    A change without `ts` is never late, and its id is not forgotten.
+    """
+    if seen is None:
+        return feed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["change_id"])
+    if latest is not None:
+        # Rows behind the watermark are late; an id expires when the watermark is `lateness` beyond its time.
+        watermark = F.timestamp_micros(F.lit(latest)) - _delay(lateness)
+        feed = feed.where(F.col("ts").isNull() | (F.col("ts") > watermark))
+        seen = seen.where(F.col("ts").isNull() | (F.col("ts") > watermark - _delay(lateness)))
+    rows = feed.select("change_id", F.struct(*feed.columns).alias("row"), F.lit(False).alias("known"))
+    ids = seen.select("change_id", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(True).alias("known"))
+    first, known = F.first("row", ignorenulls=True).alias("row"), F.bool_or("known").alias("known")
+    found = rows.unionByName(ids).groupBy("change_id").agg(first, known)
+    return found.where(~F.col("known")).select("row.*")
+
+
+def _delay(lateness: str) -> Column:
+    """The delay of a watermark, whose months have 31 days."""
+    year, month, day, hour, minute, second = (
+        F.expr(f"extract({unit} FROM CAST('{lateness}' AS INTERVAL))")
+        for unit in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND")
+    )
+    return F.make_dt_interval(31 * (12 * year + month) + day, hour.cast("int"), minute.cast("int"), second)
 
 
 def order_states(orders: DataFrame, items: DataFrame) -> DataFrame:
